@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from docdelta.llm import token_store
+from docdelta.llm import line_dedup, source_mix, token_store
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_source_mix": source_mix.op5_source_mix,
     "op8_token_store": token_store.op8_token_store,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_line_dedup": line_dedup.SQL,
+}
