@@ -15,6 +15,7 @@ their texts' hash, then their texts. A null id comes first. An empty table gives
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 
@@ -28,8 +29,8 @@ from docdelta.llm.common import by_batch, id_and_text, partitions, scratch_path,
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
-#: Words kept with their ids, per worker.
-CACHED_WORDS = 400_000
+#: Words, and pieces of words, kept with their ids, per worker and generation.
+CACHED_WORDS = 250_000
 LONGEST_CACHED = 48
 
 
@@ -106,40 +107,110 @@ class DacReader:
 
 # ---- the tokenizer
 
-_tokenizers: dict[str, tuple] = {}
+_words: dict[str, Words] = {}
+#: How word_bpe_49k cuts a word in lower case into pieces: the fixed pattern of its pre-tokenizer, for
+#: words whose characters all come before U+0130, which normal forms and lower-casing leave one by one.
+_L, _N = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\x85\xa0{_L}{_N}]+")
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer of this worker, with its words seen so far."""
-    if path not in _tokenizers:
+class Lately:
+    """What was met lately: a full generation becomes the old one, and what is met again moves to the new one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def lacks(self, keys: set) -> list:
+        """Those of keys that are in neither generation; the others are in the new one afterwards."""
+        out = []
+        for k in keys.difference(self.new):
+            if (value := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self.new[k] = value
+        return out
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = {k: x for k, x in self.new.items() if len(k) <= LONGEST_CACHED}, {}
+
+
+class Words:
+    """A tokenizer, and the words and pieces of words it met lately with their ids as little-endian 32-bit integers."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pieces = Lately(CACHED_WORDS), Lately(CACHED_WORDS)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; a line of pieces is encoded at once and cut where a piece ends."""
+        out = []
+        for i in range(0, len(pieces), 1024):
+            some = pieces[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) != len(some) + 1 or cuts[-1] != len(ids):
+                out += self._each(some)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, rest = {}, []
+        for w in words:
+            word = w.decode()
+            if max(word) < "\u0130" and "<|" not in word:
+                plain[w] = _PIECES.findall(word.lower())
+            else:
+                rest.append(w)
+        pieces = self.pieces
+        unknown = pieces.lacks(set().union(*plain.values()))
+        pieces.new.update(zip(unknown, self._lines(unknown), strict=True))
+        ids = pieces.new.__getitem__
+        out = {w: b"".join(map(ids, ps)) for w, ps in plain.items()}
+        pieces.turn()
+        out.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        known = self.words
+        # Lower case at once where that changes each character by itself and makes no special token.
+        split = [(t.lower() if "<|" not in t and _latin(t) else t).encode().split() for t in texts]
+        unknown: set[bytes] = set()
+        for words in split:
+            unknown.update(known.lacks(set(words)))
+        known.new.update(self.encode([*unknown]))
+        ids = known.new.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
+        known.turn()
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers.
 
     This holds for tokenizers none of whose rules reaches across a space, tab or line end: a text's
-    ids are then those of its words in order, so each different word is encoded once.
+    ids are then those of its words in order, so a word's ids are looked up where it was met lately.
     """
-    tokenizer, known = _tokenizer(path)
-    words = [t.encode().split() for t in texts]
-    wanted = set().union(*words) - known.keys() if words else set()
-    more: dict[bytes, bytes] = {}
-    if wanted:
-        order = sorted(wanted)
-        for word, e in zip(order, tokenizer.encode_batch([w.decode() for w in order], add_special_tokens=False), strict=True):
-            (known if len(word) <= LONGEST_CACHED else more)[word] = np.array(e.ids, "<u4").tobytes()
-    if more:
-        out = [b"".join([known[w] if w in known else more[w] for w in ws]) for ws in words]
-    else:
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    return out
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path].ids(texts)
 
 
 # ---- Spark

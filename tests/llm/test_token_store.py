@@ -44,3 +44,12 @@ def test_against_the_tokenizer(spark):
 
 def test_empty_table(spark):
     assert ts.token_files(documents(spark, [])).collect() == []
+
+
+def test_words_leave_and_come_back(monkeypatch):
+    monkeypatch.setattr(ts, "CACHED_WORDS", 5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), ts.Words(path)
+    for i in range(60):
+        text = f"One two{i % 7}, three's {i} Éa{i % 9}!"
+        assert np.frombuffer(words.ids([text, text])[1], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
