@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from docdelta.llm import decontaminate, line_dedup, source_mix, token_store
+from docdelta.llm import decontaminate, line_dedup, near_dedup, source_mix, token_store
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_source_mix": source_mix.op5_source_mix,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_store": token_store.op8_token_store,
 }
 
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
+    "op6_near_dedup": near_dedup.SQL,
     "op7_decontaminate": decontaminate.SQL,
 }
