@@ -30,7 +30,7 @@ from docdelta.llm.common import by_batch, id_and_text, partitions, scratch_path,
 MAGIC = b"DAC1"
 RANK_BITS = 512
 #: Words, and pieces of words, kept with their ids, per worker and generation.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 48
 
 
@@ -168,8 +168,8 @@ class Words:
         plain, rest = {}, []
         for w in words:
             word = w.decode()
-            if max(word) < "\u0130" and "<|" not in word:
-                plain[w] = _PIECES.findall(word.lower())
+            if (word.isascii() or max(word) < "\u0130") and "<|" not in word:
+                plain[w] = (word.lower(),) if word.isalpha() else _PIECES.findall(word.lower())
             else:
                 rest.append(w)
         pieces = self.pieces
