@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docdelta.llm import decontaminate, line_dedup, near_dedup, source_mix, token_store
+from docdelta.llm import decontaminate, line_dedup, near_dedup, source_mix, suffix_dedup, token_store
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_store": token_store.op8_token_store,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op6_near_dedup": near_dedup.SQL,
     "op7_decontaminate": decontaminate.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
 }
