@@ -305,13 +305,13 @@ def _sort_block(rows: dict[str, list], width: int) -> tuple[pa.RecordBatch, dict
     return out, {"key": [keys[i] for i in keep], "doc": least[keep].tolist(), "tag": [0] * len(keep), "start": [None] * len(keep), "offset": offsets[keep].tolist(), "around": [texts[i] for i in keep]}
 
 
-def _spans(width: int):
+def _spans(width: int, block: int):
     def run(batches):
         rows: dict[str, list] = {f.name: [] for f in PLACES}
         for batch in batches:
             for name in rows:
                 rows[name] += batch.column(name).to_pylist()
-            if len(rows["key"]) >= BLOCK:
+            if len(rows["key"]) >= block:
                 out, rows = _sort_block(rows, width)
                 yield out
         if rows["key"]:
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     keys = _keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high")
     wanted = keys.groupBy("doc", "tag").agg(F.collect_list("key").alias("keys"))
     places = _packed(rows).join(wanted, ["doc", "tag"]).mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
-    spans = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_spans(width), "doc bigint, tag bigint, a bigint, b bigint")
+    spans = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return _packed(rows).join(spans, ["doc", "tag"], "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
 
