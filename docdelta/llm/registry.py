@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docdelta.llm import decontaminate, line_dedup, lm_score, near_dedup, quality, source_mix, suffix_dedup, token_store
+from docdelta.llm import decontaminate, fingerprint, line_dedup, lm_score, near_dedup, quality, source_mix, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_near_dedup": near_dedup.op6_near_dedup,
