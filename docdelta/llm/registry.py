@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from docdelta.llm import decontaminate, fingerprint, line_dedup, lm_score, near_dedup, quality, source_mix, suffix_dedup, token_store
+import corpus_pipeline
+from docdelta.llm import decontaminate, fingerprint, html_text, line_dedup, lm_score, near_dedup, quality, source_mix, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +15,8 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_store": token_store.op8_token_store,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_html_text": html_text.op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
