@@ -33,13 +33,18 @@ from docdelta.llm.common import NO_ID, id_and_text, partitions, stored, table
 BLOCK = 64
 #: Cells of a sketch's row; digests of both sides together in one sketch, on average.
 CELLS, LOAD = 10, 10
-ROUNDS, RETRIES = 9, 4
+ROUNDS, RETRIES = 7, 2
 
 
 def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.xxhash64(b)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often `use` names it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(77))
 
@@ -53,23 +58,27 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
 
 
-def sketch(signed: Column, width: int) -> Column:
-    """Cells (n, k, c) of an array of (sign, digest, c0, c1, c2): count, digests and check values by exclusive or."""
+def _add(cells: Column, placed: Column, sign: int) -> Column:
+    """Cells with every placed digest (n, k, c, cells) added sign times."""
 
-    def cell(i: Column) -> Column:
-        at = F.when(i < width, F.lit("c0")).when(i < 2 * width, F.lit("c1")).otherwise(F.lit("c2"))
-        mine = F.filter(signed, lambda s: F.when(at == "c0", s["c0"]).when(at == "c1", s["c1"]).otherwise(s["c2"]) == i)
-        return F.struct(
-            F.aggregate(mine, F.lit(0), lambda a, s: a + s["sign"]).alias("n"),
-            _xor(F.transform(mine, lambda s: s["digest"])).alias("k"),
-            _xor(F.transform(mine, lambda s: _check(s["digest"]))).alias("c"),
-        )
+    def with_its_own(x: Column, i: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+        mine = F.filter(placed, lambda s: F.array_contains(s["at"], i))
+        total = F.aggregate(mine, zero, lambda a, s: F.struct((a["n"] + s["n"]).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c")))
+        return _let(total, lambda t: F.struct((x["n"] + sign * t["n"]).alias("n"), x["k"].bitwiseXOR(t["k"]).alias("k"), x["c"].bitwiseXOR(t["c"]).alias("c")))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * width - 1)), cell)
+    return F.transform(cells, with_its_own)
 
 
 def _placed(signed: Column, width: int) -> Column:
-    return F.transform(signed, lambda s: F.struct(s["sign"].alias("sign"), s["digest"].alias("digest"), *(_cell(s["digest"], r, width).alias(f"c{r}") for r in range(3))))
+    """Each (sign, digest) with its check value and cells."""
+    return F.transform(signed, lambda s: F.struct(s["sign"].alias("n"), s["digest"].alias("k"), _check(s["digest"]).alias("c"), F.array(*(_cell(s["digest"], r, width) for r in range(3))).alias("at")))
+
+
+def sketch(signed: Column, width: int) -> Column:
+    """Cells (n, k, c) of an array of (sign, digest): count, digests and check values by exclusive or."""
+    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), 3 * width)
+    return _let(_placed(signed, width), lambda placed: _add(empty, placed, 1))
 
 
 def peel(cells: Column, width: int) -> Column:
@@ -80,16 +89,11 @@ def peel(cells: Column, width: int) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"])))
         new = F.array_distinct(F.transform(pure, lambda x: F.struct(x["n"].alias("sign"), x["k"].alias("digest"))))
 
-        def without(x: Column, i: Column) -> Column:
-            mine = F.filter(new, lambda s: reduce(lambda a, b: a | b, (_cell(s["digest"], r, width) == i for r in range(3))))
-            return F.struct(
-                (x["n"] - F.aggregate(mine, F.lit(0), lambda a, s: a + s["sign"])).alias("n"),
-                x["k"].bitwiseXOR(_xor(F.transform(mine, lambda s: s["digest"]))).alias("k"),
-                x["c"].bitwiseXOR(_xor(F.transform(mine, lambda s: _check(s["digest"])))).alias("c"),
-            )
+        def take_out(new: Column) -> Column:
+            after = _let(_placed(new, width), lambda placed: _add(state["cells"], placed, -1))
+            return F.when(F.size(new) > 0, F.struct(after.alias("cells"), F.concat(state["found"], new).alias("found"))).otherwise(state)
 
-        after = F.struct(F.transform(state["cells"], without).alias("cells"), F.concat(state["found"], new).alias("found"))
-        return F.when(F.size(pure) > 0, after).otherwise(state)
+        return _let(new, take_out)
 
     def end(state: Column) -> Column:
         side = lambda n: F.size(F.filter(state["found"], lambda s: s["sign"] == n))
@@ -101,7 +105,7 @@ def peel(cells: Column, width: int) -> Column:
 
 def _hex(text_digests: Column) -> Column:
     """The sketch of smallest size as text: 4, 16 and 8 hex digits for each cell."""
-    cells = sketch(_placed(F.transform(text_digests, lambda d: F.struct(F.lit(1).alias("sign"), d.alias("digest"))), CELLS), CELLS)
+    cells = sketch(F.transform(text_digests, lambda d: F.struct(F.lit(1).alias("sign"), d.alias("digest"))), CELLS)
     digits = lambda c, n: F.substring(F.lpad(F.hex(c), 16, "0"), 17 - n, n)
     return F.array_join(F.transform(cells, lambda x: F.concat(digits(x["n"].cast("long"), 4), digits(x["k"], 16), digits(x["c"], 8))), "")
 
@@ -161,11 +165,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = cells.select(*key, F.when(F.col("s.kind") == "facts", F.col("facts")).alias("facts"), "s.kind", "s.g", "s.sign", "s.digest")
     tables = cells.groupBy(*key, "kind", "g").agg(F.collect_list(F.struct("sign", "digest")).alias("signed"), F.first("facts", True).alias("facts"))
 
-    result = F.when(F.col("kind") == "facts", F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))).otherwise(peel(sketch(_placed(F.col("signed"), CELLS), CELLS), CELLS))
+    result = F.when(F.col("kind") == "facts", F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))).otherwise(peel(sketch(F.col("signed"), CELLS), CELLS))
     tables = tables.withColumn("r", result)
     for i in range(1, RETRIES + 1):
-        width = CELLS << i
-        tables = tables.withColumn("r", F.when(F.col("r.ok"), F.col("r")).otherwise(peel(sketch(_placed(F.col("signed"), width), width), width)))
+        width = CELLS << 2 * i
+        tables = tables.withColumn("r", F.when(F.col("r.ok"), F.col("r")).otherwise(peel(sketch(F.col("signed"), width), width)))
     # Two digests that share their cells in every size are told apart as they are.
     of = lambda n: F.transform(F.filter("signed", lambda s: s["sign"] == n), lambda s: s["digest"])
     plain = F.struct(F.size(F.array_except(of(1), of(-1))).alias("ours"), F.size(F.array_except(of(-1), of(1))).alias("theirs"), F.lit(True).alias("ok"))

@@ -45,7 +45,7 @@ def test_against_brute_force(spark, rows):
 def test_peeling_recovers_each_side(spark):
     cases = [(list(range(5)), list(range(2, 9))), ([], [1]), ([3], [3]), (list(range(100, 140)), list(range(120, 150)))]
     df = spark.createDataFrame([([{"sign": 1, "digest": d} for d in a] + [{"sign": -1, "digest": d} for d in b], len(set(a) - set(b)), len(set(b) - set(a))) for a, b in cases], "signed array<struct<sign: int, digest: bigint>>, ours int, theirs int")
-    got = df.select("ours", "theirs", fp.peel(fp.sketch(fp._placed(F.col("signed"), 80), 80), 80).alias("r")).collect()
+    got = df.select("ours", "theirs", fp.peel(fp.sketch(F.col("signed"), 80), 80).alias("r")).collect()
     assert all(r.r.ok and (r.r.ours, r.r.theirs) == (r.ours, r.theirs) for r in got)
-    small = df.select(fp.peel(fp.sketch(fp._placed(F.col("signed"), 2), 2), 2)["ok"].alias("ok")).collect()
+    small = df.select(fp.peel(fp.sketch(F.col("signed"), 2), 2)["ok"].alias("ok")).collect()
     assert not small[3].ok
