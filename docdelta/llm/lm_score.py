@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from docdelta.llm.common import crc_mod, id_and_text, slices, stored, table
 
 #: Tokens with codes of their own; tokens whose counts every task has; slots of a context's table (log2).
-CODED, LISTED, SLOT_BITS = 1 << 15, 1 << 18, 20
+CODED, LISTED, SLOT_BITS = 1 << 15, 1 << 16, 20
 END = b""
 #: A state of a context's predictor: LEVELS steps of its logit for each of SEEN ranges of its count.
 LEVELS, SEEN = 12, (1, 3, 10)
@@ -251,9 +251,9 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
     counts = stored(token_counts(train), "token-counts")
     total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     # A list of fixed length, to the driver and to every task.
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(LISTED - 1)
+    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(LISTED - 1).toArrow()
     ends = counts.where(F.col("token") == F.lit(END)).first()
-    listed = [(END, ends.n if ends else 0), *((bytes(r.token), r.n) for r in top.collect())]
+    listed = [(END, ends.n if ends else 0), *zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)]
     codes = spark.sparkContext.broadcast(Codes(listed, total))
     model = spark.sparkContext.broadcast(fit(train, codes))
     smooth = float(total + kinds + 1)

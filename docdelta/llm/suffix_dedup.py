@@ -228,7 +228,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         return {"doc": batch.column("doc"), "tag": batch.column("tag"), "packed": [c.compress((t or "").encode()) for t in batch.column("text").to_pylist()]}
 
     return docs.mapInArrow(by_batch(run, schema), _PACKED)
@@ -240,7 +240,7 @@ def _unpack(batch: pa.RecordBatch):
 
 
 def _keys(docs: DataFrame, width: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -248,9 +248,9 @@ def _keys(docs: DataFrame, width: int) -> DataFrame:
                 found = [np.unique(anchors((t or "").encode(), width)[1]) for t in piece.column("text").to_pylist()]
                 n = [len(x) for x in found]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(piece.column(c).to_numpy(), n)) for c in ("doc", "tag"))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(piece.column("doc").to_numpy(), n))], schema=schema)
 
-    return docs.mapInArrow(run, "key bigint, doc bigint, tag bigint")
+    return docs.mapInArrow(run, "key bigint, doc bigint")
 
 
 PLACES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("around", pa.binary())])
@@ -325,9 +325,9 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.l
 
 def _remove(batch: pa.RecordBatch) -> dict[str, list]:
     out: dict[str, list] = {f.name: [] for f in OUT}
-    for doc, spans, data in zip(batch.column("doc").to_pylist(), batch.column("spans").to_pylist(), _unpack(batch), strict=True):
+    for doc, tag, spans, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("spans").to_pylist(), _unpack(batch), strict=True):
         merged: list[list[int]] = []
-        for s in sorted((s["a"], s["b"]) for s in spans or []):
+        for s in sorted((s["a"], s["b"]) for s in spans or [] if s["tag"] == tag):
             if merged and s[0] <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], s[1])
             else:
@@ -345,11 +345,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     one_key = Window.partitionBy("key")
     keys = _keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high")
-    wanted = keys.groupBy("doc", "tag").agg(F.collect_list("key").alias("keys"))
-    places = _packed(rows).join(wanted, ["doc", "tag"]).mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
+    wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    # Both joins deal the texts out alike, so they are shuffled once.
+    packed = _packed(rows)
+    places = packed.join(wanted, "doc").mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
     spans = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return _packed(rows).join(spans, ["doc", "tag"], "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "a", "b")).alias("spans"))
+    return packed.join(spans, "doc", "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
