@@ -89,7 +89,9 @@ def compare_by(line_pairs: DataFrame, method: str = "fuzzy", threshold: str = "n
     b, c = F.coalesce("base_text", F.lit("")), F.coalesce("compare_text", F.lit(""))
     one = F.col("base_text").isNull() | F.col("compare_text").isNull()
     bare = lambda t: F.regexp_replace(t, r"\s+", "")
-    differs = {"exact": b != c, "smart": bare(b) != bare(c), "fuzzy": F.when(THRESHOLDS[threshold] == "strict", b != c).otherwise(one | (similarity(b, c) < SIMILAR))}[method]
+    differs = {"exact": b != c, "smart": bare(b) != bare(c), "fuzzy": one | (similarity(b, c) < SIMILAR)}[method]
+    if method == "fuzzy" and THRESHOLDS[threshold] == "strict":
+        differs = b != c
     sev = F.when(one, F.when(F.length(F.concat(b, c)) > LONG_LINE, "major").otherwise("minor")).otherwise(severity(edit_distance(b, c), F.length(b)))
     out = line_pairs.where(F.coalesce(differs, F.lit(False))).withColumn("severity", sev)
     return out.where("severity = 'major'") if THRESHOLDS[threshold] == "relaxed" else out

@@ -209,7 +209,7 @@ _QUERIES = {
     "infer_change": "select diff_id, change from diffs",
     "min_bounds": "select diff_id, case when base_width is null or base_width - 6 < 2 then 10 else base_width - 6 end as width, coalesce(compare_height, 10) as height from diffs",
     "page_difference": "select pair_id, diff_id, base_page as page_no, type, x, y, width, height from boxed where width > 0 and height > 0",
-    "dedupe_differences": "select diff_id, severity, case when base_text is null then 1 else 0 end as side from diffs",
+    "dedupe_differences": "select diff_id, severity, (case when base_text is null then 1 else 0 end)::bigint as side from diffs",
     "sort_differences": "select pair_id, diff_id, row_number() over (partition by pair_id order by base_page, y, diff_id) as rank from boxed",
     "filter_differences": "select diff_id from typed where type in ('text', 'font') and severity <> 'cosmetic' and (contains(lower(coalesce(base_text, '')), 'the') or contains(lower(coalesce(compare_text, '')), 'the'))",
     "group_by_type": "select pair_id, case when type = 'other' then 'structure' else type end as bucket, count(*) as n from typed group by all",
@@ -239,14 +239,14 @@ _QUERIES = {
     "result_read": "select pair_id, diff_id, change from diffs where pair_id % 5 = 0",
     "create_comparisons": ", q as (select job_id, base_id, compare_id * 8 as compare_id, case when base_id not in (select doc_id from documents) then 'base document not found' when compare_id * 8 not in (select doc_id from documents) then 'compare document not found' end as reject_reason from jobs) select *, case when reject_reason is null then 'PROCESSING' end as status from q",
     "resolve_status": "select w.job_id, case when j.has_result then 'COMPLETED' else coalesce(j.status, 'NOT_FOUND') end as status from (select job_id * 2 as job_id from jobs) w left join jobs j using (job_id)",
-    "progress": ", q as (select job_id, status, case status when 'PENDING' then 0 when 'PROCESSING' then 50 else 100 end as percent from jobs) select *, percent * (job_id % 50) // 100 as completed_operations from q",
+    "progress": ", q as (select job_id, status, (case status when 'PENDING' then 0 when 'PROCESSING' then 50 else 100 end)::bigint as percent from jobs) select *, percent * (job_id % 50) // 100 as completed_operations from q",
     "in_progress": "select job_id from jobs where not has_result and status in ('PROCESSING', 'PENDING')",
     "elapsed": f", q as (select job_id, cast(floor(epoch_us({NOW}) / 1e6) - floor(epoch_us(created_at) / 1e6) as bigint) as seconds from jobs) select *, floor(seconds / 60) > 5 as maybe_stuck from q",
     "repair_stuck": f", q as (select *, status in ('PROCESSING', 'PENDING') as running, epoch_us({NOW}) - epoch_us(updated_at) > 900000000 as stale from jobs) select job_id, case when running and has_result then 'COMPLETED' when running and stale then 'FAILED' else status end as status, case when running and not has_result and stale then 'No progress for more than 15 minutes' end as message from q",
     "recent_comparisons": f", q as (select *, (epoch_us({NOW}) - epoch_us(created_at)) / 1e6 as age from jobs) select job_id, status, has_result, cast(floor(age / 60) as bigint) as age_minutes from q where age between 0 and 259200",
     "incremental_pairs": "select distinct base_id, compare_id + base_id % 2 as compare_id from jobs where (base_id, compare_id + base_id % 2) not in (select (base_id, compare_id) from jobs where has_result)",
     "metrics_by_operation": "select string_split(operation_type, '.')[-1] as operation, cast(round(sum(total_time_ms)) as bigint) as total_ms, count(*) as n from metrics group by 1",
-    "metrics_by_size": "select size_category, cast(round(sum(total_time_ms)) as bigint) as total_ms, case size_category when 'tiny' then 1 when 'small' then 2 when 'medium' then 3 when 'large' then 4 else 5 end as place from metrics group by all",
+    "metrics_by_size": "select size_category, cast(round(sum(total_time_ms)) as bigint) as total_ms, (case size_category when 'tiny' then 1 when 'small' then 2 when 'medium' then 3 when 'large' then 4 else 5 end)::bigint as place from metrics group by all",
     "metrics_summary": "select string_split(operation_type, '.')[1] as engine, count(*) as n, round(sum(total_time_ms), 2) as total_ms, arg_max(event_id, (total_time_ms, event_id)) as slowest_event from metrics group by 1",
 }
 

@@ -307,7 +307,12 @@ add("stream_progress", lambda e: _stream(e, _events(e), streams.latest_state, "c
 add("stream_metrics_tumbling", lambda e: _stream(e, e.metrics, streams.tumbling))
 add("stream_metrics_sliding", lambda e: _stream(e, e.metrics, lambda d: streams.tumbling(d, size="2 days", slide="1 day")))
 add("stream_job_sessions", lambda e: _stream(e, _events(e), streams.sessions))
-add("stream_stuck", lambda e: _stream(e, _events(e), streams.stuck))
+
+
+@query("stream_stuck")
+def stream_stuck(e: Entities) -> DataFrame:
+    e.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    return _stream(e, _events(e), streams.stuck)
 
 
 @query("stream_compare")

@@ -38,7 +38,7 @@ class _Stuck(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, ts timestamp, has_result boolean", 86_400_000)
+        self.last = handle.getValueState("last", "status string, ts timestamp, has_result boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(rows).sort_values("ts")
