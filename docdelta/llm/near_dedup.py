@@ -204,9 +204,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(stored(_verified(stored(_likely(pairs, classes, percent / 100), "likely-pairs"), rows, classes, shingle, percent), "verified-pairs"))
-        component = stored(components(links), "components")
-        before, lead = lead, lead + max(1, (lead - 2) // 2)
+        likely = stored(_likely(pairs, classes, percent / 100), "likely-pairs")
+        if likely.limit(1).count():
+            new = stored(_verified(likely, rows, classes, shingle, percent), "verified-pairs")
+            links = links.unionByName(new)
+            if component is None or new.limit(1).count():
+                component = stored(components(links), "components")
+        elif component is None:
+            component = stored(empty.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+        before, lead = lead, 2 * lead
     if component is None:
         component = empty.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
