@@ -12,6 +12,8 @@ blind trie for each group whose common prefix is longer. Neighbours' common pref
 equal extension at every depth; a string is its class to the left and its class to the right, and the
 least document of the pair of classes is the first to hold the string.
 
+Documents whose whole text repeats an earlier document's need none of this and are settled by hash.
+
 An anchor's rows come in ascending order of documents and go by in blocks; from one block to the next
 a task keeps only the different surroundings, with the least document of each. Texts travel
 compressed.
@@ -259,7 +261,9 @@ PLACES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()
 def _places(batch_width: int):
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in PLACES}
-        for doc, tag, keys, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("keys"), _unpack(batch), strict=True):
+        for doc, tag, keys, whole, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("keys"), batch.column("whole").to_pylist(), _unpack(batch), strict=True):
+            if not keys.is_valid or (whole and tag in whole):
+                continue
             at, h, i0, i1 = anchors(data, batch_width)
             h = h.view(np.int64)
             some = np.flatnonzero(np.isin(h, keys.values.to_numpy()))
@@ -345,12 +349,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     one_key = Window.partitionBy("key")
     keys = _keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high")
-    wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    # A copy of an earlier document's whole text loses all of it, and holds nothing that the earlier one doesn't.
+    texts = rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= width)
+    firsts = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = texts.join(firsts, "h").where("doc > first").select("doc", "tag", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()
+    wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys")).join(copies.groupBy("doc").agg(F.collect_set("tag").alias("whole")), "doc", "left")
     # Both joins deal the texts out alike, so they are shuffled once.
     packed = _packed(rows)
-    places = packed.join(wanted, "doc").mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
+    places = packed.join(wanted, "doc", "left").mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
     spans = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "a", "b")).alias("spans"))
+    spans = spans.unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("tag", "a", "b")).alias("spans"))
     return packed.join(spans, "doc", "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
 
 
