@@ -45,6 +45,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that later expressions read, where withColumn would have each of them compute it anew."""
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(77))
 
@@ -148,7 +154,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = sent.select(F.col("to_doc").alias("doc"), F.col("to_tag").alias("tag"), F.col("doc").alias("from_doc"), F.col("tag").alias("from_tag"), F.substring("text", F.lit(1), F.col("m")).alias("head"), digests(F.col("text")).alias("next"))
     pairs = rows.join(links, ["doc", "tag"]).withColumn("m", third).join(sent, ["doc", "tag"]).where("(ndoc ^ from_doc) = 0 and (ntag ^ from_tag) = 0")
     pairs = pairs.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), "head"))
-    pairs = pairs.select("doc", "tag", "ndoc", "ntag", "n", "copies", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited_text")).alias("edited"), "next")
+    pairs = pairs.select("doc", "tag", "ndoc", "ntag", "n", "copies", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), F.col("text").alias("own"), F.col("edited_text").alias("edited"), "next")
+    pairs = _held(_held(pairs, "own", digests(F.col("own"))), "edited", digests(F.col("edited")))
 
     a, e, x = (F.size(c) for c in ("own", "edited", "next"))
     facts = F.struct("n", "copies", "edited_sha256", _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edited")).alias("edited_fingerprint"), a.alias("a"), e.alias("e"), x.alias("x"))
@@ -166,14 +173,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = cells.groupBy(*key, "kind", "g").agg(F.collect_list(F.struct("sign", "digest")).alias("signed"), F.first("facts", True).alias("facts"))
 
     result = F.when(F.col("kind") == "facts", F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))).otherwise(peel(sketch(F.col("signed"), CELLS), CELLS))
-    tables = tables.withColumn("r", result)
+    tables = _held(tables, "r", result)
     for i in range(1, RETRIES + 1):
         width = CELLS << 2 * i
-        tables = tables.withColumn("r", F.when(F.col("r.ok"), F.col("r")).otherwise(peel(sketch(F.col("signed"), width), width)))
+        tables = _held(tables, "r", F.when(F.col("r.ok"), F.col("r")).otherwise(peel(sketch(F.col("signed"), width), width)))
     # Two digests that share their cells in every size are told apart as they are.
     of = lambda n: F.transform(F.filter("signed", lambda s: s["sign"] == n), lambda s: s["digest"])
     plain = F.struct(F.size(F.array_except(of(1), of(-1))).alias("ours"), F.size(F.array_except(of(-1), of(1))).alias("theirs"), F.lit(True).alias("ok"))
-    tables = tables.withColumn("r", F.when(F.col("r.ok"), F.col("r")).otherwise(plain))
+    tables = _held(tables, "r", F.when(F.col("r.ok"), F.col("r")).otherwise(plain))
 
     total = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col(f"r.{name}")).otherwise(0))
     out = tables.groupBy(*key).agg(F.first("facts", True).alias("f"), *(total(k, s).alias(f"{k}_{s}") for k in ("edited", "next") for s in ("ours", "theirs")))
