@@ -90,6 +90,8 @@ def assign(edges: DataFrame, threshold: float = THRESHOLD, rounds: int | None =
     order = [F.desc("score"), F.abs(F.col("base_page") - F.col("compare_page")), "base_page", "compare_page"]
     rank = lambda side: F.row_number().over(Window.partitionBy("pair_id", f"{side}_page").orderBy(*order))
     left, kept, done = edges.where(F.col("score") >= threshold).select(*KEY, "score"), None, 0
+    if rounds is None:
+        left = cut(left)  # scored once, not in every round
     while rounds is None or done < rounds:
         first = left.withColumn("rb", rank("base")).withColumn("rc", rank("compare")).where("rb = 1 and rc = 1").select(*KEY, "score")
         if rounds is None:
@@ -135,10 +137,11 @@ def match(base: DataFrame, compare: DataFrame, scorer: Callable[[DataFrame], Dat
 
     scorer turns candidates into scored edges; any strategy with that signature may be passed.
     """
-    scored = scorer(same_page(base, compare))
+    base, compare = cut(base.select("pair_id", "page_no").distinct()), cut(compare.select("pair_id", "page_no").distinct())
+    scored = cut(scorer(same_page(base, compare)))  # four stages read it
     if mode == "smart":
         ub, uc = unmatched(base, scored, "base", threshold), unmatched(compare, scored, "compare", threshold)
-        more = nearby(ub, uc).unionByName(distant(ub, uc, base.select("pair_id", "page_no").distinct(), compare.select("pair_id", "page_no").distinct()))
+        more = nearby(ub, uc).unionByName(distant(ub, uc, base, compare))
         scored = scored.unionByName(scorer(more))
     kept = assign(scored, threshold, rounds)
     rest = left_over(base, compare, kept)

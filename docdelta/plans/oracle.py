@@ -81,12 +81,12 @@ meta as (select doc_id, k as key, v as value from (select doc_id, unnest(['title
 
 def _rounds(edges: str, n: int = 4) -> str:
     """Common tables k (kept edges) of n unrolled rounds of locally dominant matching."""
-    out = f", r0 as (select pair_id, base_page, compare_page, score from {edges})"
+    out = f", r0 as materialized (select pair_id, base_page, compare_page, score from {edges})"
     for i in range(n):
         order = "score desc, abs(base_page - compare_page), base_page, compare_page"
         out += f"""
-, k{i} as (select pair_id, base_page, compare_page, score from (select *, row_number() over (partition by pair_id, base_page order by {order}) as rb, row_number() over (partition by pair_id, compare_page order by {order}) as rc from r{i}) where rb = 1 and rc = 1)
-, r{i + 1} as (select * from r{i} where (pair_id, base_page) not in (select (pair_id, base_page) from k{i}) and (pair_id, compare_page) not in (select (pair_id, compare_page) from k{i}))"""
+, k{i} as materialized (select pair_id, base_page, compare_page, score from (select *, row_number() over (partition by pair_id, base_page order by {order}) as rb, row_number() over (partition by pair_id, compare_page order by {order}) as rc from r{i}) where rb = 1 and rc = 1)
+, r{i + 1} as materialized (select * from r{i} where (pair_id, base_page) not in (select (pair_id, base_page) from k{i}) and (pair_id, compare_page) not in (select (pair_id, compare_page) from k{i}))"""
     return out + "\n, k as (" + " union all ".join(f"select * from k{i}" for i in range(n)) + ")"
 
 
