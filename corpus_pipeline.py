@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docdelta.llm import decontaminate, near_dedup, quality, source_mix, token_store
-from docdelta.llm.common import scratch_path, table
+from docdelta.llm.common import scratch_path, stored, table
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,16 +17,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where("predicted = 1").select("row.*").select(DOCUMENT)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs and a number `row` for each row, written so that every reader sees the same; ids may repeat or be null."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component: shingles of five words, similarity 0.8."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(DOCUMENT)
+    """One row of each component, that of smallest id: shingles of five words, similarity 0.8.
+
+    Of rows with that id the first in the table stays; a null id comes after all others. Rows without
+    shingles are components of their own.
+    """
+    keyed = with_row_key(docs)
+    component = near_dedup.near_duplicates(keyed, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    kept = component.join(keyed.select("row", "doc_id"), "row").groupBy("component").agg(F.min_by("row", order).alias("row")).select("row")
+    return keyed.join(kept, "row", "left_semi").select(DOCUMENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.judged(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    bad = hits.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti").select(DOCUMENT)
+    """The rows that hold too little of the benchmark; each is judged by its own text, whatever its id."""
+    keyed = with_row_key(docs)
+    hits = decontaminate.judged(decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="row"))
+    bad = hits.where("contaminated").select(F.col("doc_id").alias("row"))
+    return keyed.join(bad, "row", "left_anti").select(DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
