@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 NOW = "timestamp '2024-01-31 00:00:00'"
 BREAKS = r"\r\n|\n|\r"
 WIDTH, LINES_A_PAGE = 80, 20
+#: Most documents of a paragraph that are all paired with each other; ids in a block of a key's neighbours.
+MANY, BLOCK = 20, 4096
+
+
+def _neighbours(d: DataFrame) -> DataFrame:
+    """(base_id, compare_id): each document of a key and the next one in order of ids. d: (doc_id, key), distinct.
+
+    A key is dealt out by blocks of ids; the last document of a block goes with the first of the next.
+    """
+    d = d.withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    firsts = d.groupBy("key", "block").agg(F.min("doc_id").alias("first"))
+    after = firsts.select("key", "block", F.lead("first").over(Window.partitionBy("key").orderBy("block")).alias("after"))
+    inside = F.lead("doc_id").over(Window.partitionBy("key", "block").orderBy("doc_id"))
+    d = d.withColumn("inside", inside).join(after, ["key", "block"])
+    return d.select(F.col("doc_id").alias("base_id"), F.coalesce("inside", "after").alias("compare_id")).where("compare_id is not null")
 
 
 class Entities:
@@ -41,13 +56,21 @@ class Entities:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """(pair_id, base_id, compare_id): each document's best partner by rare shared paragraphs."""
+        """(pair_id, base_id, compare_id): each document's best partner of a higher id.
+
+        That is the next copy of the same text, or else the one with most shared paragraphs. A paragraph
+        of up to MANY documents pairs all of them, one of more pairs each with the next that holds it.
+        """
         keys = self.doc_lines.where(F.length("para") > 20).select("doc_id", "para").distinct()
-        rare = keys.groupBy("para").agg(F.count("*").alias("n")).where("n between 2 and 20").select("para")
-        held = keys.join(rare, "para")
-        both = held.select("para", F.col("doc_id").alias("base_id")).join(held.select("para", F.col("doc_id").alias("compare_id")), "para").where("base_id < compare_id")
-        scored = both.groupBy("base_id", "compare_id").agg(F.count("*").alias("shared"))
-        best = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("shared"), "compare_id"))
+        held = keys.join(keys.groupBy("para").agg(F.count("*").alias("n")).where("n > 1"), "para")
+        few = held.where(F.col("n") <= MANY)
+        both = few.select("para", F.col("doc_id").alias("base_id")).join(few.select("para", F.col("doc_id").alias("compare_id")), "para").where("base_id < compare_id")
+        hot = _neighbours(held.where(F.col("n") > MANY).select("doc_id", F.md5("para").alias("key")))
+        shared = both.select("base_id", "compare_id").unionByName(hot).withColumn("copy", F.lit(False))
+        texts = self.table("documents").join(self.doc_lines.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.md5("text").alias("key")).distinct()
+        copies = _neighbours(texts).withColumn("copy", F.lit(True))
+        scored = shared.unionByName(copies).groupBy("base_id", "compare_id").agg(F.count("*").alias("shared"), F.max("copy").alias("copy"))
+        best = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("copy"), F.desc("shared"), "compare_id"))
         return scored.withColumn("rn", best).where("rn = 1").select(F.col("base_id").alias("pair_id"), "base_id", "compare_id")
 
     @cached_property
