@@ -127,7 +127,7 @@ def _open(e: Entities) -> tuple[DataFrame, DataFrame]:
 
 add("match_same_page", lambda e: _scorer(e)(matching.same_page(*_sides(e))))
 add("match_unmatched", lambda e: _open(e)[0].withColumn("side", F.lit("base")).unionByName(_open(e)[1].withColumn("side", F.lit("compare"))))
-add("match_nearby", lambda e: matching.nearby(*_open(e), limit=16))
+add("match_nearby", lambda e: matching.nearby(*_open(e)))
 add("match_distant", lambda e: matching.distant(*_open(e), *_sides(e), band=3))
 add("match_full", lambda e: matching.full(*_sides(e)))
 add("match_reuse", lambda e: matching.reuse_scores(matching.same_page(*_sides(e)), _scorer(e)(matching.same_page(*_sides(e)).where("base_page % 2 = 0")), _scorer(e)))
