@@ -6,7 +6,7 @@ bit is predicted in its place of the code tree under three contexts: none, the t
 two before. A context's predictor is a pair of counts of zeros and ones in a hashed table.
 
 What the predictors say is mixed in the logistic domain, by weights that the gate (how much the two
-longer contexts have seen) selects; the weights are learned online. A last step refines the mixed
+longer contexts have seen) selects; the weights are fitted in batch on the driver. A last step refines the mixed
 probability toward what was seen in just that state of the predictors. States are few, so learning
 needs only how often each bit followed each state, which all training documents add up; there, a
 bit's own occurrence is taken out of the counts that predict it.
