@@ -6,11 +6,12 @@ and the ten bits after its first one. Four registers make a band; classes that a
 candidates. Registers estimate the Jaccard index, corrected for registers that agree by chance;
 candidates well under the threshold go, and the others are verified on their full sets.
 
-Within the classes that share a band, no list of all pairs is made. The class that shares most bands
-with others, as the copied original of a family does, leads and is compared with every other; then
-the next leads, later more at once, but only against classes that aren't connected to them yet and
-that no band has compared with them before, until no band holds two unconnected classes of which
-neither has led. So every candidate pair is verified unless a path of links already joins it.
+No list of pairs is made. Each band names as its leader the class that shares most bands with others,
+as the copied original of a family does; a leader's cell is every class of the bands it leads, so two
+classes that share a band share a cell. A cell is compared where its sets lie, in blocks of bounded
+size, and only links that join what is not joined yet leave the block. A cell of one block is done
+with that. In larger cells each block also holds the leader, so that most members are joined through
+it; those that aren't then meet all blocks of the cell, again block by block.
 
 With 32 bands of 4, a pair at the threshold of 0.8 shares no band with a probability under 1e-7.
 The estimate drops a pair only 0.17 under the threshold, near five standard deviations.
@@ -25,16 +26,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import by_batch, id_and_text, stored, table
+from docdelta.llm.common import by_batch, groups, id_and_text, slices, stored, table
 from docdelta.llm.graph import components
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SLACK = 0.17
+#: A block of a cell: classes, and shingles of them all, on average.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = (np.random.default_rng(20240601).integers(0, 2**63, REGISTERS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -93,6 +96,50 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return ((ra == rb).mean(axis=1) - chance) / (1 - chance)
 
 
+# ---- blocks
+
+
+def joins(regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, component: np.ndarray, first: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join components within a block, and which classes have a likely partner of another component.
+
+    first: which classes are compared with all others of the block; between two others nothing is
+    asked. Without sets nothing is verified and no link is made.
+    """
+    component = component.copy()
+    likely = np.zeros(len(sizes), bool)
+    links: list[tuple[int, int]] = []
+    if sets is not None:
+        ends = np.cumsum([len(x) for x in sets])
+        shingles, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = ends - sizes
+        held = np.zeros(len(shingles), bool)
+    order = np.flatnonzero(first)
+    done = np.zeros(len(sizes), bool)
+    for u in order:
+        done[u] = True
+        some = np.flatnonzero((component != component[u]) & ~done & (100 * np.minimum(sizes, sizes[u]) >= percent * np.maximum(sizes, sizes[u])))
+        if not len(some):
+            continue
+        some = some[estimate(regs[some], regs[u][None], sizes[some], sizes[u]) >= percent / 100 - SLACK]
+        if not len(some):
+            continue
+        likely[u] = True
+        likely[some] = True
+        if sets is None:
+            continue
+        mine = dense[starts[u] : ends[u]]
+        held[mine] = True
+        places = np.concatenate([dense[starts[v] : ends[v]] for v in some])
+        lengths = sizes[some]
+        shared = np.add.reduceat(held[places], np.cumsum(lengths) - lengths, dtype=np.int64)
+        held[mine] = False
+        for v in some[100 * shared >= percent * (sizes[u] + lengths - shared)]:
+            if component[u] != component[v]:
+                links.append((int(u), int(v)))
+                component[component == component[v]] = component[u]
+    return links, likely
+
+
 # ---- Spark
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("registers", pa.binary())])
@@ -116,8 +163,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node): the class's 32 band keys."""
-    schema = pa.schema([("band", pa.int64()), ("node", pa.binary())])
+    """(band, class): the class's 32 band keys."""
+    schema = pa.schema([("band", pa.int64()), ("class", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         regs = np.array([np.frombuffer(r, np.uint16) for r in batch.column("registers").to_pylist()]).reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -125,52 +172,123 @@ def _bands(classes: DataFrame) -> DataFrame:
         for i in range(ROWS):
             key = (key ^ regs[:, :, i]) * _MIX
             key = key ^ (key >> np.uint64(31))
-        return {"band": key.reshape(-1).view(np.int64), "node": [x for x in batch.column("node").to_pylist() for _ in range(BANDS)]}
+        return {"band": key.reshape(-1).view(np.int64), "class": np.repeat(batch.column("class").to_numpy(), BANDS)}
 
-    return classes.select("node", "registers").mapInArrow(by_batch(run, schema), "band bigint, node binary")
+    return classes.select("class", "registers").mapInArrow(by_batch(run, schema), "band bigint, class bigint")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose estimate isn't far under the threshold."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def cells(classes: DataFrame) -> DataFrame:
+    """(leader, class, n_shingles, parts): the members of each cell, its leader among them, and its number of blocks."""
+    bands = _bands(classes)
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(bands.join(shared, "band"), "bands")
+    central = members.groupBy("class").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "class").groupBy("band").agg(F.max(F.struct("central", "class"))["class"].alias("leader"))
+    found = members.join(leaders, "band").select("leader", "class").distinct().join(classes.select("class", "n_shingles"), "class")
+    found = stored(found, "cells")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    return found.join(found.groupBy("leader").agg(parts.alias("parts")), "leader")
+
+
+SIDE = "cell bigint, a int, b int, class bigint, n_shingles bigint, component bigint, first boolean"
+
+
+def _part(seed: int, parts: Column) -> Column:
+    return F.pmod(F.xxhash64("class", F.lit(seed)), parts).cast("int")
+
+
+def _each(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
+def first_blocks(found: DataFrame) -> DataFrame:
+    """Blocks of every cell: each member in one of them, the leader in all; all are compared with all."""
+    cell = F.col("leader").alias("cell")
+    rest = F.col("class").alias("component"), F.lit(True).alias("first")
+    leaders = found.where("class = leader").select(cell, _each(F.col("parts")).alias("a"), F.lit(0).alias("b"), "class", "n_shingles", *rest)
+    return leaders.unionByName(found.where("class <> leader").select(cell, _part(1, F.col("parts")).alias("a"), F.lit(0).alias("b"), "class", "n_shingles", *rest))
 
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        keep = pa.array((estimate(ra, rb, na, nb) >= threshold - SLACK) & (np.minimum(na, nb) >= (threshold - 1e-9) * np.maximum(na, nb)))
-        return {c: batch.column(c).filter(keep) for c in ("a", "b")}
 
-    for c in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}")), c)
-    return pairs.mapInArrow(by_batch(run, schema), "a binary, b binary")
+def later_blocks(found: DataFrame, component: DataFrame) -> DataFrame:
+    """For cells of several blocks: members that aren't joined with their leader, against all blocks of their cell."""
+    name = component.withColumnRenamed("node", "class")
+    large = found.where("parts > 1").join(name, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    led = large.where("class = leader").select("leader", F.col("component").alias("led"))
+    large = stored(large.join(led, "leader"), "large-cells")
+    open_ = large.where("component <> led")
+    size = open_.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("open_parts"))
+    cell = F.col("leader").alias("cell")
+    asked = open_.join(size, "leader").select(cell, _part(2, F.col("open_parts")).alias("a"), _each(F.col("parts")).alias("b"), "class", "n_shingles", "component", F.lit(True).alias("first"))
+    others = large.join(size, "leader").select(cell, _each(F.col("open_parts")).alias("a"), _part(1, F.col("parts")).alias("b"), "class", "n_shingles", "component", F.lit(False).alias("first"))
+    return asked.unionByName(others)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of which 100 * shared >= percent * union holds on the full sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(classes.select("node", "doc_id"), "node")
-    schema = pa.schema([("node", pa.binary()), ("found", pa.binary()), ("shingles", pa.binary())])
+def _arrays(batch: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
 
-    def sets(batch: pa.RecordBatch) -> dict[str, list]:
+
+def _likely(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks, with registers, that have a likely partner there."""
+    df = blocks.join(classes.select("class", "registers"), "class").select("cell", "a", "b", "class", "n_shingles", "component", "first", "registers")
+
+    def run(batches):
+        for block in groups(batches, ["cell", "a", "b"]):
+            if block.num_rows > 1:
+                column = lambda c: block.column(c).to_numpy(zero_copy_only=False)
+                _, keep = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), None, column("component"), column("first"), percent)
+                yield from block.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return df.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", F.desc("first")).mapInArrow(run, f"{SIDE}, registers binary")
+
+
+def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the classes of each block that join all of them which links of the block join."""
+    df = blocks.join(sets, "class").select("cell", "a", "b", "class", "n_shingles", "component", "first", "registers", "shingles")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for block in groups((x for b in batches for x in slices(b, "shingles", 16_000_000)), ["cell", "a", "b"]):
+            # The leader, or what is asked, comes first; classes that stand on both sides count once.
+            _, at = np.unique(block.column("class").to_numpy(), return_index=True)
+            block = block.take(pa.array(np.sort(at)))
+            column = lambda c: block.column(c).to_numpy(zero_copy_only=False)
+            found, _ = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), _arrays(block, "shingles", np.uint64), column("component"), column("first"), percent)
+            if found:
+                pairs = column("class")[np.array(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    order = ["cell", "a", "b", F.desc("first"), F.desc(F.col("class") == F.col("cell"))]
+    return df.repartition("cell", "a", "b").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(class, shingles) of the classes wanted: (class, doc_id, node), from the texts of documents with their ids."""
+    schema = pa.schema([("class", pa.int64()), ("found", pa.bool_()), ("shingles", pa.binary())])
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
         every = [shingle_hashes(t, n).tobytes() for t in batch.column("text").to_pylist()]
-        return {"node": batch.column("node"), "found": [xxhash.xxh3_128_digest(s) for s in every], "shingles": every}
+        return {"class": batch.column("class"), "found": [xxhash.xxh3_128_digest(s) == x for s, x in zip(every, batch.column("node").to_pylist(), strict=True)], "shingles": every}
 
     # By id, then by the set's own hash: rows with equal ids may hold other texts.
-    full = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").mapInArrow(by_batch(sets, schema), "node binary, found binary, shingles binary")
-    full = stored(full.where("node = found").select("node", "shingles").dropDuplicates(["node"]), "shingle-sets")
-    for c in ("a", "b"):
-        pairs = pairs.join(full.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")), c)
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    full = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("class", "node", "text").mapInArrow(by_batch(run, schema), "class bigint, found boolean, shingles binary")
+    return stored(full.where("found").select("class", "shingles").dropDuplicates(["class"]), "shingle-sets")
+
 
-    def verify(batch: pa.RecordBatch) -> dict[str, list]:
-        keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-        return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
+def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links; classes: (class, node, doc_id, n_shingles, registers)."""
+    found = stored(cells(classes), "cells")
 
-    return pairs.mapInArrow(by_batch(verify, out), "a binary, b binary")
+    def links(blocks: DataFrame) -> DataFrame:
+        likely = stored(_likely(blocks, classes, percent), "likely")
+        wanted = classes.join(likely.select("class").distinct(), "class").select("class", "doc_id", "node")
+        return stored(_linked(likely, shingle_sets(docs, wanted, n), percent), "links")
+
+    every = links(first_blocks(found))
+    component = stored(components(every), "components")
+    if found.where("parts > 1").limit(1).count():
+        every = every.unionByName(links(later_blocks(found, component)))
+        component = stored(components(every), "components")
+    return component
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,45 +296,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = id_and_text(docs, id_col, text_col)
     signed = stored(signatures(rows, shingle), "signatures")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"))
-    classes = stored(classes, "classes")
-    bands = _bands(classes)
-    groups = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(bands.join(groups, "band"), "bands")
-    central = members.groupBy("node").agg(F.sum("n").alias("central"))
-    order = Window.partitionBy("band").orderBy(F.desc("central"), "node")
-    members = stored(members.join(central, "node").select("band", "node", F.row_number().over(order).alias("rank"), "n"), "band-order")
-
-    empty = classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links, tested, component = empty, empty, None
-    before, lead = 0, 1
-    while True:
-        if component is not None:
-            joined = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            unsettled = joined.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-            joined = stored(joined.where(F.col("n") > before).join(unsettled, "band", "left_semi"), "open-bands")
-            members = joined.drop("component")
-        else:
-            joined = members.withColumn("component", F.col("node"))
-        leaders = joined.where((F.col("rank") > before) & (F.col("rank") <= lead)).select("band", F.col("node").alias("leader"), F.col("component").alias("led"))
-        if not leaders.limit(1).count():
-            break
-        pairs = leaders.join(joined.select("band", "node", "component"), "band").where("leader <> node and led <> component")
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        likely = stored(_likely(pairs, classes, percent / 100), "likely-pairs")
-        if likely.limit(1).count():
-            new = stored(_verified(likely, rows, classes, shingle, percent), "verified-pairs")
-            links = links.unionByName(new)
-            if component is None or new.limit(1).count():
-                component = stored(components(links), "components")
-        elif component is None:
-            component = stored(empty.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
-        before, lead = lead, 2 * lead
-    if component is None:
-        component = empty.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-    named = classes.select("node", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    component = class_links(classes, rows, shingle, percent).withColumnRenamed("node", "class")
+
+    named = classes.select("class", "node", "doc_id").join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "component").select("node", "component_id", F.lit(True).alias("named"))
     out = signed.select("doc_id", "n_shingles", "node").join(names, "node", "left")

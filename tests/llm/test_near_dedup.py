@@ -58,6 +58,13 @@ def test_against_brute_force(spark):
         assert run(spark, rows, n) == brute(rows, n)
 
 
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    base = [f"w{i}" for i in range(40)]
+    rows = [*variants()[:60], *((4000 + i, " ".join([*base[:i], f"x{i % 7}", f"y{i}", *base[i + 1 + i % 5 :]])) for i in range(36))]
+    assert run(spark, rows, 2) == brute(rows, 2)
+
+
 def test_exactly_at_the_threshold(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e f"), (3, "k l m n"), (4, "k l m n o p")]  # 4 of 5 pairs; 3 of 5
     assert {r[0]: r[2] for r in run(spark, rows, 2)} == {1: 1, 2: 1, 3: 3, 4: 4}
