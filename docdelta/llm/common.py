@@ -49,6 +49,24 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+#: Bits of a bitmap of ids, in rows of 32,768: 8 MB, whatever the number of ids.
+ID_BITS = 1 << 26
+
+
+def perhaps_among(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is among ids, and perhaps others: fewer rows for a join that is to come.
+
+    A bitmap of fixed size of the ids' hashes is broadcast. With very many ids it is full and every
+    row stays, which the join then settles as it does any other.
+    """
+    bit = F.pmod(F.xxhash64(F.lit("bitmap"), id_col), F.lit(ID_BITS)).cast("long")
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    place = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    here = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket").where(here).select(*rows.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

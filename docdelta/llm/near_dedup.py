@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import by_batch, groups, id_and_text, slices, stored, table
+from docdelta.llm.common import by_batch, groups, id_and_text, perhaps_among, slices, stored, table
 from docdelta.llm.graph import components
 
 BANDS, ROWS = 32, 4
@@ -270,8 +270,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return {"class": batch.column("class"), "found": [xxhash.xxh3_128_digest(s) == x for s, x in zip(every, batch.column("node").to_pylist(), strict=True)], "shingles": every}
 
     # By id, then by the set's own hash: rows with equal ids may hold other texts.
+    wanted = stored(wanted, "wanted")
+    docs = perhaps_among(docs, wanted, "doc_id")
     full = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("class", "node", "text").mapInArrow(by_batch(run, schema), "class bigint, found boolean, shingles binary")
-    return stored(full.where("found").select("class", "shingles").dropDuplicates(["class"]), "shingle-sets")
+    return full.where("found").select("class", "shingles").dropDuplicates(["class"])
 
 
 def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
