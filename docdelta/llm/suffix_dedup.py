@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from docdelta.llm.common import NO_ID, by_batch, id_and_text, slices, table
 
 WIDTH, GRAM = 50, 16
+#: Bits of a hash that tells whether two documents hold an anchor; anchors taken for others' only cost time.
+KEY_BITS = 48
 #: Bytes of a text handled at once; places within take 24 bits.
 PIECE = 1 << 23
 SYMBOL, SHALLOW = 4, 8
@@ -192,14 +194,14 @@ def _classes(sides: list[bytes], groups: list[list[int]], n: int, depths: int) -
     return out
 
 
-def first_holders(keys: list[int], texts: list[bytes], offsets: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+def first_holders(keys: list[bytes], texts: list[bytes], offsets: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
     """docs' least, for each text (around an anchor at its offset) and each number of bytes before the anchor.
 
     Where the text has no string of that kind, the result is the text's own document.
     """
     depths, n = width - GRAM, len(texts)
     out = np.repeat(docs[:, None], depths + 1, axis=1)
-    by_key: dict[int, list[int]] = {}
+    by_key: dict[bytes, list[int]] = {}
     for i, k in enumerate(keys):
         by_key.setdefault(k, []).append(i)
     groups = [g for g in by_key.values() if len(g) > 1]
@@ -241,35 +243,38 @@ def _unpack(batch: pa.RecordBatch):
     return (d.decompress(x) for x in batch.column("packed").to_pylist())
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - KEY_BITS)).view(np.int64)
+
+
 def _keys(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
-                found = [np.unique(anchors((t or "").encode(), width)[1]) for t in piece.column("text").to_pylist()]
+                found = [np.unique(_short(anchors((t or "").encode(), width)[1])) for t in piece.column("text").to_pylist()]
                 n = [len(x) for x in found]
                 if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(piece.column("doc").to_numpy(), n))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(piece.column("doc").to_numpy(), n))], schema=schema)
 
     return docs.mapInArrow(run, "key bigint, doc bigint")
 
 
-PLACES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("around", pa.binary())])
+PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("around", pa.binary())])
+PLACES_DDL = "doc bigint, tag bigint, start bigint, offset int, around binary"
 
 
 def _places(batch_width: int):
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in PLACES}
-        for doc, tag, keys, whole, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("keys"), batch.column("whole").to_pylist(), _unpack(batch), strict=True):
+        for doc, tag, alone, keys, whole, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "alone")), batch.column("keys"), batch.column("whole").to_pylist(), _unpack(batch), strict=True):
             if not keys.is_valid or (whole and tag in whole):
                 continue
             at, h, i0, i1 = anchors(data, batch_width)
-            h = h.view(np.int64)
-            some = np.flatnonzero(np.isin(h, keys.values.to_numpy()))
-            out["key"] += h[some].tolist()
+            some = np.flatnonzero(np.isin(_short(h), keys.values.to_numpy()))
             out["doc"] += [doc] * len(some)
-            out["tag"] += [tag] * len(some)
+            out["tag"] += [0 if alone else tag] * len(some)
             out["start"] += i0[some].tolist()
             out["offset"] += (at[some] - i0[some]).tolist()
             out["around"] += [data[a : b + batch_width - 1] for a, b in zip(i0[some].tolist(), i1[some].tolist(), strict=True)]
@@ -284,11 +289,12 @@ SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("a", pa.int64()),
 def _sort_block(rows: dict[str, list], width: int) -> tuple[pa.RecordBatch, dict[str, list]]:
     """The spans that the block's rows lose, and what the next block must know of the last key."""
     kinds: dict[tuple, int] = {}
-    kind = np.array([kinds.setdefault(k, len(kinds)) for k in zip(rows["key"], rows["offset"], rows["around"], strict=True)], np.int64)
+    kind = np.array([kinds.setdefault(k, len(kinds)) for k in zip(rows["offset"], rows["around"], strict=True)], np.int64)
     doc = np.array(rows["doc"], np.int64)
     least = np.full(len(kinds), 2**63 - 1, np.int64)
     np.minimum.at(least, kind, doc)
-    keys, offsets, texts = ([k[i] for k in kinds] for i in range(3))
+    offsets, texts = ([k[i] for k in kinds] for i in range(2))
+    keys = [t[o : o + GRAM] for o, t in zip(offsets, texts, strict=True)]
     offsets = np.array(offsets, np.int64)
     holders = first_holders(keys, texts, offsets, least, width)
     lengths = np.array([len(t) for t in texts], np.int64) - width + 1
@@ -305,8 +311,9 @@ def _sort_block(rows: dict[str, list], width: int) -> tuple[pa.RecordBatch, dict
     start = np.array([s or 0 for s in rows["start"]], np.int64)
     tag = np.array(rows["tag"], np.int64)
     out = pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], tag[row], start[row] + a, start[row] + b - 1 + width)], schema=SPANS)
-    keep = [i for i, k in enumerate(keys) if k == rows["key"][-1]]
-    return out, {"key": [keys[i] for i in keep], "doc": least[keep].tolist(), "tag": [0] * len(keep), "start": [None] * len(keep), "offset": offsets[keep].tolist(), "around": [texts[i] for i in keep]}
+    last = keys[kind[-1]]
+    keep = [i for i, k in enumerate(keys) if k == last]
+    return out, {"doc": least[keep].tolist(), "tag": [0] * len(keep), "start": [None] * len(keep), "offset": offsets[keep].tolist(), "around": [texts[i] for i in keep]}
 
 
 def _spans(width: int, block: int):
@@ -315,10 +322,10 @@ def _spans(width: int, block: int):
         for batch in batches:
             for name in rows:
                 rows[name] += batch.column(name).to_pylist()
-            if len(rows["key"]) >= block:
+            if len(rows["doc"]) >= block:
                 out, rows = _sort_block(rows, width)
                 yield out
-        if rows["key"]:
+        if rows["doc"]:
             yield _sort_block(rows, width)[0]
 
     return run
@@ -331,7 +338,7 @@ def _remove(batch: pa.RecordBatch) -> dict[str, list]:
     out: dict[str, list] = {f.name: [] for f in OUT}
     for doc, tag, spans, data in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("spans").to_pylist(), _unpack(batch), strict=True):
         merged: list[list[int]] = []
-        for s in sorted((s["a"], s["b"]) for s in spans or [] if s["tag"] == tag):
+        for s in sorted((s["a"], s["b"]) for s in spans or [] if s["tag"] in (0, tag)):
             if merged and s[0] <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], s[1])
             else:
@@ -346,18 +353,22 @@ def _remove(batch: pa.RecordBatch) -> dict[str, list]:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, spans (maximal removed runs, half-open), kept (the other bytes)."""
+    # The tag tells rows of equal ids apart; where an id has one row alone, 0 stands for it on the way.
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
+    alone = rows.groupBy("doc").agg((F.count("*") == 1).alias("alone"))
     one_key = Window.partitionBy("key")
     keys = _keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high")
     # A copy of an earlier document's whole text loses all of it, and holds nothing that the earlier one doesn't.
     texts = rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= width)
     firsts = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = texts.join(firsts, "h").where("doc > first").select("doc", "tag", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()
-    wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys")).join(copies.groupBy("doc").agg(F.collect_set("tag").alias("whole")), "doc", "left")
+    wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys")).join(alone, "doc").join(copies.groupBy("doc").agg(F.collect_set("tag").alias("whole")), "doc", "left")
     # Both joins deal the texts out alike, so they are shuffled once.
     packed = _packed(rows)
-    places = packed.join(wanted, "doc", "left").mapInArrow(by_batch(_places(width), PLACES), "key bigint, doc bigint, tag bigint, start bigint, offset bigint, around binary")
-    spans = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
+    places = packed.join(wanted, "doc", "left").mapInArrow(by_batch(_places(width), PLACES), PLACES_DDL)
+    # The anchor is in its surroundings and needs no column.
+    anchor = F.substring("around", F.col("offset") + 1, F.lit(GRAM))
+    spans = places.repartition(anchor).sortWithinPartitions(anchor, "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
     spans = spans.unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("tag", "a", "b")).alias("spans"))
     return packed.join(spans, "doc", "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
 
