@@ -15,7 +15,9 @@ least document of the pair of classes is the first to hold the string.
 Documents whose whole text repeats an earlier document's need none of this and are settled by hash.
 
 An anchor's rows come in ascending order of documents and go by in blocks; from one block to the next
-a task keeps only the different surroundings, with the least document of each. Texts travel
+a task keeps only the different surroundings, with the least document of each. Anchors that very many
+documents hold are first grouped by their whole surroundings, so that their task gets each of these
+once; if even those are more than a block, their strings are grouped one by one. Texts travel
 compressed.
 
 Null and empty texts, and those under `width` bytes, lose nothing. Strings never cross documents.
@@ -28,10 +30,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import NO_ID, by_batch, id_and_text, slices, table
+from docdelta.llm.common import NO_ID, by_batch, id_and_text, slices, stored, table
 
 WIDTH, GRAM = 50, 16
 #: Bits of a hash that tells whether two documents hold an anchor; anchors taken for others' only cost time.
@@ -40,6 +42,8 @@ KEY_BITS = 48
 PIECE = 1 << 23
 SYMBOL, SHALLOW = 4, 8
 BLOCK = 150_000
+#: An anchor is hot from so many documents on, and from a HOT_SHARE of all (document, anchor) rows: so at most 1 / HOT_SHARE are.
+HOT, HOT_SHARE = 5_000, 1 / 20_000
 
 
 # ---- anchors
@@ -265,14 +269,17 @@ PLACES = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64
 PLACES_DDL = "doc bigint, tag bigint, start bigint, offset int, around binary"
 
 
-def _places(batch_width: int):
+def _places(batch_width: int, hot, want_hot: bool):
+    """The surroundings of the shared anchors that are hot, or of those that aren't. hot: broadcast, sorted."""
+
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in PLACES}
         for doc, tag, alone, keys, whole, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "alone")), batch.column("keys"), batch.column("whole").to_pylist(), _unpack(batch), strict=True):
             if not keys.is_valid or (whole and tag in whole):
                 continue
             at, h, i0, i1 = anchors(data, batch_width)
-            some = np.flatnonzero(np.isin(_short(h), keys.values.to_numpy()))
+            h = _short(h)
+            some = np.flatnonzero(np.isin(h, keys.values.to_numpy()) & (np.isin(h, hot.value) == want_hot))
             out["doc"] += [doc] * len(some)
             out["tag"] += [0 if alone else tag] * len(some)
             out["start"] += i0[some].tolist()
@@ -351,13 +358,41 @@ def _remove(batch: pa.RecordBatch) -> dict[str, list]:
     return out
 
 
+def _anchor() -> Column:
+    """The anchor is in its surroundings and needs no column."""
+    return F.substring("around", F.col("offset") + 1, F.lit(GRAM))
+
+
+def _hot_spans(places: DataFrame, width: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Spans that repeated surroundings of hot anchors lose, and the places that are left: a row of each kind of surroundings.
+
+    A row whose surroundings an earlier document holds too loses them whole and holds nothing new.
+    Where an anchor's different surroundings are more than a block, their strings are compared as they are.
+    """
+    places = stored(places, "hot-places")
+    kind = ["offset", "around"]
+    firsts = places.groupBy(*kind).agg(F.min("doc").alias("first"))
+    judged = stored(places.join(firsts, kind), "hot-kinds")
+    end = F.col("start") + F.length("around")
+    whole = judged.where("doc > first").select("doc", "tag", F.col("start").alias("a"), end.alias("b"))
+    left = judged.where("doc = first").drop("first").withColumn("anchor", _anchor())
+    wide = left.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block).select("anchor")
+    strings = left.join(wide, "anchor").withColumn("j", F.explode(F.sequence(F.lit(0), F.length("around") - width)))
+    strings = strings.select("doc", "tag", (F.col("start") + F.col("j")).alias("a"), F.substring("around", F.col("j") + 1, F.lit(width)).alias("string"))
+    first = strings.groupBy("string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    lost = strings.join(first, "string").where("doc > first").select("doc", "tag", "a", (F.col("a") + width).alias("b"))
+    return whole.unionByName(lost), left.join(wide, "anchor", "left_anti").drop("anchor")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, spans (maximal removed runs, half-open), kept (the other bytes)."""
     # The tag tells rows of equal ids apart; where an id has one row alone, 0 stands for it on the way.
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     alone = rows.groupBy("doc").agg((F.count("*") == 1).alias("alone"))
     one_key = Window.partitionBy("key")
-    keys = _keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high")
+    keys = stored(_keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high").select("key", "doc"), "shared-anchors")
+    # At most 1 / HOT_SHARE rows of one number.
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(HOT, keys.count() * HOT_SHARE)).select("key")
     # A copy of an earlier document's whole text loses all of it, and holds nothing that the earlier one doesn't.
     texts = rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= width)
     firsts = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
@@ -365,10 +400,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     wanted = keys.groupBy("doc").agg(F.collect_set("key").alias("keys")).join(alone, "doc").join(copies.groupBy("doc").agg(F.collect_set("tag").alias("whole")), "doc", "left")
     # Both joins deal the texts out alike, so they are shuffled once.
     packed = _packed(rows)
-    places = packed.join(wanted, "doc", "left").mapInArrow(by_batch(_places(width), PLACES), PLACES_DDL)
-    # The anchor is in its surroundings and needs no column.
-    anchor = F.substring("around", F.col("offset") + 1, F.lit(GRAM))
-    spans = places.repartition(anchor).sortWithinPartitions(anchor, "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
+    with_keys = packed.join(wanted, "doc", "left")
+    hot_keys = np.sort(np.array([r.key for r in common.collect()], np.int64))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys)
+    places = with_keys.mapInArrow(by_batch(_places(width, hot, False), PLACES), PLACES_DDL)
+    if len(hot_keys):
+        whole, left = _hot_spans(with_keys.mapInArrow(by_batch(_places(width, hot, True), PLACES), PLACES_DDL), width, BLOCK)
+        copies, places = copies.unionByName(whole), places.unionByName(left)
+    spans = places.repartition(_anchor()).sortWithinPartitions(_anchor(), "doc").mapInArrow(_spans(width, BLOCK), "doc bigint, tag bigint, a bigint, b bigint")
     spans = spans.unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("tag", "a", "b")).alias("spans"))
     return packed.join(spans, "doc", "left").mapInArrow(by_batch(_remove, OUT), "doc_id bigint, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>, kept binary")
 

@@ -56,6 +56,14 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [150_000, 3])
+def test_hot_anchors(spark, monkeypatch, block):
+    monkeypatch.setattr(sd, "BLOCK", block)
+    monkeypatch.setattr(sd, "HOT", 4)
+    rows = [*AWKWARD, *passages()]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     data = bytes(np.random.default_rng(1).integers(97, 101, 5000).astype(np.uint8))
     whole = sd.anchors(data)
