@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,16 +168,19 @@ class Words:
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         plain, rest = {}, []
         for w in words:
+            if w.isalpha():  # of bytes: letters A-Z alone, a piece by themselves
+                plain[w] = (w.decode().lower(),)
+                continue
             word = w.decode()
             if (word.isascii() or max(word) < "\u0130") and "<|" not in word:
                 plain[w] = (word.lower(),) if word.isalpha() else _PIECES.findall(word.lower())
             else:
                 rest.append(w)
         pieces = self.pieces
-        unknown = pieces.lacks(set().union(*plain.values()))
+        unknown = pieces.lacks(set(chain.from_iterable(plain.values())))
         pieces.new.update(zip(unknown, self._lines(unknown), strict=True))
         ids = pieces.new.__getitem__
-        out = {w: b"".join(map(ids, ps)) for w, ps in plain.items()}
+        out = {w: ids(ps[0]) if len(ps) == 1 else b"".join(map(ids, ps)) for w, ps in plain.items()}
         pieces.turn()
         out.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
         return out
@@ -185,10 +189,7 @@ class Words:
         known = self.words
         # Lower case at once where that changes each character by itself and makes no special token.
         split = [(t.lower() if "<|" not in t and _latin(t) else t).encode().split() for t in texts]
-        unknown: set[bytes] = set()
-        for words in split:
-            unknown.update(known.lacks(set(words)))
-        known.new.update(self.encode([*unknown]))
+        known.new.update(self.encode(known.lacks(set().union(*split))))
         ids = known.new.__getitem__
         out = [b"".join(map(ids, words)) for words in split]
         known.turn()
