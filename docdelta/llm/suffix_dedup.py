@@ -41,9 +41,9 @@ KEY_BITS = 48
 #: Bytes of a text handled at once; places within take 24 bits.
 PIECE = 1 << 23
 SYMBOL, SHALLOW = 4, 8
-BLOCK = 150_000
+BLOCK = 50_000
 #: An anchor is hot from so many documents on, and from a HOT_SHARE of all (document, anchor) rows: so at most 1 / HOT_SHARE are.
-HOT, HOT_SHARE = 5_000, 1 / 20_000
+HOT, HOT_SHARE = 50_000, 1 / 20_000
 
 
 # ---- anchors
@@ -192,7 +192,7 @@ def _classes(sides: list[bytes], groups: list[list[int]], n: int, depths: int) -
         order += [g[i] for i in o]
         prefixes += p
     order, prefixes = np.array(order, np.int64), np.array(prefixes, np.int64)
-    out = np.empty((depths + 1, n), np.int64)
+    out = np.empty((depths + 1, n), np.int32)
     for d in range(depths + 1):
         out[d, order] = np.maximum.accumulate(np.where(prefixes < d, np.arange(len(order)), 0))
     return out
@@ -219,7 +219,7 @@ def first_holders(keys: list[bytes], texts: list[bytes], offsets: np.ndarray, do
         who = some[(offsets[some] >= r) & (after[some] >= depths - r)]
         if len(who) < 2:
             continue
-        code = left[r, who] * n + right[depths - r, who]
+        code = left[r, who].astype(np.int64) * n + right[depths - r, who]
         o = np.lexsort((docs[who], code))
         start = np.concatenate([[True], code[o][1:] != code[o][:-1]])
         out[who[o], r] = docs[who][o][np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))]
@@ -390,9 +390,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
     alone = rows.groupBy("doc").agg((F.count("*") == 1).alias("alone"))
     one_key = Window.partitionBy("key")
-    keys = stored(_keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).where("low < high").select("key", "doc"), "shared-anchors")
+    keys = stored(_keys(rows, width).withColumn("low", F.min("doc").over(one_key)).withColumn("high", F.max("doc").over(one_key)).withColumn("n", F.count("*").over(one_key)).where("low < high").select("key", "doc", "n"), "shared-anchors")
     # At most 1 / HOT_SHARE rows of one number.
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(HOT, keys.count() * HOT_SHARE)).select("key")
+    common = keys.where(F.col("n") >= max(HOT, keys.count() * HOT_SHARE)).select("key").distinct()
     # A copy of an earlier document's whole text loses all of it, and holds nothing that the earlier one doesn't.
     texts = rows.select("doc", "tag", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= width)
     firsts = texts.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
