@@ -1,20 +1,23 @@
-"""Scoring texts by logistic context mixing.
+"""Scoring texts by online logistic context mixing.
 
 Tokens are words in lower case and one end for each document. A frequent token is coded by the bits
 of its Huffman code, any other by those of an escape and then by its share of the rare tokens. Each
 bit is predicted in its place of the code tree under three contexts: none, the token before, and the
-two before. A context's predictor is a pair of counts of zeros and ones in a hashed table.
+two before; words without a code of their own are contexts by their hash. Without context the counts
+of zeros and ones follow from the tokens' counts; a longer context's predictor is a pair of counts in
+a hashed table whose slots follow the number of training tokens.
 
 What the predictors say is mixed in the logistic domain, by weights that the gate (how much the two
-longer contexts have seen) selects; the weights are fitted in batch on the driver. A last step refines the mixed
-probability toward what was seen in just that state of the predictors. States are few, so learning
-needs only how often each bit followed each state, which all training documents add up; there, a
-bit's own occurrence is taken out of the counts that predict it.
+longer contexts have seen) selects. Learning is online: a task goes through its documents in batches
+of bits, predicts each batch from what it has counted so far, takes a step of its weights against the
+error, adds to a refinement table how often the bit came true at each level of the mixed prediction,
+and only then counts the batch. The tasks' tables are added up FAN_IN at a time, their weights
+averaged by bits. Scoring goes on learning: within a document the weights take a step after every
+BLOCK_BITS bits, so each bit's probability comes from earlier bits alone.
 
-Four passes go over the texts: token counts (a shuffle that grows with the input), counts by context
-and counts by state (a table of fixed size from each task), and scores. The most frequent tokens go
-to the tasks in a list of fixed length; counts of all others are joined to the documents that hold
-them.
+Three passes go over the texts: token counts (a shuffle that grows with the input), learning (a table
+from each task), and scores. The most frequent tokens go to the tasks in a list of fixed length; counts
+of all others are joined to the documents that hold them.
 
 Null and empty texts are one end. Rows with equal ids are separate rows; a null id belongs to the
 training part. Without training documents every bit has probability 0.5. An empty table gives no
@@ -30,19 +33,31 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docdelta.llm.common import crc_mod, id_and_text, slices, stored, table
 
-#: Tokens with codes of their own; tokens whose counts every task has; slots of a context's table (log2).
-CODED, LISTED, SLOT_BITS = 1 << 15, 1 << 16, 20
+#: Tokens with codes of their own; tokens whose counts every task has.
+CODED, LISTED = 1 << 16, 1 << 16
+#: A context's table has a slot for every TOKENS_A_SLOT training tokens, in powers of two between these (log2).
+TOKENS_A_SLOT, LEAST_BITS, MOST_BITS = 2, 12, 21
 END = b""
-#: A state of a context's predictor: LEVELS steps of its logit for each of SEEN ranges of its count.
-LEVELS, SEEN = 12, (1, 3, 10)
-STATES = LEVELS * (len(SEEN) + 1)
-CELLS = LEVELS * STATES * STATES
-PARTS = 32
+#: A predictor's logit, in LEVELS steps of STEP; ranges of its count.
+LEVELS, STEP, SEEN = 32, 0.45, (1, 3, 10)
+GATES = (len(SEEN) + 1) ** 2
+INPUTS = 4
+#: Levels of the mixed prediction in the refinement table, and how many bits of its own outweigh the mix.
+REFINED, TRUST = 48, 40.0
+BATCH_BITS, BLOCK_BITS = 1 << 16, 512
+#: Curvature that a step reckons with besides what its bits show.
+CAUTION = 200.0
+RATE, RATE_WITHIN = 0.3, 0.1
+PARTS, FAN_IN = 32, 16
+LOW = np.uint64(2**32 - 1)
 
 
 # ---- codes
@@ -78,9 +93,12 @@ class Codes:
     def __init__(self, listed: list[tuple[bytes, int]], total: int):
         self.ids = {t: i for i, (t, _) in enumerate(listed)}
         self.counts = np.array([c for _, c in listed], np.int64)
-        self.escape, self.slot_bits = min(CODED, len(listed)), SLOT_BITS
-        rare = total - int(self.counts[: self.escape].sum())
-        self.start, self.length, self.nodes, self.bits = huffman([*self.counts[: self.escape].tolist(), rare])
+        self.escape = min(CODED, len(listed))
+        self.slot_bits = min(max((total // TOKENS_A_SLOT).bit_length(), LEAST_BITS), MOST_BITS)
+        of = [*self.counts[: self.escape].tolist(), total - int(self.counts[: self.escape].sum())]
+        self.start, self.length, self.nodes, self.bits = huffman(of)
+        #: Zeros and ones at each node, from the tokens' counts: what the predictor without context has seen.
+        self.plain = np.bincount(self.nodes.astype(np.int64) * 2 + self.bits, np.repeat(of, self.length), 2 * len(of)).reshape(-1, 2)
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Places in the list, -1 for tokens that aren't in it; and the words."""
@@ -88,17 +106,23 @@ class Codes:
         ids = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         return np.append(ids, 0), words
 
-    def events(self, ids: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def events(self, found: list[tuple[np.ndarray, list[bytes]]]) -> tuple[np.ndarray, ...]:
         """For each bit of the documents' codes: its token's number, node, bit, and the two hashed slots."""
-        n = [len(x) for x in ids]
-        code = np.concatenate(ids)
-        code = np.where((code < 0) | (code >= self.escape), self.escape, code)
+        n = [len(x) for x, _ in found]
+        every = np.concatenate([x for x, _ in found])
+        code = np.where((every < 0) | (every >= self.escape), self.escape, every)
+        # As a context a word without a code is its hash, past all codes.
+        named = code + 3
+        far = np.flatnonzero(every < 0)
+        starts = np.repeat(np.cumsum([0, *n[:-1]]), n)
+        doc = np.repeat(np.arange(len(n)), n)
+        named[far] = [xxhash.xxh32_intdigest(found[d][1][at]) | 1 << 31 for d, at in zip(doc[far].tolist(), (far - starts[far]).tolist(), strict=True)]
         first = np.zeros(len(code), bool)
         ends = np.cumsum(n)
         first[0] = True
         first[ends[:-1]] = True
-        before = np.where(first, self.escape + 1, np.concatenate([[0], code[:-1]]))
-        second = np.where(first, self.escape + 2, np.concatenate([[0], before[:-1]]))
+        before = np.where(first, 1, np.concatenate([[0], named[:-1]]))
+        second = np.where(first, 2, np.concatenate([[0], before[:-1]]))
         h1 = (before + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
         h2 = (h1 ^ (h1 >> np.uint32(15))) * np.uint32(0x85EBCA77) + (second + 1).astype(np.uint32) * np.uint32(0xC2B2AE3D)
         length = self.length[code]
@@ -114,49 +138,124 @@ class Codes:
 # ---- predictors, mixing
 
 
-def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.3) / (n0 + 0.3))
-
-
 def level(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(_logit(n0, n1) * 0.9 + LEVELS / 2), 0, LEVELS - 1).astype(np.uint8)
+    """Quantised logit of a pair of counts."""
+    return np.clip(np.floor(np.log((n1 + 0.3) / (n0 + 0.3)) / STEP + LEVELS / 2), 0, LEVELS - 1).astype(np.uint8)
 
 
 def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return (np.searchsorted(SEEN, n0 + n1, "right") * LEVELS + level(n0, n1)).astype(np.uint8)
-
-
-def without_own(counts: np.ndarray, of) -> np.ndarray:
-    """of(zeros, ones) for each slot and bit, with one of that bit taken away. counts: (slots, 2)."""
-    n0, n1 = counts[:, 0], counts[:, 1]
-    return np.stack([of(np.maximum(n0 - 1, 0), n1), of(n0, np.maximum(n1 - 1, 0))], axis=1).reshape(-1)
-
-
-def mix(seen: np.ndarray, epochs: int = 40, rate: float = 0.5, trust: float = 30.0, seed: int = 3) -> np.ndarray:
-    """log10 of each bit's probability in each cell, (CELLS, 2), from how often it was seen there."""
-    cell = np.arange(CELLS)
-    parts = (cell // (STATES * STATES), cell // STATES % STATES, cell % STATES)
-    mid = lambda s: (s % LEVELS + 0.5 - LEVELS / 2) / 0.9
-    x = np.stack([*(mid(s) for s in parts), np.full(CELLS, 0.3)], axis=1)
-    gates = len(SEEN) + 1
-    gate = parts[1] // LEVELS * gates + parts[2] // LEVELS
-    w = np.tile([0.4, 0.3, 0.3, 0.0], (gates * gates, 1))
-    n = seen.sum(axis=1)
-    per_gate = np.maximum(np.bincount(gate, n, gates * gates), 1.0)
-    some = np.flatnonzero(n)
-    rng, grown = np.random.default_rng(seed), np.full_like(w, 1e-4)
-    for _ in range(epochs if len(some) else 0):
-        for rows in np.array_split(rng.permutation(some), max(1, len(some) // 512)):
-            g = gate[rows]
-            p = 1 / (1 + np.exp(-(w[g] * x[rows]).sum(axis=1)))
-            error = (seen[rows, 1] - n[rows] * p) / per_gate[g]
-            step = np.zeros_like(w)
-            np.add.at(step, g, error[:, None] * x[rows])
-            grown += step * step
-            w += rate * 0.2 * step / np.sqrt(grown)
-    p = 1 / (1 + np.exp(-(w[gate] * x).sum(axis=1)))
-    p = np.clip((seen[:, 1] + trust * p) / (n + trust), 1e-5, 1 - 1e-5)
-    return np.log10(np.stack([1 - p, p], axis=1))
+    n = n0 + n1
+    seen = sum((n >= least).view(np.uint8) for least in SEEN)
+    return seen * np.uint8(LEVELS) + level(n0, n1)
+
+
+#: The logit and the range of the count that a state stands for.
+_STATES = np.arange((len(SEEN) + 1) * LEVELS)
+_LOGIT = ((_STATES % LEVELS + 0.5 - LEVELS / 2) * STEP).astype(np.float32)
+_GATE = (_STATES // LEVELS).astype(np.uint8)
+
+
+def inputs(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the mixer reads, (INPUTS, bits), and the gate."""
+    x = np.empty((INPUTS, len(s0)), np.float32)
+    for i, s in enumerate((s0, s1, s2)):
+        x[i] = _LOGIT[s]
+    x[3] = 0.3
+    return x, _GATE[s1] * np.uint8(len(SEEN) + 1) + _GATE[s2]
+
+
+def dot(weights: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Each bit's row of weights (n, INPUTS) times its inputs, column by column."""
+    z = weights[:, 0].take(rows) * x[0]
+    for i in range(1, INPUTS):
+        z += weights[:, i].take(rows) * x[i]
+    return z
+
+
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+
+
+def refined_cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return gate.astype(np.int64) * REFINED + np.clip(np.floor(z * 2 + REFINED / 2), 0, REFINED - 1).astype(np.int64)
+
+
+def refine(p: np.ndarray, cell: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """p of a one, drawn toward what came true in its cell: ones and all bits seen there with TRUST bits for p."""
+    return np.clip((ones[cell] + TRUST * p) / weight[cell], 1e-5, 1 - 1e-5)
+
+
+def first_weights() -> np.ndarray:
+    return np.tile(np.array([0.8, 0.2, 0.2, 0.0]), (GATES, 1))
+
+
+class Learner:
+    """One task's tables and weights."""
+
+    def __init__(self, codes: Codes):
+        self.s0 = level(codes.plain[:, 0], codes.plain[:, 1])
+        self.pairs = [np.zeros(1 << codes.slot_bits, np.uint64) for _ in range(2)]  # zeros low, ones high
+        self.weights = first_weights()
+        self.seen, self.bits = np.zeros((GATES * REFINED, 2), np.int64), 0
+
+    def learn(self, events: tuple[np.ndarray, ...]) -> None:
+        """Predict, correct, refine, then count, a batch of bits at a time."""
+        _, node, bit, s1, s2 = events
+        for a in range(0, len(bit), BATCH_BITS):
+            b, places = bit[a : a + BATCH_BITS], [s[a : a + BATCH_BITS] for s in (s1, s2)]
+            pairs = [t[q] for t, q in zip(self.pairs, places, strict=True)]
+            x, gate = inputs(self.s0[node[a : a + BATCH_BITS]], *(state((v & LOW).astype(np.float32), (v >> np.uint64(32)).astype(np.float32)) for v in pairs))
+            z = dot(self.weights, gate, x)
+            p = squash(z)
+            # A step along each weight by its own curvature, as every eighth bit shows it.
+            error, some = b - p, slice(None, None, 8)
+            slope = np.stack([np.bincount(gate, error * x[i], GATES) for i in range(INPUTS)], axis=1)
+            bend = 8 * np.stack([np.bincount(gate[some], (p * (1 - p))[some] * x[i, some] ** 2, GATES) for i in range(INPUTS)], axis=1)
+            self.weights += RATE * slope / (bend + CAUTION)
+            self.seen += np.bincount(refined_cell(z, gate) * 2 + b, minlength=2 * len(self.seen)).reshape(-1, 2)
+            self.bits += len(b)
+            one = np.uint64(1) << (b.astype(np.uint64) * np.uint64(32))
+            for t, q in zip(self.pairs, places, strict=True):
+                np.add.at(t, q, one)
+
+    @property
+    def counts(self) -> list[np.ndarray]:
+        return [t.view(np.uint32) for t in self.pairs]
+
+
+class Model:
+    """What scoring needs: states of the predictors, weights, and the refinement table."""
+
+    def __init__(self, plain: np.ndarray, counts: list[np.ndarray], weights: np.ndarray, seen: np.ndarray):
+        self.s0 = level(plain[:, 0], plain[:, 1])
+        self.s1, self.s2 = (state(c[:, 0], c[:, 1]) for c in (x.reshape(-1, 2).astype(np.float32) for x in counts))
+        self.weights = weights.astype(np.float32)
+        self.ones, self.weight = seen[:, 1].astype(float), seen.sum(axis=1) + TRUST
+
+    def log10(self, events: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
+        """log10 of each bit's probability; doc: the number of each bit's document, ascending."""
+        _, node, bit, s1, s2 = events
+        x, gate = inputs(self.s0[node], self.s1[s1], self.s2[s2])
+        n = np.bincount(doc)
+        block = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) // BLOCK_BITS
+        order = np.argsort(block, kind="stable")
+        ends = np.cumsum(np.bincount(block))
+        weights = np.repeat(self.weights[None], len(n), axis=0).reshape(-1, INPUTS)
+        out = np.empty(len(doc))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            at = order[a:b]
+            # The documents that still go on, numbered anew.
+            some, own = np.unique(doc[at], return_inverse=True)
+            g, y, one = gate[at], x[:, at], bit[at]
+            key = own * GATES + g
+            z = dot(weights, some[own] * GATES + g, y)
+            p = squash(z)
+            q = refine(p, refined_cell(z, g), self.ones, self.weight)
+            out[at] = np.log10(np.where(one, q, 1 - q))
+            error, size = one - p, len(some) * GATES
+            step = np.stack([np.bincount(key, error * y[i], size) for i in range(INPUTS)], axis=1)
+            weights.reshape(len(n), GATES, INPUTS)[some] += (RATE_WITHIN * step / np.sqrt(BLOCK_BITS)).reshape(len(some), GATES, INPUTS)
+        return out
 
 
 # ---- Spark
@@ -184,58 +283,56 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _summed(docs: DataFrame, codes, count, size: int) -> np.ndarray:
-    """The sum over all documents of count(events, codes), `size` numbers; each task sends one table, in PARTS."""
+TABLE = "part int, source bigint, bits bigint, packed binary, extra binary"
+
+
+def learned(train: DataFrame, codes) -> Model:
+    """The model from all training documents; codes: broadcast. Each task sends its tables in PARTS slices."""
+    slots = 1 << codes.value.slot_bits
 
     def run(batches):
-        sums = np.zeros(size, np.int64)
+        learner = Learner(codes.value)
         for batch in batches:
-            for piece in slices(batch):
-                sums += count(codes.value.events([codes.value.tokens(t)[0] for t in piece.column("text").to_pylist()]))
-        kind = np.uint32 if sums.max() < 2**32 else np.int64
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "wide": pa.array([kind is np.int64] * PARTS), "sums": pa.array([x.astype(kind).tobytes() for x in np.array_split(sums, PARTS)], pa.binary())})
+            for piece in slices(batch, most=2_000_000):
+                learner.learn(codes.value.events([codes.value.tokens(t) for t in piece.column("text").to_pylist()]))
+        if not learner.bits:
+            return
+        counts = np.concatenate(learner.counts)
+        extra = np.concatenate([(learner.weights * learner.bits).reshape(-1), learner.seen.reshape(-1).astype(float)]).tobytes()
+        source = TaskContext.get().partitionId()
+        for part, piece in enumerate(np.array_split(counts, PARTS)):
+            row = (part, source, learner.bits, zstandard.ZstdCompressor(level=1).compress(piece.astype(np.int64 if piece.max(initial=0) > 2**31 else np.uint32).tobytes()), extra if part == 0 else None)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "source", "bits", "packed", "extra"])
+
+    sizes = [len(x) for x in np.array_split(np.zeros(4 * slots, np.uint8), PARTS)]
+
+    def numbers(part: int, packed: bytes) -> np.ndarray:
+        data = zstandard.ZstdDecompressor().decompress(packed)
+        return np.frombuffer(data, np.int64 if len(data) == 8 * sizes[part] else np.uint32)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = 0
-        for wide, x in zip(pdf["wide"], pdf["sums"], strict=True):
-            total = total + np.frombuffer(x, np.int64 if wide else np.uint32).astype(np.int64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.tobytes()]})
-
-    rows = docs.select("text").mapInArrow(run, "part int, wide boolean, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect()
-    return np.concatenate([np.frombuffer(r.sums, np.int64) for r in sorted(rows, key=lambda r: r.part)]) if rows else np.zeros(size, np.int64)
-
-
-class Model:
-    """What scoring needs: states of the predictors and the probabilities of bits in their cells."""
-
-    def __init__(self, s0: np.ndarray, s1: np.ndarray, s2: np.ndarray, log10: np.ndarray):
-        self.s0, self.s1, self.s2, self.log10 = s0, s1, s2, log10.reshape(-1)
-
-
-def _cells(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    return (s0.astype(np.int32) * STATES + s1) * STATES + s2
-
-
-def fit(train: DataFrame, codes) -> Model:
-    """codes: broadcast."""
-    inner, slots = codes.value.escape + 1, 1 << codes.value.slot_bits
-
-    def by_context(events) -> np.ndarray:
-        _, node, bit, s1, s2 = events
-        return np.concatenate([np.bincount(s.astype(np.int64) * 2 + bit, minlength=2 * m) for s, m in ((node, inner), (s1, slots), (s2, slots))])
-
-    sums = _summed(train, codes, by_context, 2 * (inner + 2 * slots)).reshape(-1, 2)
-    c0, c1, c2 = sums[:inner], sums[inner : inner + slots], sums[inner + slots :]
-    own = train.sparkSession.sparkContext.broadcast((without_own(c0, level), without_own(c1, state), without_own(c2, state)))
-
-    def by_state(events) -> np.ndarray:
-        _, node, bit, s1, s2 = events
-        o0, o1, o2 = own.value
-        cell = _cells(o0[node.astype(np.int64) * 2 + bit], o1[s1.astype(np.int64) * 2 + bit], o2[s2.astype(np.int64) * 2 + bit])
-        return np.bincount(cell.astype(np.int64) * 2 + bit, minlength=2 * CELLS)
-
-    seen = _summed(train, codes, by_state, 2 * CELLS).reshape(-1, 2)
-    return Model(level(c0[:, 0], c0[:, 1]), state(c1[:, 0], c1[:, 1]), state(c2[:, 0], c2[:, 1]), mix(seen))
+        part = int(pdf["part"].iloc[0])
+        total = np.zeros(sizes[part], np.int64)
+        for x in pdf["packed"]:
+            total += numbers(part, x)
+        extra = sum(np.frombuffer(x, np.float64) for x in pdf["extra"]).tobytes() if part == 0 else None
+        packed = zstandard.ZstdCompressor(level=1).compress(total.astype(np.int64 if total.max(initial=0) > 2**31 else np.uint32).tobytes())
+        return pd.DataFrame({"part": pd.array([part], "int32"), "source": [int(pdf["source"].iloc[0]) // FAN_IN], "bits": [int(pdf["bits"].sum())], "packed": [packed], "extra": [extra]})
+
+    tables = stored(train.select("text").mapInArrow(run, TABLE), "lm-tables")
+    last = tables.agg(F.max("source")).first()[0]
+    while last:  # until one table is left of each part; a group holds FAN_IN slices
+        tables = stored(tables.groupBy("part", F.floor(F.col("source") / FAN_IN).alias("next")).applyInPandas(add, TABLE), "lm-tables")
+        last //= FAN_IN
+    counts, extra, bits = np.zeros(0, np.int64), None, 0
+    for r in tables.orderBy("part").collect():  # PARTS rows, whatever the input
+        counts = np.concatenate([counts, numbers(r.part, bytes(r.packed))])
+        if r.part == 0:
+            extra, bits = np.frombuffer(bytes(r.extra), np.float64), r.bits
+    if extra is None:
+        return Model(codes.value.plain, [np.zeros(2 * slots)] * 2, first_weights(), np.zeros((GATES * REFINED, 2)))
+    n = GATES * INPUTS
+    return Model(codes.value.plain, [counts[: 2 * slots], counts[2 * slots :]], (extra[:n] / bits).reshape(GATES, INPUTS), extra[n:].reshape(-1, 2))
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_listed", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rest", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))])
@@ -255,7 +352,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
     ends = counts.where(F.col("token") == F.lit(END)).first()
     listed = [(END, ends.n if ends else 0), *zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)]
     codes = spark.sparkContext.broadcast(Codes(listed, total))
-    model = spark.sparkContext.broadcast(fit(train, codes))
+    model = spark.sparkContext.broadcast(learned(train, codes))
     smooth = float(total + kinds + 1)
     coded = codes.value.escape
     rare = float(total - int(codes.value.counts[:coded].sum()) + max(kinds - coded, 0) + 1)
@@ -268,8 +365,10 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         for batch in batches:
             for piece in slices(batch, most=2_000_000):
                 found = [c.tokens(t) for t in piece.column("text").to_pylist()]
-                token, node, bit, s1, s2 = c.events([x for x, _ in found])
-                bits = m.log10[_cells(m.s0[node], m.s1[s1], m.s2[s2]).astype(np.int64) * 2 + bit]
+                events = c.events(found)
+                token = events[0]
+                doc = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])[token]
+                bits = m.log10(events, doc)
                 of_token = np.bincount(token, bits, sum(len(x) for x, _ in found))
                 starts = np.cumsum([0, *(len(x) for x, _ in found)])
                 out: dict[str, list] = {f.name: [] for f in SCORED}

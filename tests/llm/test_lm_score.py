@@ -31,7 +31,6 @@ def brute_base(rows):
 def test_counts_and_base_against_brute_force(spark, monkeypatch, sizes):
     monkeypatch.setattr(lm, "CODED", sizes[0])
     monkeypatch.setattr(lm, "LISTED", sizes[1])
-    monkeypatch.setattr(lm, "SLOT_BITS", 12)
     rows = [*AWKWARD, *((50 + i, f"The cat {i % 5} sat on the MAT number {i}") for i in range(40))]
     got = lm.lm_scores(documents(spark, rows)).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == brute_base(rows)
@@ -45,21 +44,70 @@ def test_huffman_codes_are_prefix_free():
     assert len(codes[2]) == min(map(len, codes))
 
 
-def test_a_token_s_probabilities_add_up_to_one(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SLOT_BITS", 10)
+def model(codes, rng):
+    n = 2 << codes.slot_bits
+    counts = [rng.integers(0, 40, n) * rng.integers(0, 2, n) for _ in range(2)]
+    return lm.Model(codes.plain, counts, lm.first_weights() + rng.normal(0, 0.1, (lm.GATES, lm.INPUTS)), rng.integers(0, 50, (lm.GATES * lm.REFINED, 2)))
+
+
+def test_a_token_s_probabilities_add_up_to_one(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BITS", 3)
     codes = lm.Codes([(b"", 4), (b"a", 9), (b"b", 5), (b"c", 2)], 25)
-    rng = np.random.default_rng(0)
-    seen = rng.integers(0, 50, (lm.CELLS, 2))
-    log10 = lm.mix(seen, epochs=2).reshape(-1)
-    s0, s1, s2 = rng.integers(0, lm.LEVELS, 9), *(rng.integers(0, lm.STATES, 1 << 10) for _ in range(2))
-    total = 0
+    m, total = model(codes, np.random.default_rng(0)), 0
     for last in range(5):
-        token, node, bit, a, b = codes.events([np.array([1, 2, last if last < 4 else -1])])
-        p = np.bincount(token, log10[lm._cells(s0[node], s1[a], s2[b]).astype(np.int64) * 2 + bit])
+        ids = np.array([1, 2, last if last < 4 else -1])
+        events = codes.events([(ids, [b"a", b"b", b"other"])])
+        p = np.bincount(events[0], m.log10(events, np.zeros(len(events[0]), int)))
         total += 10 ** p[2]
     assert total == pytest.approx(1)
 
 
+def brute_bits(codes, m, ids, words):
+    """The model of one document, bit by bit."""
+    sig = lambda z: 1 / (1 + math.exp(-min(max(z, -12), 12)))
+    _, node, bit, s1, s2 = codes.events([(ids, words)])
+    w, step, out = m.weights.copy(), np.zeros_like(m.weights), 0.0
+    for i in range(len(bit)):
+        if i and i % lm.BLOCK_BITS == 0:
+            w, step = w + lm.RATE_WITHIN * step / math.sqrt(lm.BLOCK_BITS), np.zeros_like(w)
+        states = [int(m.s0[node[i]]), int(m.s1[s1[i]]), int(m.s2[s2[i]])]
+        x = [(s % lm.LEVELS + 0.5 - lm.LEVELS / 2) * lm.STEP for s in states] + [0.3]
+        g = states[1] // lm.LEVELS * 4 + states[2] // lm.LEVELS
+        z = float(np.dot(w[g], x))
+        cell = g * lm.REFINED + min(max(math.floor(z * 2 + lm.REFINED / 2), 0), lm.REFINED - 1)
+        q = min(max((m.ones[cell] + lm.TRUST * sig(z)) / m.weight[cell], 1e-5), 1 - 1e-5)
+        out += math.log10(q if bit[i] else 1 - q)
+        step[g] += (bit[i] - sig(z)) * np.array(x)
+    return out
+
+
+def test_scores_against_brute_force(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BITS", 7)
+    codes = lm.Codes([(b"", 4), *((b"w%d" % i, 40 - i) for i in range(30))], 900)
+    rng = np.random.default_rng(4)
+    m = model(codes, rng)
+    found = []
+    for n in (0, 5, 60, 1, 33):
+        ids = rng.integers(-1, 31, n)
+        found.append((np.append(ids, 0), [b"x%d" % i for i in range(n)]))
+    events = codes.events(found)
+    doc = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])[events[0]]
+    got = np.bincount(doc, m.log10(events, doc))
+    assert got == pytest.approx([brute_bits(codes, m, ids, words) for ids, words in found], rel=1e-4)
+
+
+def test_learning_goes_down(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BITS", 256)
+    codes = lm.Codes([(b"", 400), *((b"w%d" % i, 100) for i in range(16))], 2000)
+    learner = lm.Learner(codes)
+    text = [(np.array([*(1 + (i * 5 + k * 3) % 16 for k in range(40)), 0]), [b"w"] * 40) for i in range(16)]
+    for _ in range(30):
+        learner.learn(codes.events(text))
+    m = lm.Model(codes.plain, learner.counts, learner.weights, learner.seen)
+    events = codes.events(text)
+    assert m.log10(events, np.repeat(np.arange(16), 41)[events[0]]).mean() > -0.1  # 0.3 for bits of no pattern
+
+
 def test_held_out_documents_beat_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm.lm_scores(docs).where("held_out").agg({"base_score": "sum", "score": "sum", "n_tokens": "sum"}).first().asDict()
