@@ -52,11 +52,13 @@ GATES = (len(SEEN) + 1) ** 2
 INPUTS = 4
 #: Levels of the mixed prediction in the refinement table, and how many bits of its own outweigh the mix.
 REFINED, TRUST = 48, 40.0
-BATCH_BITS, BLOCK_BITS = 1 << 16, 512
+BATCH_BITS, BLOCK_BITS = 1 << 16, 1024
 #: Curvature that a step reckons with besides what its bits show.
 CAUTION = 200.0
 RATE, RATE_WITHIN = 0.3, 0.1
 PARTS, FAN_IN = 32, 16
+#: Bytes of text whose bits are held at once, if no single text is longer: some 50 MB.
+PIECE = 300_000
 LOW = np.uint64(2**32 - 1)
 
 
@@ -126,8 +128,8 @@ class Codes:
         h1 = (before + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
         h2 = (h1 ^ (h1 >> np.uint32(15))) * np.uint32(0x85EBCA77) + (second + 1).astype(np.uint32) * np.uint32(0xC2B2AE3D)
         length = self.length[code]
-        token = np.repeat(np.arange(len(code)), length)
-        at = np.arange(len(token)) + np.repeat(self.start[code] - (np.cumsum(length) - length), length)
+        token = np.repeat(np.arange(len(code), dtype=np.int32), length)
+        at = np.arange(len(token), dtype=np.int32) + np.repeat((self.start[code] - (np.cumsum(length) - length)).astype(np.int32), length)
         node, bit = self.nodes[at], self.bits[at]
         mixed = node * np.uint32(0x27D4EB2F)
         s1, s2 = ((np.repeat(h, length) ^ mixed) * np.uint32(0x165667B1) for h in (h1, h2))
@@ -173,16 +175,16 @@ def dot(weights: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    return 1 / (1 + np.exp(np.clip(-z, -12, 12)))
 
 
 def refined_cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    return gate.astype(np.int64) * REFINED + np.clip(np.floor(z * 2 + REFINED / 2), 0, REFINED - 1).astype(np.int64)
+    return gate * np.int32(REFINED) + np.clip(z * 2 + REFINED / 2, 0, REFINED - 1).astype(np.int32)
 
 
 def refine(p: np.ndarray, cell: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """p of a one, drawn toward what came true in its cell: ones and all bits seen there with TRUST bits for p."""
-    return np.clip((ones[cell] + TRUST * p) / weight[cell], 1e-5, 1 - 1e-5)
+    return np.clip((ones.take(cell) + np.float32(TRUST) * p) / weight.take(cell), np.float32(1e-5), np.float32(1 - 1e-5))
 
 
 def first_weights() -> np.ndarray:
@@ -230,31 +232,31 @@ class Model:
         self.s0 = level(plain[:, 0], plain[:, 1])
         self.s1, self.s2 = (state(c[:, 0], c[:, 1]) for c in (x.reshape(-1, 2).astype(np.float32) for x in counts))
         self.weights = weights.astype(np.float32)
-        self.ones, self.weight = seen[:, 1].astype(float), seen.sum(axis=1) + TRUST
+        self.ones, self.weight = seen[:, 1].astype(np.float32), (seen.sum(axis=1) + TRUST).astype(np.float32)
 
     def log10(self, events: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
         """log10 of each bit's probability; doc: the number of each bit's document, ascending."""
-        _, node, bit, s1, s2 = events
-        x, gate = inputs(self.s0[node], self.s1[s1], self.s2[s2])
         n = np.bincount(doc)
         block = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) // BLOCK_BITS
-        order = np.argsort(block, kind="stable")
-        ends = np.cumsum(np.bincount(block))
-        weights = np.repeat(self.weights[None], len(n), axis=0).reshape(-1, INPUTS)
+        order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
+        node, bit, s1, s2, doc = (v[order] for v in (*events[1:], doc.astype(np.int32)))
+        ends = np.cumsum(np.bincount(block)).tolist()
+        weights = np.repeat(self.weights[None], len(n), axis=0)
         out = np.empty(len(doc))
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            at = order[a:b]
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            x, gate = inputs(*(of[v[a:b]] for of, v in ((self.s0, node), (self.s1, s1), (self.s2, s2))))
             # The documents that still go on, numbered anew.
-            some, own = np.unique(doc[at], return_inverse=True)
-            g, y, one = gate[at], x[:, at], bit[at]
-            key = own * GATES + g
-            z = dot(weights, some[own] * GATES + g, y)
+            new = np.diff(doc[a:b], prepend=-1) > 0
+            some = doc[a:b][new]
+            key = (np.cumsum(new) - 1) * GATES + gate
+            own = weights[some]
+            z = dot(own.reshape(-1, INPUTS), key, x)
             p = squash(z)
-            q = refine(p, refined_cell(z, g), self.ones, self.weight)
-            out[at] = np.log10(np.where(one, q, 1 - q))
-            error, size = one - p, len(some) * GATES
-            step = np.stack([np.bincount(key, error * y[i], size) for i in range(INPUTS)], axis=1)
-            weights.reshape(len(n), GATES, INPUTS)[some] += (RATE_WITHIN * step / np.sqrt(BLOCK_BITS)).reshape(len(some), GATES, INPUTS)
+            q = refine(p, refined_cell(z, gate), self.ones, self.weight)
+            out[order[a:b]] = np.log10(np.where(bit[a:b], q, np.float32(1) - q))
+            error, size = bit[a:b] - p, len(some) * GATES
+            step = np.stack([np.bincount(key, error * x[i], size) for i in range(INPUTS)], axis=1)
+            weights[some] = own + (RATE_WITHIN / np.sqrt(BLOCK_BITS) * step).reshape(own.shape)
         return out
 
 
@@ -293,7 +295,7 @@ def learned(train: DataFrame, codes) -> Model:
     def run(batches):
         learner = Learner(codes.value)
         for batch in batches:
-            for piece in slices(batch, most=2_000_000):
+            for piece in slices(batch, most=PIECE):
                 learner.learn(codes.value.events([codes.value.tokens(t) for t in piece.column("text").to_pylist()]))
         if not learner.bits:
             return
@@ -363,7 +365,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         rare_of = np.append(np.where(np.arange(len(c.counts)) < coded, 0.0, np.log10((c.counts + 1) / rare)), 0.0)
         known_of = np.append(c.counts > 0, False)
         for batch in batches:
-            for piece in slices(batch, most=2_000_000):
+            for piece in slices(batch, most=PIECE):
                 found = [c.tokens(t) for t in piece.column("text").to_pylist()]
                 events = c.events(found)
                 token = events[0]
