@@ -375,14 +375,17 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
                 starts = np.cumsum([0, *(len(x) for x, _ in found)])
                 out: dict[str, list] = {f.name: [] for f in SCORED}
                 out["doc_id"] = piece.column("doc_id")
+                rest: list[Counter] = []
                 for (ids, words), text, a, b in zip(found, piece.column("text").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     out["n_tokens"].append(len(ids))
                     out["n_bytes"].append(len((text or "").encode()))
                     out["n_listed"].append(int(known_of[ids].sum()))
                     out["base"].append(float(base_of[ids].sum()))
                     out["model"].append(float(of_token[a:b].sum() + rare_of[ids].sum()))
-                    out["rest"].append([{"token": t, "n": n} for t, n in Counter(words[i] for i in np.flatnonzero(ids[:-1] < 0)).items()])
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCORED], schema=SCORED)
+                    rest.append(Counter(words[i] for i in np.flatnonzero(ids[:-1] < 0).tolist()))
+                flat = pa.StructArray.from_arrays([pa.array([t for c in rest for t in c], pa.binary()), pa.array([n for c in rest for n in c.values()], pa.int64())], names=["token", "n"])
+                out["rest"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in SCORED], schema=SCORED)
 
     scored = stored(rows.mapInArrow(run, SCORED_DDL).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rest = scored.select("row", F.explode("rest").alias("t")).select("row", "t.token", F.col("t.n").alias("times"))
