@@ -100,6 +100,12 @@ def slices(batch: pa.RecordBatch, texts: str = "text", most: int = 4_000_000) ->
         yield batch.slice(start)
 
 
+def by_piece(one: Callable[[pa.RecordBatch], dict[str, list] | None], schema: pa.Schema, most: int = 2_000_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """by_batch over pieces of about `most` bytes of text, so that a worker holds little more than one of them."""
+    run = by_batch(one, schema)
+    return lambda batches: run(piece for batch in batches for piece in slices(batch, most=most))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal keys, in batches that are sorted by them; only the run at hand is held."""
     held: list[pa.RecordBatch] = []

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import by_batch, groups, id_and_text, perhaps_among, slices, stored, table
+from docdelta.llm.common import by_batch, by_piece, groups, id_and_text, perhaps_among, slices, stored, table
 from docdelta.llm.graph import components
 
 BANDS, ROWS = 32, 4
@@ -159,7 +159,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             "registers": [r.tobytes() if x else None for r, x in zip(regs, some, strict=True)],
         }
 
-    return docs.mapInArrow(by_batch(run, SIGNED), "doc_id bigint, n_shingles bigint, node binary, registers binary")
+    return docs.mapInArrow(by_piece(run, SIGNED), "doc_id bigint, n_shingles bigint, node binary, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     # By id, then by the set's own hash: rows with equal ids may hold other texts.
     wanted = stored(wanted, "wanted")
     docs = perhaps_among(docs, wanted, "doc_id")
-    full = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("class", "node", "text").mapInArrow(by_batch(run, schema), "class bigint, found boolean, shingles binary")
+    full = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("class", "node", "text").mapInArrow(by_piece(run, schema), "class bigint, found boolean, shingles binary")
     return full.where("found").select("class", "shingles").dropDuplicates(["class"])
 
 
