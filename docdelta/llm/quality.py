@@ -17,10 +17,9 @@ are left out; without labels of both kinds every score is the labels' share of 1
 any. An empty table gives no rows.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,6 +112,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     sums += context_sums(held)
                     held, size = [], 0
             sums += context_sums(held)
+        _tokens.clear()  # a worker lives on after its task
         pieces = np.array_split(sums, parts)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "sums": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
@@ -230,9 +230,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_L
     net = spark.sparkContext.broadcast(train(rows, learn, vectors, most_labels))
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        x = np.array([pooled(t, vectors.value) for t in text], np.float32).reshape(-1, FEATURES)
-        return pd.Series(net.value.scores(x))
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            x = np.array([pooled(t, vectors.value) for t in text], np.float32).reshape(-1, FEATURES)
+            yield pd.Series(net.value.scores(x))
+        _tokens.clear()
 
     every = docs.select(docs[id_col].cast("long").alias("doc_id"), score(docs[text_col].cast("string")).alias("score"), *([F.struct("*").alias("row")] if keep_text else []))
     held = F.coalesce(crc_mod(F.col("doc_id"), folds) == 0, F.lit(False))
