@@ -220,8 +220,11 @@ SEGMENT = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("doc_ids",
 SEGMENT_DDL = "part int, segment bigint, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, dac binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append end_id, and write segments in ascending order of the ids of documents."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> None:
+    """Encode every text, append end_id, and write segments in ascending order of the ids of documents.
+
+    Workers keep the words they met for their next task, unless other work is to have that memory.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
@@ -233,6 +236,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 dac = dac_encode(np.frombuffer(b"".join(ids), "<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, segment, piece.column("doc_id").to_pylist(), lengths, sum(lengths), dac), SEGMENT, strict=True)], schema=SEGMENT)
                 segment += 1
+        if not keep_words:
+            _words.clear()
 
     rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     order = ["doc_id", "tie", "text"]
@@ -276,14 +281,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_segments(spark, path).select("doc_ids", "lengths", "start", "dac").mapInArrow(by_batch(decode, DOCS), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str | None = None, keep_words: bool = True) -> DataFrame:
     """Write the documents' ids to a new folder of the shared checkpoint folder and read them back."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     path = scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer_path)
+    write_token_files(docs, path, tokenizer_path, keep_words=keep_words)
     return read_documents(docs.sparkSession, path)
 
 
