@@ -50,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_store.token_files(docs)
+    """A row for each document, in the files' order of ids; null and empty texts have the end id alone."""
+    return token_store.token_files(docs, keep_words=False)
 
 
 STAGES = [
