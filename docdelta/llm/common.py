@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,29 @@ def perhaps_among(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(maps), "bucket").where(here).select(*rows.columns)
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send batches of at most BATCH_BYTES to Python workers; a smaller setting stays.
+
+    The default of 64 MB is held by the executor and the worker of every running task at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "67108864")).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the machine; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,6 +107,8 @@ def by_batch(one: Callable[[pa.RecordBatch], dict[str, list] | None], schema: pa
         for batch in batches:
             if batch.num_rows and (out := one(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        batch = out = None
+        give_back()
 
     return run
 

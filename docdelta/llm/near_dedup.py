@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import by_batch, by_piece, groups, id_and_text, perhaps_among, slices, stored, table
+from docdelta.llm.common import bounded_batches, by_batch, by_piece, give_back, groups, id_and_text, perhaps_among, slices, stored, table
 from docdelta.llm.graph import components
 
 BANDS, ROWS = 32, 4
@@ -37,7 +37,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SLACK = 0.17
 #: A block of a cell: classes, and shingles of them all, on average.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = (np.random.default_rng(20240601).integers(0, 2**63, REGISTERS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -256,6 +256,8 @@ def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 pairs = column("class")[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        block = None
+        give_back()
 
     order = ["cell", "a", "b", F.desc("first"), F.desc(F.col("class") == F.col("cell"))]
     return df.repartition("cell", "a", "b").sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
@@ -295,6 +297,7 @@ def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> Da
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+    bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     signed = stored(signatures(rows, shingle), "signatures")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers"))

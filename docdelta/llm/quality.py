@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import by_batch, crc_mod, id_and_text, table
+from docdelta.llm.common import bounded_batches, by_batch, crc_mod, give_back, id_and_text, table
 
 CORES, SHAPES, DIMS, AROUND, NONZERO = 8192, 512, 32, 2, 2
 TOKENS = CORES + SHAPES
@@ -36,7 +36,7 @@ FEATURES = 3 * DIMS + 4
 #: Labelled rows that the network is fitted on, at most.
 MOST_LABELS = 20_000
 ACCEPT = 0.3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _RNG = np.random.default_rng(20240607)
 _PLACES = _RNG.integers(0, DIMS, (TOKENS, NONZERO))
 _SIGNS = _RNG.choice([-1, 1], (TOKENS, NONZERO))
@@ -113,6 +113,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     held, size = [], 0
             sums += context_sums(held)
         _tokens.clear()  # a worker lives on after its task
+        give_back()
         pieces = np.array_split(sums, parts)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "sums": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
@@ -224,6 +225,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_L
     keep_text adds the row's struct of all input columns as `row`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
     vectors = spark.sparkContext.broadcast(word_vectors(rows))
     learn = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where(crc_mod(F.col("doc_id"), folds) != 0)
@@ -235,6 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_L
             x = np.array([pooled(t, vectors.value) for t in text], np.float32).reshape(-1, FEATURES)
             yield pd.Series(net.value.scores(x))
         _tokens.clear()
+        give_back()
 
     every = docs.select(docs[id_col].cast("long").alias("doc_id"), score(docs[text_col].cast("string")).alias("score"), *([F.struct("*").alias("row")] if keep_text else []))
     held = F.coalesce(crc_mod(F.col("doc_id"), folds) == 0, F.lit(False))
