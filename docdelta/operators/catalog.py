@@ -12,8 +12,9 @@ def with_hash(docs: DataFrame, content: str = "text") -> DataFrame:
 
 def canonical(docs: DataFrame) -> DataFrame:
     """(doc_id, canonical_id, reused): one hash, one document, the first. An aggregate and a join, so a hot hash is split."""
-    first = docs.groupBy("content_hash").agg(F.min("doc_id").alias("canonical_id"))
-    return docs.join(first, "content_hash").select("doc_id", "canonical_id", (F.col("doc_id") != F.col("canonical_id")).alias("reused"))
+    first = docs.groupBy(F.col("content_hash").alias("first_hash")).agg(F.min("doc_id").alias("canonical_id"))
+    same = docs["content_hash"].eqNullSafe(first["first_hash"])  # documents without content are copies of each other
+    return docs.join(first, same).select("doc_id", "canonical_id", (F.col("doc_id") != F.col("canonical_id")).alias("reused"))
 
 
 def lookup(docs: DataFrame, wanted: DataFrame, key: str = "content_hash") -> DataFrame:

@@ -303,7 +303,7 @@ def _stream(e: Entities, df: DataFrame, run: Callable[[DataFrame], DataFrame], m
 _uploads = lambda e: _docs(e).select("doc_id", "content_hash", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, doc_id % 3600)").alias("ts"))
 _events = lambda e: e.jobs.select((F.col("job_id") % 500).alias("job_id"), "status", "has_result", F.col("created_at").alias("ts"))
 add("stream_dedupe", lambda e: _stream(e, _uploads(e), streams.drop_seen).select("content_hash"))
-add("stream_progress", lambda e: _stream(e, _events(e), streams.latest_state, "complete"))
+add("stream_progress", lambda e: streams.newest(_stream(e, _events(e), streams.latest_state, "update"), ["job_id"]))
 add("stream_metrics_tumbling", lambda e: _stream(e, e.metrics, streams.tumbling))
 add("stream_metrics_sliding", lambda e: _stream(e, e.metrics, lambda d: streams.tumbling(d, size="2 days", slide="1 day")))
 add("stream_job_sessions", lambda e: _stream(e, _events(e), streams.sessions))
@@ -312,7 +312,7 @@ add("stream_job_sessions", lambda e: _stream(e, _events(e), streams.sessions))
 @query("stream_stuck")
 def stream_stuck(e: Entities) -> DataFrame:
     e.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
-    return _stream(e, _events(e), streams.stuck)
+    return _stream(e, e.jobs.select("job_id", "status", "has_result", F.col("updated_at").alias("ts")), streams.stuck)
 
 
 @query("stream_compare")

@@ -74,10 +74,20 @@ def for_each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()
 
 
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key, of what drain wrote in update mode."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *(F.col("last")[c].alias(c) for c in rest))
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process all that is there now into Parquet files (append) or into the last full result (other modes)."""
+    """Process all that is there now into Parquet files: its rows (append), a folder for each batch's changes (update), the last full result (complete)."""
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    elif mode == "update":
+        # A repeated batch replaces its own folder.
+        query = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).trigger(availableNow=True).start()
     else:
         query = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -118,3 +118,49 @@ def test_streams_equal_their_batches(spark, e, tmp_path):
     batch = {tuple(r) for r in streams.tumbling(metrics).collect()}
     last = max(r[1] for r in batch)
     assert got <= batch and {r for r in batch - got} <= {r for r in batch if (last - r[1]).days < 2}
+
+
+def _drained(spark, df, run, tmp_path, mode="append"):
+    # Two files, one a batch: state passes from batch to batch.
+    for i, part in enumerate(df.randomSplit([0.5, 0.5], 5)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.drain(run(source), str(tmp_path / "out"), str(tmp_path / "c"), mode)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_progress_stream_keeps_the_last_state(spark, e, tmp_path):
+    events = e.jobs.select((F.col("job_id") % 50).alias("job_id"), "status", F.col("created_at").alias("ts"))
+    got = streams.newest(_drained(spark, events, streams.latest_state, tmp_path, "update"), ["job_id"])
+    assert sorted(map(tuple, got.select("job_id", "status", "ts").collect())) == sorted(map(tuple, streams.latest_state(events).collect()))
+
+
+def test_stuck_stream_equals_repair(spark, e, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = e.jobs.select("job_id", "status", "has_result", F.col("updated_at").alias("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    streams.drain(streams.stuck(source), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    last = e.jobs.agg(F.max("updated_at").alias("t")).first().t
+    wanted = {r.job_id for r in jobs.repair(e.jobs, F.lit(last)).where("message is not null").collect()}
+    assert got and got == wanted
+
+
+def test_closed_sliding_windows_and_sessions_equal_their_batches(spark, e, tmp_path):
+    sliding = lambda d: streams.tumbling(d, size="2 days", slide="1 day")
+    events = e.jobs.select((F.col("job_id") % 50).alias("job_id"), F.col("created_at").alias("ts"))
+    for name, df, run, end in (("w", e.metrics, sliding, 86400), ("s", events, streams.sessions, 3600)):
+        df.coalesce(1).write.parquet(str(tmp_path / name / "in"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / name / "in"))
+        streams.drain(run(source), str(tmp_path / name / "out"), str(tmp_path / name / "c"))
+        got = sorted(map(tuple, spark.read.parquet(str(tmp_path / name / "out")).collect()))
+        mark = df.agg(F.max("ts").alias("t")).first().t.timestamp() - end
+        batch = run(df)
+        wanted = sorted(tuple(r) for r in batch.collect() if r["end"].timestamp() <= mark)
+        assert got and got == wanted
+
+
+def test_documents_without_content_stay(spark):
+    d = catalog.with_hash(spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "doc_id long, text string"))
+    assert {tuple(r) for r in catalog.canonical(d).collect()} == {(1, 1, False), (3, 1, True), (2, 2, False), (4, 2, True)}
