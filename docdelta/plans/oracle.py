@@ -253,7 +253,6 @@ _QUERIES = {
 _QUERIES |= {
     "stream_dedupe": "select distinct md5(text) as content_hash from documents",
     "stream_stuck": "select job_id, 'FAILED' as status from jobs where status in ('PROCESSING', 'PENDING') and not has_result and updated_at + interval 15 minute < (select max(updated_at) from jobs)",
-    "stream_compare": "select pair_id, diff_id, change, severity from diffs",
     "stream_retention": _QUERIES["retention"],
 }
 

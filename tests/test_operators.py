@@ -164,3 +164,17 @@ def test_closed_sliding_windows_and_sessions_equal_their_batches(spark, e, tmp_p
 def test_documents_without_content_stay(spark):
     d = catalog.with_hash(spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "doc_id long, text string"))
     assert {tuple(r) for r in catalog.canonical(d).collect()} == {(1, 1, False), (3, 1, True), (2, 2, False), (4, 2, True)}
+
+
+def test_compare_stream_equals_the_batch(spark, e):
+    from docdelta.plans.queries import QUERIES
+
+    got = sorted(map(tuple, QUERIES["stream_compare"](spark, SF).select("pair_id", "diff_id", "change", "severity").collect()))
+    assert got and got == sorted(map(tuple, e.differences.select("pair_id", "diff_id", "change", "severity").collect()))
+
+
+def test_retention_stream_equals_the_batch(spark, e):
+    from docdelta.plans.queries import QUERIES
+
+    got = sorted(map(tuple, QUERIES["stream_retention"](spark, SF).select("job_id", "status").collect()))
+    assert got and got == sorted(map(tuple, QUERIES["retention"](spark, SF).select("job_id", "status").collect()))
