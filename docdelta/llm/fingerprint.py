@@ -1,16 +1,18 @@
 """Document fingerprints that can be subtracted: invertible Bloom lookup sketches.
 
 A document is the set of digests of its paragraph blocks: paragraphs, cut where they are longer than
-BLOCK characters. A sketch has cells in three rows; a digest goes to one cell of each row, where it
-counts one and is added by exclusive or, with a check value. Cells of two versions subtract, and
-what both hold is gone. A cell left with one digest shows it, and taking that out of its other cells
-shows more: peeling recovers the digests that differ, by side. Where peeling gets stuck, a sketch of
-twice the cells takes its place, again and again.
-
-The fingerprint is the sketch of smallest size. Larger differences need more cells than that, so
-the digests are dealt by their value over as many sketches as their number calls for, and each is
-subtracted, peeled and retried by itself. The likeness of two documents is their shared digests as a
-part of all their digests, from the numbers of digests recovered and the sizes of the two sets.
+BLOCK characters. With such cuts an insertion changes the later blocks of its paragraph; with
+`units=SENTENCES` it changes the sentence that it touches alone. A sketch has cells in three rows; a
+digest goes to one cell of each row, where it counts one and is added by exclusive or, with a check
+value. The cells of two versions subtract, and what both hold is gone. A cell left
+with one digest shows it, and taking that out of its other cells shows more: peeling recovers the
+digests that differ, by side.
+
+The fingerprint is the sketch of smallest size, as text. Likeness comes from subtracting two
+fingerprints: the digests recovered and the sizes of the two sets give the shared digests as a part of
+all. Where too much differs for peeling to end, larger sketches of both documents take their place.
+They have as many parts as the two sets call for, a digest's part follows from its value, and a part
+that still can't be peeled is built again with twice the cells until it can: there is no other way out.
 
 Everything here is DataFrame functions: no Python runs on the executors. Texts are shuffled once, by
 document; the next document sends its digests and the characters that the edited text takes.
@@ -31,13 +33,17 @@ from pyspark.sql import functions as F
 from docdelta.llm.common import NO_ID, id_and_text, partitions, stored, table
 
 BLOCK = 64
-#: Cells of a sketch's row; digests of both sides together in one sketch, on average.
-CELLS, LOAD = 10, 10
-ROUNDS, RETRIES = 7, 2
+#: Patterns of what is hashed: cuts of paragraphs, or sentences with their marks, themselves cut where very long.
+CUTS = f"[^\\n]{{1,{BLOCK}}}"
+SENTENCES = "[^\\n.!?。！？]{1,256}[.!?。！？]*|[.!?。！？]+"
+#: Cells of a fingerprint's row; of a row of each part of a larger sketch; digests of both sides in a part, on average.
+CELLS, PART_CELLS, LOAD = 10, 5, 5
+#: Rounds of peeling before a sketch counts as stuck; doublings of a part, more than any part can need.
+ROUNDS, DOUBLINGS = 12, 24
 
 
-def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{BLOCK}}}"), F.lit(0)), lambda b: F.xxhash64(b)))
+def digests(text: Column, units: str = CUTS) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(units), F.lit(0)), lambda b: F.xxhash64(b)))
 
 
 def _let(value: Column, use) -> Column:
@@ -55,13 +61,9 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(77))
 
 
-def _cell(digest: Column, row: int, width: int) -> Column:
+def _cell(digest: Column, row: int, width: Column) -> Column:
     """The digest's cell in a row; each size of sketch places digests anew."""
-    return (F.pmod(F.xxhash64(digest, F.lit(row), F.lit(width)), F.lit(width)) + row * width).cast("int")
-
-
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return (F.pmod(F.xxhash64(digest, F.lit(row), width), width) + row * width).cast("int")
 
 
 def _add(cells: Column, placed: Column, sign: int) -> Column:
@@ -76,19 +78,29 @@ def _add(cells: Column, placed: Column, sign: int) -> Column:
     return F.transform(cells, with_its_own)
 
 
-def _placed(signed: Column, width: int) -> Column:
+def _placed(signed: Column, width: Column) -> Column:
     """Each (sign, digest) with its check value and cells."""
     return F.transform(signed, lambda s: F.struct(s["sign"].alias("n"), s["digest"].alias("k"), _check(s["digest"]).alias("c"), F.array(*(_cell(s["digest"], r, width) for r in range(3))).alias("at")))
 
 
-def sketch(signed: Column, width: int) -> Column:
+def sketch(signed: Column, width: Column | int) -> Column:
     """Cells (n, k, c) of an array of (sign, digest): count, digests and check values by exclusive or."""
-    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), 3 * width)
+    width = F.lit(width)
+    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")), (3 * width).cast("int"))
     return _let(_placed(signed, width), lambda placed: _add(empty, placed, 1))
 
 
-def peel(cells: Column, width: int) -> Column:
-    """(ours, theirs, ok): digests recovered from subtracted cells by side, and whether nothing is left."""
+def sketch_of(values: Column, width: Column | int) -> Column:
+    return sketch(F.transform(values, lambda d: F.struct(F.lit(1).alias("sign"), d.alias("digest"))), width)
+
+
+def subtract(cells: Column, others: Column) -> Column:
+    return F.zip_with(cells, others, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+
+
+def peel(cells: Column, width: Column | int) -> Column:
+    """(ours, theirs, ok): how many digests the subtracted cells give up by side, and whether nothing is left."""
+    width = F.lit(width)
     start = F.struct(cells.alias("cells"), F.array().cast("array<struct<sign: int, digest: bigint>>").alias("found"))
 
     def step(state: Column, _: Column) -> Column:
@@ -103,17 +115,29 @@ def peel(cells: Column, width: int) -> Column:
 
     def end(state: Column) -> Column:
         side = lambda n: F.size(F.filter(state["found"], lambda s: s["sign"] == n))
-        left = F.exists(state["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0))
+        left = F.exists(state["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
         return F.struct(side(1).alias("ours"), side(-1).alias("theirs"), (~left).alias("ok"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
 
 
-def _hex(text_digests: Column) -> Column:
-    """The sketch of smallest size as text: 4, 16 and 8 hex digits for each cell."""
-    cells = sketch(F.transform(text_digests, lambda d: F.struct(F.lit(1).alias("sign"), d.alias("digest"))), CELLS)
+def grown(ours: Column, theirs: Column) -> Column:
+    """peel's result for two arrays of digests, from sketches that double until peeling ends."""
+    stuck = F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(False).alias("ok"))
+
+    def attempt(state: Column, i: Column) -> Column:
+        def of(width: Column) -> Column:
+            return peel(subtract(sketch_of(ours, width), sketch_of(theirs, width)), width)
+
+        return F.when(state["ok"], state).otherwise(_let(F.pow(F.lit(2), i).cast("int") * PART_CELLS, of))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), stuck, attempt)
+
+
+def _hex(cells: Column) -> Column:
+    """A sketch as text: 4, 16 and 16 hex digits for each cell."""
     digits = lambda c, n: F.substring(F.lpad(F.hex(c), 16, "0"), 17 - n, n)
-    return F.array_join(F.transform(cells, lambda x: F.concat(digits(x["n"].cast("long"), 4), digits(x["k"], 16), digits(x["c"], 8))), "")
+    return F.array_join(F.transform(cells, lambda x: F.concat(digits(x["n"].cast("long"), 4), digits(x["k"], 16), digits(x["c"], 16))), "")
 
 
 def next_documents(rows: DataFrame) -> DataFrame:
@@ -140,7 +164,7 @@ def likeness(a: Column, b: Column, ours: Column, theirs: Column) -> Column:
     return F.when(a + b == 0, F.lit(1.0)).otherwise(shared.cast("double") / (b + a - shared))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: str = CUTS) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the numbers of digests that differ."""
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
@@ -151,49 +175,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # What a row's next document sends: its first characters and its digests.
     sent = rows.join(links.select(F.col("ndoc").alias("doc"), F.col("ntag").alias("tag"), F.col("doc").alias("to_doc"), F.col("tag").alias("to_tag"), third.alias("m")), ["doc", "tag"])
-    sent = sent.select(F.col("to_doc").alias("doc"), F.col("to_tag").alias("tag"), F.col("doc").alias("from_doc"), F.col("tag").alias("from_tag"), F.substring("text", F.lit(1), F.col("m")).alias("head"), digests(F.col("text")).alias("next"))
+    sent = sent.select(F.col("to_doc").alias("doc"), F.col("to_tag").alias("tag"), F.col("doc").alias("from_doc"), F.col("tag").alias("from_tag"), F.substring("text", F.lit(1), F.col("m")).alias("head"), digests(F.col("text"), units).alias("next"))
     pairs = rows.join(links, ["doc", "tag"]).withColumn("m", third).join(sent, ["doc", "tag"]).where("(ndoc ^ from_doc) = 0 and (ntag ^ from_tag) = 0")
     pairs = pairs.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), "head"))
     pairs = pairs.select("doc", "tag", "ndoc", "ntag", "n", "copies", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), F.col("text").alias("own"), F.col("edited_text").alias("edited"), "next")
-    pairs = _held(_held(pairs, "own", digests(F.col("own"))), "edited", digests(F.col("edited")))
-
-    a, e, x = (F.size(c) for c in ("own", "edited", "next"))
-    facts = F.struct("n", "copies", "edited_sha256", _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edited")).alias("edited_fingerprint"), a.alias("a"), e.alias("e"), x.alias("x"))
-    none = F.lit(None).cast("long")
-
-    def side(kind: str, values: str, sign: int, sketches: Column) -> Column:
-        return F.transform(F.col(values), lambda d: F.struct(F.lit(kind).alias("kind"), F.pmod(F.xxhash64(d, F.lit(5)), sketches).alias("g"), F.lit(sign).alias("sign"), d.alias("digest")))
-
-    to_edited, to_next = F.greatest(F.ceil((a + e) / (2 * LOAD)), F.lit(1)), F.greatest(F.ceil((a + x) / LOAD), F.lit(1))
-    one = F.array(F.struct(F.lit("facts").alias("kind"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("sign"), none.alias("digest")))
-    every = F.concat(one, side("edited", "own", 1, to_edited), side("edited", "edited", -1, to_edited), side("next", "own", 1, to_next), side("next", "next", -1, to_next))
+    pairs = _held(_held(pairs, "own", digests(F.col("own"), units)), "edited", digests(F.col("edited"), units))
+    for values in ("own", "edited", "next"):
+        pairs = _held(pairs, f"{values}_cells", sketch_of(F.col(values), CELLS))
+    for other in ("edited", "next"):
+        pairs = _held(pairs, f"by_{other}", peel(subtract(F.col("own_cells"), F.col(f"{other}_cells")), CELLS))
+
+    # One row of facts for each document, and the digests of those sketches that have to be larger.
+    size = {c: F.size(c) for c in ("own", "edited", "next")}
+    facts = F.struct("n", "copies", "edited_sha256", _hex(F.col("own_cells")).alias("fingerprint"), _hex(F.col("edited_cells")).alias("edited_fingerprint"), *(size[c].alias(f"{c}_size") for c in size), "by_edited", "by_next")
+    no_facts = F.when(F.lit(False), facts)
+    element = lambda kind, g, sign, digest, f: F.struct(F.lit(kind).alias("kind"), g.cast("long").alias("g"), F.lit(sign).alias("sign"), digest.alias("digest"), f.alias("facts"))
+
+    def side(kind: str, values: str, sign: int) -> Column:
+        parts = F.ceil((size["own"] + size[kind]) / LOAD)
+        dealt = F.transform(F.col(values), lambda d: element(kind, F.pmod(F.xxhash64(d, F.lit(5)), parts), sign, d, no_facts))
+        return F.when(F.col(f"by_{kind}.ok"), F.slice(dealt, 1, 0)).otherwise(dealt)
+
+    every = F.concat(F.array(element("facts", F.lit(0), 0, F.lit(None).cast("long"), facts)), *(side(kind, values, sign) for kind in ("edited", "next") for values, sign in (("own", 1), (kind, -1))))
     key = ["doc", "tag", "ndoc", "ntag"]
-    cells = pairs.select(*key, facts.alias("facts"), every.alias("every")).select(*key, "facts", F.explode("every").alias("s"))
-    cells = cells.select(*key, F.when(F.col("s.kind") == "facts", F.col("facts")).alias("facts"), "s.kind", "s.g", "s.sign", "s.digest")
+    cells = pairs.select(*key, F.explode(every).alias("s")).select(*key, "s.*")
     tables = cells.groupBy(*key, "kind", "g").agg(F.collect_list(F.struct("sign", "digest")).alias("signed"), F.first("facts", True).alias("facts"))
-
-    result = F.when(F.col("kind") == "facts", F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))).otherwise(peel(sketch(F.col("signed"), CELLS), CELLS))
-    tables = _held(tables, "r", result)
-    for i in range(1, RETRIES + 1):
-        width = CELLS << 2 * i
-        tables = _held(tables, "r", F.when(F.col("r.ok"), F.col("r")).otherwise(peel(sketch(F.col("signed"), width), width)))
-    # Two digests that share their cells in every size are told apart as they are.
     of = lambda n: F.transform(F.filter("signed", lambda s: s["sign"] == n), lambda s: s["digest"])
-    plain = F.struct(F.size(F.array_except(of(1), of(-1))).alias("ours"), F.size(F.array_except(of(-1), of(1))).alias("theirs"), F.lit(True).alias("ok"))
-    tables = _held(tables, "r", F.when(F.col("r.ok"), F.col("r")).otherwise(plain))
+    nothing = F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))
+    tables = _held(tables, "r", F.when(F.col("kind") == "facts", nothing).otherwise(_let(of(1), lambda ours: _let(of(-1), lambda theirs: grown(ours, theirs)))))
 
     total = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col(f"r.{name}")).otherwise(0))
     out = tables.groupBy(*key).agg(F.first("facts", True).alias("f"), *(total(k, s).alias(f"{k}_{s}") for k in ("edited", "next") for s in ("ours", "theirs")))
+    differ = lambda kind, s: F.when(F.col(f"f.by_{kind}.ok"), F.col(f"f.by_{kind}.{s}")).otherwise(F.col(f"{kind}_{s}")).cast("long")
     out = out.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
         F.col("f.n").cast("long").alias("n_chars"),
         "f.edited_sha256",
         "f.fingerprint",
         "f.edited_fingerprint",
-        likeness(F.col("f.a"), F.col("f.e"), F.col("edited_ours"), F.col("edited_theirs")).alias("near_edited"),
-        likeness(F.col("f.a"), F.col("f.x"), F.col("next_ours"), F.col("next_theirs")).alias("near_next"),
-        F.col("edited_ours").alias("n_only_own"),
-        F.col("edited_theirs").alias("n_only_edited"),
+        *(likeness(F.col("f.own_size"), F.col(f"f.{k}_size"), differ(k, "ours"), differ(k, "theirs")).alias(f"near_{k}") for k in ("edited", "next")),
+        differ("edited", "ours").alias("n_only_own"),
+        differ("edited", "theirs").alias("n_only_edited"),
         F.col("f.copies").alias("copies"),
     )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
