@@ -37,7 +37,7 @@ BLOCK = 64
 CUTS = f"[^\\n]{{1,{BLOCK}}}"
 SENTENCES = "[^\\n.!?。！？]{1,256}[.!?。！？]*|[.!?。！？]+"
 #: Cells of a fingerprint's row; of a row of each part of a larger sketch; digests of both sides in a part, on average.
-CELLS, PART_CELLS, LOAD = 10, 5, 5
+CELLS, PART_CELLS, LOAD = 10, 3, 3
 #: Rounds of peeling before a sketch counts as stuck; doublings of a part, more than any part can need.
 ROUNDS, DOUBLINGS = 12, 24
 
@@ -67,20 +67,20 @@ def _cell(digest: Column, row: int, width: Column) -> Column:
 
 
 def _add(cells: Column, placed: Column, sign: int) -> Column:
-    """Cells with every placed digest (n, k, c, cells) added sign times."""
+    """Cells with every placed digest (n, k, c, at) added sign times."""
 
     def with_its_own(x: Column, i: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-        mine = F.filter(placed, lambda s: F.array_contains(s["at"], i))
-        total = F.aggregate(mine, zero, lambda a, s: F.struct((a["n"] + s["n"]).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c")))
-        return _let(total, lambda t: F.struct((x["n"] + sign * t["n"]).alias("n"), x["k"].bitwiseXOR(t["k"]).alias("k"), x["c"].bitwiseXOR(t["c"]).alias("c")))
+        def added(a: Column, s: Column) -> Column:
+            return F.struct((a["n"] + sign * s["n"]).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c"))
+
+        return F.aggregate(placed, x, lambda a, s: F.when((s["at0"] == i) | (s["at1"] == i) | (s["at2"] == i), added(a, s)).otherwise(a))
 
     return F.transform(cells, with_its_own)
 
 
 def _placed(signed: Column, width: Column) -> Column:
     """Each (sign, digest) with its check value and cells."""
-    return F.transform(signed, lambda s: F.struct(s["sign"].alias("n"), s["digest"].alias("k"), _check(s["digest"]).alias("c"), F.array(*(_cell(s["digest"], r, width) for r in range(3))).alias("at")))
+    return F.transform(signed, lambda s: F.struct(s["sign"].alias("n"), s["digest"].alias("k"), _check(s["digest"]).alias("c"), *(_cell(s["digest"], r, width).alias(f"at{r}") for r in range(3))))
 
 
 def sketch(signed: Column, width: Column | int) -> Column:
@@ -101,7 +101,7 @@ def subtract(cells: Column, others: Column) -> Column:
 def peel(cells: Column, width: Column | int) -> Column:
     """(ours, theirs, ok): how many digests the subtracted cells give up by side, and whether nothing is left."""
     width = F.lit(width)
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<sign: int, digest: bigint>>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<sign: int, digest: bigint>>").alias("found"), F.lit(False).alias("over"))
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"])))
@@ -109,9 +109,10 @@ def peel(cells: Column, width: Column | int) -> Column:
 
         def take_out(new: Column) -> Column:
             after = _let(_placed(new, width), lambda placed: _add(state["cells"], placed, -1))
-            return F.when(F.size(new) > 0, F.struct(after.alias("cells"), F.concat(state["found"], new).alias("found"))).otherwise(state)
+            more = F.struct(after.alias("cells"), F.concat(state["found"], new).alias("found"), F.lit(False).alias("over"))
+            return F.when(F.size(new) > 0, more).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over")))
 
-        return _let(new, take_out)
+        return F.when(state["over"], state).otherwise(_let(new, take_out))
 
     def end(state: Column) -> Column:
         side = lambda n: F.size(F.filter(state["found"], lambda s: s["sign"] == n))
@@ -121,15 +122,16 @@ def peel(cells: Column, width: Column | int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
 
 
-def grown(ours: Column, theirs: Column) -> Column:
-    """peel's result for two arrays of digests, from sketches that double until peeling ends."""
+def grown(signed: Column) -> Column:
+    """peel's result for (sign, digest) of both sides, from sketches that double until peeling ends.
+
+    Digests of the other side count minus one, so that a sketch is that of one side less that of the other.
+    """
     stuck = F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(False).alias("ok"))
 
     def attempt(state: Column, i: Column) -> Column:
-        def of(width: Column) -> Column:
-            return peel(subtract(sketch_of(ours, width), sketch_of(theirs, width)), width)
-
-        return F.when(state["ok"], state).otherwise(_let(F.pow(F.lit(2), i).cast("int") * PART_CELLS, of))
+        peeled = _let(F.pow(F.lit(2), i).cast("int") * PART_CELLS, lambda width: peel(sketch(signed, width), width))
+        return F.when(state["ok"], state).otherwise(peeled)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), stuck, attempt)
 
@@ -200,9 +202,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["doc", "tag", "ndoc", "ntag"]
     cells = pairs.select(*key, F.explode(every).alias("s")).select(*key, "s.*")
     tables = cells.groupBy(*key, "kind", "g").agg(F.collect_list(F.struct("sign", "digest")).alias("signed"), F.first("facts", True).alias("facts"))
-    of = lambda n: F.transform(F.filter("signed", lambda s: s["sign"] == n), lambda s: s["digest"])
     nothing = F.struct(F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("ok"))
-    tables = _held(tables, "r", F.when(F.col("kind") == "facts", nothing).otherwise(_let(of(1), lambda ours: _let(of(-1), lambda theirs: grown(ours, theirs)))))
+    tables = _held(tables, "r", F.when(F.col("kind") == "facts", nothing).otherwise(grown(F.col("signed"))))
 
     total = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col(f"r.{name}")).otherwise(0))
     out = tables.groupBy(*key).agg(F.first("facts", True).alias("f"), *(total(k, s).alias(f"{k}_{s}") for k in ("edited", "next") for s in ("ours", "theirs")))

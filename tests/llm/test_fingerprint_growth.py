@@ -28,7 +28,9 @@ def test_subtracted_sketches_give_the_set_differences(spark):
 
 
 def test_sketches_grow_until_they_are_peeled(spark):
-    got = _arrays(spark).select("ours", "theirs", _peeled(fp.PART_CELLS)["ok"].alias("first"), fp.grown(F.col("a"), F.col("b")).alias("r")).collect()
+    side = lambda name, sign: F.transform(name, lambda d: F.struct(F.lit(sign).alias("sign"), d.alias("digest")))
+    signed = F.concat(side("a", 1), side("b", -1))
+    got = _arrays(spark).select("ours", "theirs", _peeled(fp.PART_CELLS)["ok"].alias("first"), fp.grown(signed).alias("r")).collect()
     assert not all(r.first for r in got)
     assert all(r.r.ok and (r.r.ours, r.r.theirs) == (r.ours, r.theirs) for r in got)
 
