@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def temporary_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder of this machine, for local sessions that set no spark.checkpoint.dir; executors elsewhere could not see it."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to the folder in spark.checkpoint.dir; only where that is unset to a temporary one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or temporary_folder(spark, "spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

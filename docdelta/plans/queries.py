@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docdelta.functions import lineage
 from docdelta.operators import catalog, differences, jobs, keyed, layout, matching, summaries, text, visual
 from docdelta.plans import compare as plans
 from docdelta.sources import store
@@ -247,15 +247,11 @@ add("report_html", lambda e: store.html_report(_summary(e), e.differences))
 add("report_latest", lambda e: store.latest_report(e.jobs.select(F.col("base_id").alias("pair_id"), F.concat(F.lit("report-"), catalog.date_label(F.col("created_at")), F.lit("-"), F.col("job_id").cast("string")).alias("path"))))
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="docdelta-")
-
-
 def _shared(e: Entities, label: str) -> str:
     """A new folder under the shared checkpoint folder, or a temporary one where that is unset."""
     import uuid
 
-    return f"{(e.spark.conf.get('spark.checkpoint.dir', None) or _scratch()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{(e.spark.conf.get('spark.checkpoint.dir', None) or lineage.temporary_folder(e.spark, 'docdelta-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @query("result_write")
