@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.functions.lineage import temporary_folder
+
 #: The six characters [\x20\x09-\x0D]: what separates words, and what bytes.split() splits at.
 SPACES = " \t\n\x0b\x0c\r"
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,7 +29,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
+        base = temporary_folder(spark, "spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
