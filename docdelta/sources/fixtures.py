@@ -38,8 +38,7 @@ class Entities:
 
     @cached_property
     def doc_lines(self) -> DataFrame:
-        folded = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-        lines = self.table("documents").select("doc_id", F.posexplode(F.split(folded, BREAKS)).alias("para_no", "para"))
+        lines = self.table("documents").select("doc_id", F.posexplode(F.split("text", BREAKS)).alias("para_no", "para"))
         return lines.where("para <> ''").select("doc_id", (F.col("para_no") + 1).alias("para_no"), "para")
 
     @cached_property
