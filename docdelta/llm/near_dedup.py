@@ -23,6 +23,8 @@ a component without any id have a null name and are all kept. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -98,8 +100,15 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 # ---- blocks
 
+#: Which of some classes may be near one class: registers of them and of it, their sizes and its size, percent.
+Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def close_by_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return estimate(ra, rb, na, nb) >= percent / 100 - SLACK
+
 
-def joins(regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, component: np.ndarray, first: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def joins(regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, component: np.ndarray, first: np.ndarray, percent: int, close: Close = close_by_estimate) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that join components within a block, and which classes have a likely partner of another component.
 
     first: which classes are compared with all others of the block; between two others nothing is
@@ -120,7 +129,7 @@ def joins(regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, co
         some = np.flatnonzero((component != component[u]) & ~done & (100 * np.minimum(sizes, sizes[u]) >= percent * np.maximum(sizes, sizes[u])))
         if not len(some):
             continue
-        some = some[estimate(regs[some], regs[u][None], sizes[some], sizes[u]) >= percent / 100 - SLACK]
+        some = some[close(regs[some], regs[u][None], sizes[some], sizes[u], percent)]
         if not len(some):
             continue
         likely[u] = True
@@ -177,9 +186,9 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("class", "registers").mapInArrow(by_batch(run, schema), "band bigint, class bigint")
 
 
-def cells(classes: DataFrame) -> DataFrame:
+def cells(classes: DataFrame, keys: Callable[[DataFrame], DataFrame] = _bands) -> DataFrame:
     """(leader, class, n_shingles, parts): the members of each cell, its leader among them, and its number of blocks."""
-    bands = _bands(classes)
+    bands = keys(classes)
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(bands.join(shared, "band"), "bands")
     central = members.groupBy("class").agg(F.sum("n").alias("central"))
@@ -227,7 +236,7 @@ def _arrays(batch: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
 
 
-def _likely(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(blocks: DataFrame, classes: DataFrame, percent: int, close: Close) -> DataFrame:
     """The rows of blocks, with registers, that have a likely partner there."""
     df = blocks.join(classes.select("class", "registers"), "class").select("cell", "a", "b", "class", "n_shingles", "component", "first", "registers")
 
@@ -235,13 +244,13 @@ def _likely(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for block in groups(batches, ["cell", "a", "b"]):
             if block.num_rows > 1:
                 column = lambda c: block.column(c).to_numpy(zero_copy_only=False)
-                _, keep = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), None, column("component"), column("first"), percent)
+                _, keep = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), None, column("component"), column("first"), percent, close)
                 yield from block.filter(pa.array(keep)).combine_chunks().to_batches()
 
     return df.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", F.desc("first")).mapInArrow(run, f"{SIDE}, registers binary")
 
 
-def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(blocks: DataFrame, sets: DataFrame, percent: int, close: Close) -> DataFrame:
     """(a, b): links between the classes of each block that join all of them which links of the block join."""
     df = blocks.join(sets, "class").select("cell", "a", "b", "class", "n_shingles", "component", "first", "registers", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -252,7 +261,7 @@ def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             _, at = np.unique(block.column("class").to_numpy(), return_index=True)
             block = block.take(pa.array(np.sort(at)))
             column = lambda c: block.column(c).to_numpy(zero_copy_only=False)
-            found, _ = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), _arrays(block, "shingles", np.uint64), column("component"), column("first"), percent)
+            found, _ = joins(np.array(_arrays(block, "registers", np.uint16)), column("n_shingles"), _arrays(block, "shingles", np.uint64), column("component"), column("first"), percent, close)
             if found:
                 pairs = column("class")[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -278,14 +287,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return full.where("found").select("class", "shingles").dropDuplicates(["class"])
 
 
-def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that have links; classes: (class, node, doc_id, n_shingles, registers)."""
-    found = stored(cells(classes), "cells")
+def class_links(classes: DataFrame, docs: DataFrame, n: int, percent: int, keys: Callable[[DataFrame], DataFrame] = _bands, close: Close = close_by_estimate) -> DataFrame:
+    """(node, component) of the classes that have links; classes: (class, node, doc_id, n_shingles, registers).
+
+    keys gives (band, class): classes that share a key are candidates. close says which of them to verify.
+    """
+    found = stored(cells(classes, keys), "cells")
 
     def links(blocks: DataFrame) -> DataFrame:
-        likely = stored(_likely(blocks, classes, percent), "likely")
+        likely = stored(_likely(blocks, classes, percent, close), "likely")
         wanted = classes.join(likely.select("class").distinct(), "class").select("class", "doc_id", "node")
-        return stored(_linked(likely, shingle_sets(docs, wanted, n), percent), "links")
+        return stored(_linked(likely, shingle_sets(docs, wanted, n), percent, close), "links")
 
     every = links(first_blocks(found))
     component = stored(components(every), "components")
@@ -304,12 +316,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     component = class_links(classes, rows, shingle, percent).withColumnRenamed("node", "class")
 
+    return by_document(signed, classes, component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def by_document(signed: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row signed; component: (class, component) of linked classes."""
     named = classes.select("class", "node", "doc_id").join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "component").select("node", "component_id", F.lit(True).alias("named"))
     out = signed.select("doc_id", "n_shingles", "node").join(names, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docdelta.llm import conversation_repair, decontaminate, fingerprint, html_text, line_dedup, lm_score, near_dedup, quality, source_mix, spelling, suffix_dedup, token_store
+from docdelta.llm import conversation_repair, decontaminate, fingerprint, html_text, jaccard_join, line_dedup, lm_score, near_dedup, quality, source_mix, spelling, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_jaccard_join": jaccard_join.op12_jaccard_join,
     "op13_spelling": spelling.op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,5 +28,6 @@ SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
+    "op12_jaccard_join": jaccard_join.SQL,
     "op13_spelling": spelling.SQL,
 }
