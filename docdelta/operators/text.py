@@ -42,9 +42,15 @@ def modified(line_pairs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return both.where(close < threshold).withColumn("change", F.lit("modified")).withColumn("severity", severity(F.col("distance"), F.length(b))).drop("distance")
 
 
-def text_differences(line_pairs: DataFrame) -> DataFrame:
-    """All text differences, keyed by a hash of their place: retried tasks give the same ids."""
-    found = one_sided(line_pairs).unionByName(modified(line_pairs))
+def text_differences(line_pairs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """All text differences in one pass, keyed by a hash of their place: retried tasks give the same ids."""
+    b, c = F.col("base_text"), F.col("compare_text")
+    one, longer = b.isNull() | c.isNull(), F.greatest(F.length(b), F.length(c))
+    measured = line_pairs.withColumn("distance", F.when(~one, edit_distance(b, c)))
+    close = F.try_divide(longer - F.col("distance"), longer.cast("double"))
+    change = F.when(b.isNull(), "added").when(c.isNull(), "deleted").when(close < threshold, "modified")
+    grade = F.when(one, F.when(F.length(F.coalesce(b, c)) > LONG_LINE, "major").otherwise("minor")).otherwise(severity(F.col("distance"), F.length(b)))
+    found = measured.withColumn("change", change).where("change is not null").withColumn("severity", grade).drop("distance")
     box = lambda s: [F.when(F.col(f"{s}_text").isNotNull(), v.cast("double")).alias(f"{s}_{n}") for n, v in (("x", F.lit(72)), ("y", 792 - 14 * F.col("line_no")), ("width", 6 * F.length(f"{s}_text")), ("height", F.lit(12)))]
     key = F.sha2(F.concat_ws("|", "pair_id", "base_page", "compare_page", F.lit("text"), "line_no"), 256)
     return found.select(key.alias("diff_id"), "*", F.lit("text").alias("type"), *box("base"), *box("compare"))

@@ -248,10 +248,7 @@ add("report_latest", lambda e: store.latest_report(e.jobs.select(F.col("base_id"
 
 
 def _shared(e: Entities, label: str) -> str:
-    """A new folder under the shared checkpoint folder, or a temporary one where that is unset."""
-    import uuid
-
-    return f"{(e.spark.conf.get('spark.checkpoint.dir', None) or lineage.temporary_folder(e.spark, 'docdelta-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return lineage.shared_path(e.spark, label)
 
 
 @query("result_write")

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docdelta.functions.lineage import stored
+
 NOW = "timestamp '2024-01-31 00:00:00'"
 BREAKS = r"\r\n|\n|\r"
 WIDTH, LINES_A_PAGE = 80, 20
@@ -47,7 +49,7 @@ class Entities:
         cut = self.doc_lines.select("doc_id", "para_no", "para", F.explode(F.sequence(F.lit(0), last)).alias("k"))
         n = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_no", "k")) - 1
         cut = cut.select("doc_id", n.alias("n"), F.substring("para", F.col("k") * WIDTH + 1, F.lit(WIDTH)).alias("text"))
-        return cut.select("doc_id", (F.floor(F.col("n") / LINES_A_PAGE) + 1).cast("int").alias("page_no"), (F.col("n") % LINES_A_PAGE + 1).cast("int").alias("line_no"), "text")
+        return stored(cut.select("doc_id", (F.floor(F.col("n") / LINES_A_PAGE) + 1).cast("int").alias("page_no"), (F.col("n") % LINES_A_PAGE + 1).cast("int").alias("line_no"), "text"), "page-lines")
 
     @cached_property
     def doc_pages(self) -> DataFrame:
@@ -60,17 +62,17 @@ class Entities:
         That is the next copy of the same text, or else the one with most shared paragraphs. A paragraph
         of up to MANY documents pairs all of them, one of more pairs each with the next that holds it.
         """
-        keys = self.doc_lines.where(F.length("para") > 20).select("doc_id", "para").distinct()
-        held = keys.join(keys.groupBy("para").agg(F.count("*").alias("n")).where("n > 1"), "para")
+        keys = self.doc_lines.where(F.length("para") > 20).select("doc_id", F.md5("para").alias("key")).distinct()
+        held = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
         few = held.where(F.col("n") <= MANY)
-        both = few.select("para", F.col("doc_id").alias("base_id")).join(few.select("para", F.col("doc_id").alias("compare_id")), "para").where("base_id < compare_id")
-        hot = _neighbours(held.where(F.col("n") > MANY).select("doc_id", F.md5("para").alias("key")))
+        both = few.select("key", F.col("doc_id").alias("base_id")).join(few.select("key", F.col("doc_id").alias("compare_id")), "key").where("base_id < compare_id")
+        hot = _neighbours(held.where(F.col("n") > MANY).select("doc_id", "key"))
         shared = both.select("base_id", "compare_id").unionByName(hot).withColumn("copy", F.lit(False))
-        texts = self.table("documents").join(self.doc_lines.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.md5("text").alias("key")).distinct()
+        texts = self.table("documents").where(F.size(F.array_remove(F.split("text", BREAKS), "")) > 0).select("doc_id", F.md5("text").alias("key")).distinct()
         copies = _neighbours(texts).withColumn("copy", F.lit(True))
         scored = shared.unionByName(copies).groupBy("base_id", "compare_id").agg(F.count("*").alias("shared"), F.max("copy").alias("copy"))
-        best = F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("copy"), F.desc("shared"), "compare_id"))
-        return scored.withColumn("rn", best).where("rn = 1").select(F.col("base_id").alias("pair_id"), "base_id", "compare_id")
+        best = scored.groupBy("base_id").agg(F.min(F.struct((~F.col("copy")).alias("other"), (-F.col("shared")).alias("less"), "compare_id")).alias("best"))
+        return stored(best.select(F.col("base_id").alias("pair_id"), "base_id", F.col("best.compare_id").alias("compare_id")), "pairs")
 
     @cached_property
     def elements(self) -> DataFrame:
@@ -130,7 +132,7 @@ class Entities:
         """Equal page numbers of each document pair: (pair_id, base_page, compare_page, matched, score)."""
         from docdelta.operators import matching
 
-        return matching.standard_page_pairs(self.pairs, self.doc_pages, self.page_lines)
+        return stored(matching.standard_page_pairs(self.pairs, self.doc_pages, self.page_lines), "page-pairs")
 
     @cached_property
     def line_pairs(self) -> DataFrame:
