@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docdelta.functions.lineage import cut
+from docdelta.functions.lineage import stored
 
 THRESHOLD, BAND = 0.7, 10
 
@@ -81,29 +82,52 @@ def reuse_scores(candidates: DataFrame, known: DataFrame, scorer: Callable[[Data
     return scorer(candidates.join(known, KEY, "left_anti")).unionByName(candidates.join(known, KEY))
 
 
-def assign(edges: DataFrame, threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
-    """One-to-one pairs by locally dominant matching: (pair_id, base_page, compare_page, score).
+def _chunk_matches(chunk: list[tuple]) -> list[tuple]:
+    """Greedy matches of (base_page, compare_page, score) edges: best score, smallest gap, lowest pages first."""
+    base, compare, kept = set(), set(), []
+    for b, c, score in sorted(chunk, key=lambda e: (-e[2], abs(e[0] - e[1]), e[0], e[1])):
+        if b not in base and c not in compare:
+            base.add(b)
+            compare.add(c)
+            kept.append((b, c, score))
+    return kept
 
-    An edge first in its base page's order and in its compare page's is kept and both pages go, until
-    no edge is left. The order is total, so the result is the greedy matching whatever the rounds.
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One-to-one matches of edges sorted by pair_id and lower page.
+
+    An edge covers the pages from its lower to its higher one. Where no edge covers the step to the next
+    page the pair is cut: edges on both sides share no page, so each chunk is matched on its own, and a
+    long document is never held whole.
+    """
+    schema, last, reach, chunk = None, None, None, []
+
+    def out() -> pa.RecordBatch:
+        kept = _chunk_matches(chunk)
+        columns = [[last] * len(kept), *zip(*kept, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        for pair, b, c, score in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if chunk and (pair != last or min(b, c) > reach):
+                yield out()
+                chunk = []
+            reach = max(b, c) if not chunk else max(reach, b, c)
+            last = pair
+            chunk.append((b, c, score))
+    if chunk:
+        yield out()
+
+
+def assign(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One-to-one pairs, the greedy matching in a total order of edges: (pair_id, base_page, compare_page, score).
+
+    One shuffle brings the edges of a pair together, sorted; one pass matches them.
     """
-    order = [F.desc("score"), F.abs(F.col("base_page") - F.col("compare_page")), "base_page", "compare_page"]
-    rank = lambda side: F.row_number().over(Window.partitionBy("pair_id", f"{side}_page").orderBy(*order))
-    left, kept, done = edges.where(F.col("score") >= threshold).select(*KEY, "score"), None, 0
-    if rounds is None:
-        left = cut(left)  # scored once, not in every round
-    while rounds is None or done < rounds:
-        first = left.withColumn("rb", rank("base")).withColumn("rc", rank("compare")).where("rb = 1 and rc = 1").select(*KEY, "score")
-        if rounds is None:
-            first = cut(first)
-            if first.isEmpty():
-                break
-        kept = first if kept is None else kept.unionByName(first)
-        left = left.join(first.select("pair_id", "base_page"), ["pair_id", "base_page"], "left_anti").join(first.select("pair_id", "compare_page"), ["pair_id", "compare_page"], "left_anti")
-        if rounds is None:
-            left = cut(left)
-        done += 1
-    return edges.select(*KEY, "score").limit(0) if kept is None else kept
+    good = edges.where(F.col("score") >= threshold).select(*KEY, "score")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in good.schema)
+    return good.repartition("pair_id").sortWithinPartitions("pair_id", F.least("base_page", "compare_page")).mapInArrow(_matches, kind)
 
 
 def left_over(base: DataFrame, compare: DataFrame, matched: DataFrame) -> DataFrame:
@@ -132,17 +156,17 @@ def key_pages(doc_pages: DataFrame) -> DataFrame:
     return doc_pages.select("doc_id", F.explode(F.array_distinct(some)).alias("page_no"))
 
 
-def match(base: DataFrame, compare: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str = "smart", threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
+def match(base: DataFrame, compare: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str = "smart", threshold: float = THRESHOLD) -> DataFrame:
     """Page pairs of every document pair, unmatched pages included: (…, matched, score).
 
     scorer turns candidates into scored edges; any strategy with that signature may be passed.
     """
-    base, compare = cut(base.select("pair_id", "page_no").distinct()), cut(compare.select("pair_id", "page_no").distinct())
-    scored = cut(scorer(same_page(base, compare)))  # four stages read it
+    base, compare = stored(base.select("pair_id", "page_no").distinct(), "base-pages"), stored(compare.select("pair_id", "page_no").distinct(), "compare-pages")
+    scored = stored(scorer(same_page(base, compare)), "scores")  # four stages read it
     if mode == "smart":
         ub, uc = unmatched(base, scored, "base", threshold), unmatched(compare, scored, "compare", threshold)
         more = nearby(ub, uc).unionByName(distant(ub, uc, base, compare))
         scored = scored.unionByName(scorer(more))
-    kept = assign(scored, threshold, rounds)
+    kept = stored(assign(scored, threshold), "matches")
     rest = left_over(base, compare, kept)
     return kept.withColumn("matched", F.lit(True)).unionByName(rest.withColumn("score", F.lit(0.0)).withColumn("matched", F.lit(False)))

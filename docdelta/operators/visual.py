@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docdelta.functions.lineage import stored
+
 C1, C2, WINDOW = 6.5025, 58.5225, 8
 
 
@@ -12,34 +14,64 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(76 * r + 150 * g + 29 * b, 8)
 
 
+def colour_distance(px: DataFrame) -> Column:
+    """Sum of three channels' distances: of r1, g1, b1 and r2, g2, b2 where there are any, else of one grey channel."""
+    if "r1" in px.columns:
+        return sum((F.abs(F.col(f"{c}1") - F.col(f"{c}2")) for c in "rgb"), F.lit(0))
+    return 3 * F.abs(F.col("l1") - F.col("l2"))
+
+
 def sampled_agreement(px: DataFrame, key: list[str], step: int = 1, near: int = 50) -> DataFrame:
-    """Share of sampled pixels that differ by under `near` over three grey channels. px: key, x, y, l1, l2."""
-    close = 3 * F.abs(F.col("l1") - F.col("l2")) < near
+    """Share of sampled pixels whose colours are less than `near` apart. px: key, x, y and l1, l2 or the channels."""
+    close = colour_distance(px) < near
     return px.where((F.col("x") % step == 0) & (F.col("y") % step == 0)).groupBy(*key).agg(F.round(F.avg(F.when(close, 1.0).otherwise(0.0)), 6).alias("quick"))
 
 
+def _similarity(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column) -> Column:
+    """Clamped structural similarity of a window of n pixels by its sums; 1 where no pixel differs."""
+    m1, m2 = a / n, b / n
+    v1, v2, cov = aa / n - m1 * m1, bb / n - m2 * m2, ab / n - m1 * m2
+    s = ((2 * m1 * m2 + C1) * (2 * cov + C2)) / ((m1 * m1 + m2 * m2 + C1) * (v1 + v2 + C2))
+    return F.when(aa + bb - 2 * ab < 1e-9, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
+
+
+SUMS = ("a", "b", "aa", "bb", "ab")
+
+
 def ssim(px: DataFrame, key: list[str], stride: int = 1, window: int = WINDOW) -> DataFrame:
-    """Mean clamped structural similarity over windows; identical windows are 1; a small image is one window.
+    """Mean structural similarity over windows of window x window pixels; an image smaller than that is one window.
 
-    Every pixel goes to the windows that hold it: suited to thumbnails. Sums are partial aggregates.
+    A summed-area table: sums run along rows, then along columns, and a window's sums are differences at
+    its corners. So each pixel is one row at any window size; with a stride, only the columns and rows that end
+    a window go on. px: key, x, y, l1, l2; each image a full rectangle from 0, 0. Whole numbers make exact sums.
     """
-    size = px.groupBy(*key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    p = px.join(size, key).withColumn("small", (F.col("w") < window) | (F.col("h") < window))
-    first = lambda c, n: F.when(F.col("small"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil((F.col(c) - window + 1) / stride)).cast("int"))
-    last = lambda c, n: F.when(F.col("small"), F.lit(0)).otherwise(F.floor(F.least(F.col(c), F.col(n) - window) / stride).cast("int"))
-    reach = lambda c, n: F.when(first(c, n) <= last(c, n), F.sequence(first(c, n), last(c, n))).otherwise(F.array().cast("array<int>"))
-    p = p.withColumn("wx", F.explode(reach("x", "w"))).withColumn("wy", F.explode(reach("y", "h")))
-    m1, m2 = F.avg("l1"), F.avg("l2")
-    s = ((2 * m1 * m2 + C1) * (2 * F.covar_pop("l1", "l2") + C2)) / ((m1 * m1 + m2 * m2 + C1) * (F.var_pop("l1") + F.var_pop("l2") + C2))
-    one = F.when(F.max(F.abs(F.col("l1") - F.col("l2"))) < 1e-6, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
-    return p.groupBy(*key, "wx", "wy").agg(one.alias("s")).groupBy(*key).agg(F.round(F.avg("s"), 6).alias("ssim"))
-
-
-def page_score(px: DataFrame, key: list[str], low: float = 0.1, high: float = 0.95) -> DataFrame:
+    a, b = F.col("l1"), F.col("l2")
+    row, column = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
+    so_far = lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = lambda c, w: F.coalesce(F.lag(c, window).over(w), F.lit(0))
+    ends = lambda c: (F.col(c) >= window - 1) & ((F.col(c) - window + 1) % stride == 0)
+
+    along = px.select(*key, "x", "y", *(so_far(v, row).alias(n) for n, v in zip(SUMS, (a, b, a * a, b * b, a * b), strict=True)), (F.max("x").over(Window.partitionBy(*key, "y")) + 1).alias("w"))
+    strip = along.select(*key, "x", "y", "w", *SUMS, *((F.col(n) - before(n, row)).alias(f"s{n}") for n in SUMS))
+    # Column -1 has the totals of rows, for images of one window.
+    item = lambda x, p: F.struct(x.alias("x"), *(F.col(p + n).alias(n) for n in SUMS))
+    kept = F.when(ends("x"), F.array(item(F.col("x"), "s"))).otherwise(F.array().cast(f"array<struct<x:int,{','.join(f'{n}:{strip.schema[n].dataType.simpleString()}' for n in SUMS)}>>"))
+    strip = strip.withColumn("x", F.col("x").cast("int"))
+    strip = strip.select(*key, "y", "w", F.inline(F.when(F.col("x") == F.col("w") - 1, F.concat(F.array(item(F.lit(-1), "")), kept)).otherwise(kept)))
+
+    down = strip.select(*key, "x", "y", "w", *(so_far(F.col(n), column).alias(n) for n in SUMS), (F.max("y").over(Window.partitionBy(*key, "x")) + 1).alias("h"))
+    boxes = down.select(*key, "x", "y", "w", "h", *SUMS, *((F.col(n) - before(n, column)).alias(f"s{n}") for n in SUMS))
+    small = (F.col("w") < window) | (F.col("h") < window)
+    whole = F.when((F.col("x") < 0) & small & (F.col("y") == F.col("h") - 1), _similarity(F.col("w") * F.col("h"), *(F.col(n) for n in SUMS)))
+    part = F.when((F.col("x") >= 0) & ~small & ends("y"), _similarity(F.lit(window * window), *(F.col(f"s{n}") for n in SUMS)))
+    return boxes.select(*key, F.coalesce(whole, part).alias("s")).where("s is not null").groupBy(*key).agg(F.round(F.avg("s"), 6).alias("ssim"))
+
+
+def page_score(px: DataFrame, key: list[str], low: float = 0.1, high: float = 0.95, stride: int = 1) -> DataFrame:
     """Sampled agreement where it is under low or over high, structural similarity between; score_kind says which."""
     quick = sampled_agreement(px, key)
     clear = (F.col("quick") < low) | (F.col("quick") > high)
-    slow = ssim(px.join(quick.where(~clear), key, "left_semi"), key)
+    slow = ssim(px.join(quick.where(~clear), key, "left_semi"), key, stride)
     return quick.where(clear).select(*key, F.col("quick").alias("score"), F.lit("quick").alias("score_kind")).unionByName(slow.select(*key, F.col("ssim").alias("score"), F.lit("ssim").alias("score_kind")))
 
 
@@ -49,9 +81,9 @@ def pixel_pairs(candidates: DataFrame, base_px: DataFrame, compare_px: DataFrame
     return candidates.join(b, ["pair_id", "base_page"]).join(c, ["pair_id", "compare_page", "x", "y"])
 
 
-def page_scorer(base_px: DataFrame, compare_px: DataFrame):
+def page_scorer(base_px: DataFrame, compare_px: DataFrame, stride: int = 1):
     """A scorer for matching: candidates to (pair_id, base_page, compare_page, score)."""
-    return lambda candidates: page_score(pixel_pairs(candidates, base_px, compare_px), ["pair_id", "base_page", "compare_page"]).drop("score_kind")
+    return lambda candidates: page_score(pixel_pairs(candidates, base_px, compare_px), ["pair_id", "base_page", "compare_page"], stride=stride).drop("score_kind")
 
 
 def align(px: DataFrame, key: list[str], width: int, height: int) -> DataFrame:
@@ -86,7 +118,7 @@ def exact_images(base: DataFrame, compare: DataFrame) -> DataFrame:
     return n(base, "base").join(n(compare, "compare"), ["pair_id", "signature", "n"]).select("pair_id", "base_page", "compare_page", F.lit(1.0).alias("score"))
 
 
-def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: float = 0.95, rounds: int | None = None) -> DataFrame:
+def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Added, deleted and modified images of each pair: equal ones first, then the best of what is left over `threshold`."""
     from docdelta.operators import matching
 
@@ -96,7 +128,7 @@ def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: floa
     b, c = rest(base_px, "base"), rest(compare_px, "compare")
     pages = lambda px: px.select("pair_id", "page_no").distinct()
     scored = page_scorer(b, c)(matching.full(pages(b), pages(c))).where(F.col("score") > threshold)
-    near = matching.assign(scored, 0.0, rounds)
+    near = stored(matching.assign(scored, 0.0), "matches")
     alone = matching.left_over(pages(b), pages(c), near)
     change = F.when(F.col("base_page").isNull(), "added").when(F.col("compare_page").isNull(), "deleted").otherwise("modified")
     every = near.where("score < 1").unionByName(alone.withColumn("score", F.lit(None).cast("double")))
@@ -104,12 +136,36 @@ def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: floa
 
 
 def image_box(d: DataFrame) -> DataFrame:
-    """Display box by change; 400 by 300 where there is no extent."""
-    b, c = (lambda n: F.col(f"base_{n}")), (lambda n: F.col(f"compare_{n}"))
-    pick = lambda n, both: F.when(F.col("change") == "added", c(n)).when(F.col("change") == "deleted", b(n)).otherwise(both)
-    width, height = (pick(n, F.greatest(b(n), c(n))) for n in ("width", "height"))
-    x, y = (F.coalesce(pick(n, (b(n) + c(n)) / 2), F.lit(50.0)) for n in ("x", "y"))
-    return d.withColumns({"x": x, "y": y, "width": F.when(width > 0, width).otherwise(400.0), "height": F.when(height > 0, height).otherwise(300.0)})
+    """Display box of an image difference that has none of its own.
+
+    That of the side by change; a modified one has the mean place and largest extent of sides with a width,
+    or that of the one side. Without a width: 400 by 300, at 50, 50 if added or deleted, at 0, 0 if modified.
+    """
+    side = {(s, n): F.coalesce(F.col(f"{s}_{n}").cast("double"), F.lit(0.0)) for s in ("base", "compare") for n in ("x", "y", "width", "height")}
+    wide = {s: side[s, "width"] > 0 for s in ("base", "compare")}
+    out = {}
+    for n, none in (("x", 50.0), ("y", 50.0), ("width", 400.0), ("height", 300.0)):
+        b, c = side["base", n], side["compare", n]
+        own = lambda v, least: F.when(v > 0, v).otherwise(least)  # noqa: E731, B023
+        both = (b + c) / 2 if n in "xy" else F.greatest(b, c)
+        one = 0.0 if n in "xy" else none
+        changed = F.when(wide["base"] & wide["compare"], both).when(wide["base"], b).when(wide["compare"], c).otherwise(one)
+        out[n] = F.when((F.col("change") == "added") & wide["compare"], own(c, one)).when((F.col("change") == "deleted") & wide["base"], own(b, one)).when(F.col("change") == "modified", changed).otherwise(none)
+    return d.withColumns(out)
+
+
+def image_box_or_hundred(d: DataFrame) -> DataFrame:
+    """The stricter box: every missing part of an added or deleted image's side is 100, and so is all where a modified one has no width."""
+    side = {(s, n): F.coalesce(F.col(f"{s}_{n}").cast("double"), F.lit(0.0)) for s in ("base", "compare") for n in ("x", "y", "width", "height")}
+    wide = {s: side[s, "width"] > 0 for s in ("base", "compare")}
+    out = {}
+    for n in ("x", "y", "width", "height"):
+        b, c = side["base", n], side["compare", n]
+        own = lambda v: F.when(v > 0, v).otherwise(100.0)
+        both = (b + c) / 2 if n in "xy" else F.greatest(b, c)
+        changed = F.when(wide["base"] & wide["compare"], both).when(wide["base"], b).when(wide["compare"], c).otherwise(100.0)
+        out[n] = F.when(F.col("change") == "added", own(c)).when(F.col("change") == "deleted", own(b)).otherwise(changed)
+    return d.withColumns(out)
 
 
 def image_shape(width: Column, height: Column) -> list[Column]:
@@ -119,3 +175,15 @@ def image_shape(width: Column, height: Column) -> list[Column]:
 
 def change_percent(base: Column, compare: Column) -> Column:
     return F.coalesce(F.round(F.try_divide((compare - base).cast("double") * 100, base), 6), F.lit(0.0))
+
+
+def image_measures(d: DataFrame) -> list[Column]:
+    """Areas, aspect ratios and differences of both sides (base_ and compare_ x, y, width, height); percents are 0 on a base of 0."""
+    b, c = (lambda n: F.col(f"base_{n}")), (lambda n: F.col(f"compare_{n}"))
+    aspect = lambda w, h: F.round(w / F.when(h > 0, h).otherwise(1), 6)
+    area = lambda s: s("width") * s("height")
+    ba, ca = aspect(b("width"), b("height")), aspect(c("width"), c("height"))
+    out = [area(b).alias("base_area"), area(c).alias("compare_area"), (area(c) - area(b)).alias("area_change"), change_percent(area(b), area(c)).alias("area_percent")]
+    out += [ba.alias("base_aspect"), ca.alias("compare_aspect"), F.round(ca - ba, 6).alias("aspect_change")]
+    out += [(c(n) - b(n)).alias(f"{n}_change") for n in ("x", "y", "width", "height")]
+    return out + [change_percent(b(n), c(n)).alias(f"{n}_percent") for n in ("width", "height")]

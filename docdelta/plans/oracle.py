@@ -150,6 +150,24 @@ METHODS = " union all ".join(
     f"select '{m}' as method, '{t}' as threshold, pair_id, count(*) as n from judged where ({FUZZY[t] if m == 'fuzzy' else METHOD[m]}) and {MAJOR if t == 'relaxed' else 'true'} group by pair_id" for m in ("exact", "smart", "fuzzy") for t in ("strict", "normal", "relaxed")
 )
 
+
+
+def _image_box(rule: str, none: tuple[str, str, str, str], least: tuple[str, str, str, str], changed: tuple[str, str, str, str]) -> str:
+    """One of the two rules for the box of an image: what stands for nothing, for a part of a side, and for a modified one."""
+    out = []
+    for n, free, part, both in zip(("x", "y", "width", "height"), none, least, changed, strict=True):
+        b, c = f"coalesce(base_{n}, 0)", f"coalesce(compare_{n}, 0)"
+        own = "({} > 0)"
+        mixed = f"({b} + {c}) / 2" if n in "xy" else f"greatest({b}, {c})"
+        wide = {t: own.format(f"coalesce({t}_width, 0)") for t in ("base", "compare")}
+        side = lambda t, v: f"when change = '{'added' if t == 'compare' else 'deleted'}' and ({wide[t]} or '{rule}' = 'model') then case when {v} > 0 then {v} else {part} end"  # noqa: E731, B023
+        out.append(f"case {side('compare', c)} {side('base', b)} when change <> 'modified' then {free} when {wide['base']} and {wide['compare']} then {mixed} when {wide['base']} then {b} when {wide['compare']} then {c} else {both} end::double as {n}")
+    return f"select diff_id, '{rule}' as rule, {', '.join(out)} from sized"
+
+
+_cut_width = lambda t, k: f"case when line_no % 4 not in ({k}, 2) then {t}_width end as {t}_width"
+IMAGE_BOXES = f", sized as (select * replace ({_cut_width('base', 0)}, {_cut_width('compare', 1)}) from diffs) " + _image_box("service", ("50", "50", "400", "300"), ("0", "0", "400", "300"), ("0", "0", "400", "300")) + " union all " + _image_box("model", ("100",) * 4, ("100",) * 4, ("100",) * 4)
+
 _QUERIES = {
     "page_lines": "select * from page_lines",
     "result_exists": "select job_id as pair_id, has_result as exists from jobs",
@@ -195,7 +213,7 @@ _QUERIES = {
     "match_mode": ", k as (select pair_id, base_page, compare_page, score from same where score >= 0.7) select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "match_pipeline": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "pluggable_match": "select pair_id, base_page, compare_page, round(1.0::double / (1 + base_page), 6) as score from same",
-    "quick_similarity": ", p as (" + SAME_PIX + ") select pair_id, page_no, round(avg(case when 3 * abs(l1 - l2) < 50 then 1.0::double else 0 end), 6) as quick from p where x % 2 = 0 and y % 2 = 0 group by all",
+    "quick_similarity": ", p as (" + SAME_PIX + ") select pair_id, page_no, round(avg(case when abs(l1 - l2) + abs(l1 * 3 % 256 - l2 * 3 % 256) + abs(l2 - l1) < 50 then 1.0::double else 0 end), 6) as quick from p where x % 2 = 0 and y % 2 = 0 group by all",
     "luminance": "select img_id, x, y, (76 * lum + 150 * (lum * 3 % 256) + 29 * (255 - lum)) >> 8 as luminance from grid_px",
     "ssim": _ssim(SAME_PIX, 8, 8),
     "ssim_small": _ssim(SAME_PIX + " where x < 6 and y < 5", 0, 0),
@@ -208,9 +226,9 @@ _QUERIES = {
     "image_added": IMAGES + " select pair_id, compare_page from image_diff where change = 'added'",
     "image_diff": IMAGES + " select * from image_diff",
     "image_severity": "select pair_id, base_page as page_no, case when score < 0.7 then 'major' when score < 0.9 then 'minor' else 'cosmetic' end as severity from same",
-    "image_boxes": ", d as (select * replace (case when line_no % 2 = 0 then base_width else 0.0 end as base_width) from diffs), v as (select *, case change when 'added' then compare_x when 'deleted' then base_x else (base_x + compare_x) / 2 end as x, case change when 'added' then compare_y when 'deleted' then base_y else (base_y + compare_y) / 2 end as y, case change when 'added' then compare_width when 'deleted' then base_width else greatest(base_width, compare_width) end as w, case change when 'added' then compare_height when 'deleted' then base_height else greatest(base_height, compare_height) end as h from d) select diff_id, coalesce(x, 50) as x, coalesce(y, 50) as y, case when w > 0 then w else 400 end as width, case when h > 0 then h else 300 end as height from v",
+    "image_boxes": IMAGE_BOXES,
     "image_shape": ", s as (select doc_id, n_chars % 640 as w, doc_id * 37 % 480 as h from doc_meta) select doc_id, w * h as area, coalesce(round(w / nullif(h, 0), 6), 0) as aspect, case when w > h then 'landscape' when w < h then 'portrait' else 'square' end as shape from s",
-    "image_measures": ", s as (select doc_id, n_chars % 640 as w, doc_id * 37 % 480 as h from doc_meta) select doc_id, w * h - 1000 as area_change, round((w * h - 1000) * 100 / 1000, 6) as area_percent, coalesce(round((w - h) * 100 / nullif(h, 0), 6), 0) as side_percent from s",
+    "image_measures": ", i as (select doc_id, n_chars % 640 as w, doc_id * 37 % 480 as h, doc_id % 50 as x, doc_id % 70 as y from documents), s as (select pair_id, b.w as bw, b.h as bh, b.x as bx, b.y as y1, c.w as cw, c.h as ch, c.x as cx, c.y as y2, round(b.w / greatest(b.h, 1), 6) as ba, round(c.w / greatest(c.h, 1), 6) as ca from pairs join i b on b.doc_id = base_id join i c on c.doc_id = compare_id) select pair_id, bw * bh as base_area, cw * ch as compare_area, cw * ch - bw * bh as area_change, coalesce(round((cw * ch - bw * bh) * 100 / nullif(bw * bh, 0), 6), 0) as area_percent, ba as base_aspect, ca as compare_aspect, round(ca - ba, 6) as aspect_change, cx - bx as x_change, y2 - y1 as y_change, cw - bw as width_change, ch - bh as height_change, coalesce(round((cw - bw) * 100 / nullif(bw, 0), 6), 0) as width_percent, coalesce(round((ch - bh) * 100 / nullif(bh, 0), 6), 0) as height_percent from s",
     "font_usage": "select * from fonts",
     "font_diff": "select * from font_diff",
     "font_severity": "select pair_id, page_no, font_name, case when change <> 'modified' then 'major' when base_family is distinct from compare_family then 'major' when base_style is distinct from compare_style then 'minor' else 'cosmetic' end as severity, 'Font ' || case change when 'modified' then 'changed' else change end || ': ' || font_name as description from font_diff",

@@ -16,7 +16,6 @@ from docdelta.sources.fixtures import NOW, Entities
 from docdelta.streaming import streams
 
 PAGE, PAGES = ["pair_id", "base_page", "compare_page"], ["pair_id", "page_no"]
-ROUNDS = 4
 now = lambda: F.expr(NOW)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -144,7 +143,8 @@ add("pluggable_match", lambda e: plans.with_strategy(matching.same_page(*_sides(
 # ---- pixels and images
 
 _images = lambda e: e.base_px.withColumnRenamed("lum", "l1").join(e.compare_px.withColumnRenamed("lum", "l2"), [*PAGES, "x", "y"])
-add("quick_similarity", lambda e: visual.sampled_agreement(_images(e), PAGES, 2))
+_colours = lambda e: _images(e).select(*PAGES, "x", "y", *(c.alias(f"{n}{s}") for s in (1, 2) for n, c in (("r", F.col(f"l{s}")), ("g", F.col(f"l{s}") * 3 % 256), ("b", 255 - F.col(f"l{s}")))))
+add("quick_similarity", lambda e: visual.sampled_agreement(_colours(e), PAGES, 2))
 add("luminance", lambda e: e.grid_px.select("img_id", "x", "y", visual.luminance(F.col("lum"), F.col("lum") * 3 % 256, 255 - F.col("lum")).alias("luminance")))
 add("ssim", lambda e: visual.ssim(_images(e), PAGES))
 add("ssim_small", lambda e: visual.ssim(_images(e).where("x < 6 and y < 5"), PAGES))
@@ -159,10 +159,20 @@ add("image_modified", lambda e: _image_diff(e).where("change <> 'added'"))
 add("image_added", lambda e: _image_diff(e).where("change = 'added'").select("pair_id", "compare_page"))
 add("image_diff", _image_diff)
 add("image_severity", lambda e: visual.page_score(_images(e), PAGES).select(*PAGES, visual.image_severity(F.lit("modified"), F.col("score")).alias("severity")))
-add("image_boxes", lambda e: visual.image_box(e.differences.withColumn("base_width", F.when(F.col("line_no") % 2 == 0, F.col("base_width")).otherwise(0.0))).select(_box))
+_sized = lambda e: e.differences.withColumns({f"{t}_width": F.when(F.col("line_no") % 4 != k, F.col(f"{t}_width")) for k, t in enumerate(("base", "compare"))}).withColumns({f"{t}_width": F.when(F.col("line_no") % 4 != 2, F.col(f"{t}_width")) for t in ("base", "compare")})
+add("image_boxes", lambda e: visual.image_box(_sized(e)).select(_box).withColumn("rule", F.lit("service")).unionByName(visual.image_box_or_hundred(_sized(e)).select(_box).withColumn("rule", F.lit("model"))))
 _size = lambda e: e.doc_meta.select("doc_id", (F.col("n_chars") % 640).alias("w"), (F.col("doc_id") * 37 % 480).alias("h"))
 add("image_shape", lambda e: _size(e).select("doc_id", *visual.image_shape(F.col("w"), F.col("h"))))
-add("image_measures", lambda e: _size(e).select("doc_id", (F.col("w") * F.col("h") - F.lit(1000)).alias("area_change"), visual.change_percent(F.lit(1000), F.col("w") * F.col("h")).alias("area_percent"), visual.change_percent(F.col("h"), F.col("w")).alias("side_percent")))
+
+
+def _image_sides(e: Entities) -> DataFrame:
+    """A picture on each side of a document pair: its place and size follow from the document."""
+    info = e.table("documents").select("doc_id", (F.col("n_chars") % 640).alias("width"), (F.col("doc_id") * 37 % 480).alias("height"), (F.col("doc_id") % 50).alias("x"), (F.col("doc_id") % 70).alias("y"))
+    side = lambda s: info.select(F.col("doc_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("x", "y", "width", "height")))
+    return e.pairs.join(side("base"), "base_id").join(side("compare"), "compare_id")
+
+
+add("image_measures", lambda e: _image_sides(e).select("pair_id", *visual.image_measures(None)))
 
 # ---- fonts, metadata, styles
 
