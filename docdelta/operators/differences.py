@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docdelta.operators import text as text_ops
+from docdelta.operators import visual
+
 TYPES = ("text", "image", "font", "style")
 SEVERITIES = ("cosmetic", "minor", "major")
 
@@ -53,21 +56,57 @@ def filtered(d: DataFrame, types: list[str] | None = None, severity: str = "all"
     return d
 
 
+BUCKETS = (*TYPES, "structure")
+
+
 def bucket(type_: Column) -> Column:
     return F.when(type_.isin(*TYPES), type_).otherwise("structure")
 
 
+def group_by_type(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """(pair_id, bucket, n): a row for each bucket of every pair, 0 where it has none."""
+    counts = d.groupBy("pair_id").agg(*(F.count_if(bucket(F.col("type")) == b).alias(b) for b in BUCKETS))
+    wide = pairs.select("pair_id").join(counts, "pair_id", "left").na.fill(0, list(BUCKETS))
+    return wide.unpivot(["pair_id"], list(BUCKETS), "bucket", "n")
+
+
 def cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
 def describe(d: DataFrame) -> Column:
-    b, c = F.coalesce("base_text", F.lit("")), F.coalesce("compare_text", F.lit(""))
-    quoted = lambda head, t, n: F.concat(F.lit(head), cut(t, n), F.lit('"'))
+    """One line on a difference: its own description, or one by type, change, texts and name (of the image, font or style)."""
+    text_of = lambda n: F.coalesce(n, F.lit("")) if n in d.columns else F.lit("")
+    b, c, t, name = (text_of(n) for n in ("base_text", "compare_text", "text", "name"))
+    quoted = lambda head, what, n=None: F.concat(F.lit(head), cut(what, n) if n else what, F.lit('"'))
     both = F.concat(quoted('Text changed from "', b, 15), quoted(' to "', c, 15))
-    text = F.when((b != "") & (c != ""), both).when(c != "", quoted('Text added: "', c, 30)).when(b != "", quoted('Text deleted: "', b, 30)).otherwise("Text difference")
-    image = F.when(F.col("change") == "modified", "Image changed").otherwise(F.concat(F.lit("Image "), "change"))
-    return F.when(F.col("type") == "text", text).when(F.col("type") == "image", F.coalesce(image, F.lit("Image content differs"))).when(F.col("type") == "font", "Font difference").when(F.col("type") == "style", "Style difference").otherwise("Difference detected")
+    text = F.when((b != "") & (c != ""), both).when(c != "", quoted('Text added: "', c, 30)).when(b != "", quoted('Text deleted: "', b, 30)).when(t != "", cut(t, 30)).otherwise("Text difference")
+    known = F.col("change").isin("added", "deleted", "modified")
+    image = F.when(known, F.concat(F.lit("Image "), F.when(F.col("change") == "modified", "changed").otherwise(F.col("change")))).when(name != "", F.concat(F.lit("Image: "), name)).otherwise("Image content differs")
+    font = F.when(name != "", quoted('Font changed to "', name)).when(t != "", quoted('Font difference in "', t, 20)).otherwise("Font difference")
+    style = F.when(name != "", F.concat(F.lit("Style element "), F.coalesce("change", F.lit("changed")), F.lit(': "'), name, F.lit('"'))).when(t != "", quoted('Style changed in "', t, 20)).otherwise("Style difference")
+    kind = F.col("type")
+    made = F.when(kind == "text", text).when(kind == "image", image).when(kind == "font", font).when(kind == "style", style).otherwise("Difference detected")
+    return F.when(text_of("description") != "", F.col("description")).otherwise(made) if "description" in d.columns else made
+
+
+def with_box(d: DataFrame) -> DataFrame:
+    """d with the display box x, y, width, height of its type; 0 by 0 where it has no place."""
+    boxes = [text_ops.display_box(d.where("type = 'text'")), visual.image_box(d.where("type = 'image'"))]
+    none = {n: F.lit(0.0) for n in ("x", "y", "width", "height")}
+    return boxes[0].unionByName(boxes[1]).unionByName(d.where("type not in ('text', 'image')").withColumns(none))
+
+
+def page_differences(d: DataFrame) -> DataFrame:
+    """What a page shows of differences of any kind that have a box."""
+    return with_box(d).where("width > 0 and height > 0").select("pair_id", "diff_id", page_of(d).alias("page_no"), "type", "x", "y", "width", "height")
+
+
+def flags(d: DataFrame) -> DataFrame:
+    """(diff_id, is_...): each change, severity and type, and whether the box is valid."""
+    is_ = lambda c, values: [(F.col(c) == v).alias(f"is_{v}") for v in values]
+    box = (F.coalesce("width", F.lit(0.0)) > 0) & (F.coalesce("height", F.lit(0.0)) > 0)
+    return with_box(d).select("diff_id", *is_("change", ("added", "deleted", "modified")), *is_("severity", SEVERITIES), *is_("type", (*TYPES, "metadata")), box.alias("box_valid"))
 
 
 def hit_test(points: DataFrame, d: DataFrame, cell: int = 64) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUNNING = ("PROCESSING", "PENDING")
-PROGRESS = {"PENDING": 0, "PROCESSING": 50, "COMPLETED": 100, "FAILED": 100, "CANCELLED": 100}
+#: Percent that a running job has done when it enters a phase, and at the marks within one. Fixed values.
+PHASES = {"Loading documents": 5, "Base document loaded": 10, "Documents loaded": 15, "Comparing documents": 20, "Comparison done": 85, "Saving results": 90, "Results saved": 95}
 
 
 def seconds(a: Column, b: Column) -> Column:
@@ -33,8 +34,10 @@ def resolve_status(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def progress(jobs: DataFrame, total: Column) -> DataFrame:
-    percent = F.create_map(*(F.lit(x) for kv in PROGRESS.items() for x in kv))[F.col("status")]
-    return jobs.select("job_id", "status", percent.alias("percent"), F.floor(percent * total / 100).alias("completed_operations"))
+    """Percent of a job by its phase, and the operations that makes of its total. Waiting jobs have done nothing, finished ones all."""
+    by_phase = F.create_map(*(F.lit(x) for kv in PHASES.items() for x in kv))[F.col("phase")]
+    percent = F.when(F.col("status") == "COMPLETED", 100).when(F.col("status") == "PENDING", 0).otherwise(F.coalesce(by_phase, F.lit(0)))
+    return jobs.select("job_id", "status", "phase", percent.alias("percent"), F.floor(percent * total / 100).alias("completed_operations"))
 
 
 def in_progress(jobs: DataFrame) -> DataFrame:

@@ -30,8 +30,10 @@ def page_counts(page_pairs: DataFrame, d: DataFrame) -> DataFrame:
     return counts.join(differing, "pair_id", "left").withColumn("different", F.coalesce("different", F.lit(0)))
 
 
-def pages_by(d: DataFrame, dimension: str) -> DataFrame:
-    return d.groupBy("pair_id", dimension).agg(F.count_distinct("base_page", "compare_page").alias("pages"))
+def pages_by(d: DataFrame, dimensions: tuple[str, ...] = ("type", "severity")) -> DataFrame:
+    """(pair_id, dimension, value, pages): pages with a difference of each type and of each severity."""
+    long = d.select("pair_id", "base_page", "compare_page", *dimensions).unpivot(["pair_id", "base_page", "compare_page"], list(dimensions), "dimension", "value")
+    return long.groupBy("pair_id", "dimension", "value").agg(F.count_distinct("base_page", "compare_page").alias("pages"))
 
 
 def count_maps(pairs: DataFrame, d: DataFrame) -> DataFrame:
@@ -67,21 +69,30 @@ def match_label(score: Column) -> Column:
 
 
 def document_pairs(pairs: DataFrame, doc_pages: DataFrame, totals: DataFrame, similarity: DataFrame) -> DataFrame:
+    """A display row for each pair: both documents with their page counts and ranges, whether they exist, score, label, total. A range is null without pages."""
     d = pairs
     for s in ("base", "compare"):
-        d = d.join(doc_pages.select(F.col("doc_id").alias(f"{s}_id"), F.col("page_count").alias(f"{s}_pages")), f"{s}_id", "left")
+        d = d.join(doc_pages.select(F.col("doc_id").alias(f"{s}_id"), F.col("page_count").alias(f"{s}_pages")), f"{s}_id", "left").withColumn(f"has_{s}", F.col(f"{s}_pages").isNotNull())
     span = lambda n: F.concat(F.lit("1-"), F.col(n).cast("string"))
-    return d.join(totals, "pair_id").join(similarity, "pair_id").select("pair_id", "base_id", "compare_id", span("base_pages").alias("base_range"), span("compare_pages").alias("compare_range"), "total", "similarity", match_label(F.col("similarity")).alias("label"))
-
-
-def page_details(requests: DataFrame, pairs: DataFrame, doc_pages: DataFrame, d: DataFrame) -> DataFrame:
-    """For requested (pair_id, page_no): does it exist on each side, and its differences on each side by type."""
-    out = requests.join(pairs, "pair_id")
+    count = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return d.join(totals, "pair_id").join(similarity, "pair_id").select("pair_id", "base_id", "compare_id", "has_base", "has_compare", count("base_pages"), count("compare_pages"), span("base_pages").alias("base_range"), span("compare_pages").alias("compare_range"), "total", "similarity", match_label(F.col("similarity")).alias("label"))
+
+
+def page_details(requests: DataFrame, page_pairs: DataFrame, texts: DataFrame, pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """What a viewer shows of requested (pair_id, page_no): the first page pair with that page on either side, whether
+    both sides exist, both texts, differences by type, and the ids of those on either side. Requests without a page pair have nulls and zeros.
+    """
+    types = ("text", "image", "font", "style")
+    either = [page_pairs.select("pair_id", F.col(f"{s}_page").alias("page_no"), "base_page", "compare_page") for s in ("base", "compare")]
+    order = F.struct(F.coalesce("base_page", F.lit(2**31 - 1)), F.coalesce("compare_page", F.lit(2**31 - 1)))
+    first = requests.join(either[0].unionByName(either[1]), ["pair_id", "page_no"]).groupBy("pair_id", "page_no").agg(F.min_by(F.struct("base_page", "compare_page"), order).alias("at")).select("pair_id", "page_no", "at.*")
+    out = requests.join(first, ["pair_id", "page_no"], "left").join(pairs, "pair_id")
     for s in ("base", "compare"):
-        here = d.where(F.col(f"{s}_text").isNotNull()).groupBy("pair_id", F.col(f"{s}_page").alias("page_no")).agg(F.count("*").alias(f"{s}_differences"), F.count_if(F.col("severity") == "major").alias(f"{s}_major"), F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias(f"{s}_lines"))
-        out = out.join(doc_pages.select(F.col("doc_id").alias(f"{s}_id"), F.col("page_count").alias(f"{s}_count")), f"{s}_id", "left").join(here, ["pair_id", "page_no"], "left")
-    exists = lambda s: F.coalesce(F.col("page_no").between(1, F.col(f"{s}_count")), F.lit(False)).alias(f"in_{s}")
-    return out.select("pair_id", "page_no", exists("base"), exists("compare"), *(F.coalesce(n, F.lit(0)).alias(n) for n in ("base_differences", "base_major", "compare_differences", "compare_major")), "base_lines", "compare_lines")
+        out = out.join(texts.select(F.col("doc_id").alias(f"{s}_id"), F.col("page_no").alias(f"{s}_page"), F.col("text").alias(f"{s}_text")), [f"{s}_id", f"{s}_page"], "left")
+    ids = lambda s: F.array_join(F.sort_array(F.collect_list(F.when(F.col(f"{s}_page").isNotNull(), F.col("diff_id")))), ",")
+    listed = d.groupBy(PAGE_KEY).agg(*(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in types), *(ids(s).alias(f"{s}_differences") for s in ("base", "compare")))
+    out = out.join(listed, PAGE_KEY, "left")
+    return out.select("pair_id", "page_no", *(F.col(f"{s}_page").isNotNull().alias(f"in_{s}") for s in ("base", "compare")), "base_text", "compare_text", *(F.coalesce(f"n_{t}", F.lit(0)).alias(f"n_{t}") for t in types), "base_differences", "compare_differences")
 
 
 def pairs_with(page_pairs: DataFrame, d: DataFrame, **only: str) -> DataFrame:

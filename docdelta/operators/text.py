@@ -103,14 +103,24 @@ def compare_by(line_pairs: DataFrame, method: str = "fuzzy", threshold: str = "n
     return out.where("severity = 'major'") if THRESHOLDS[threshold] == "relaxed" else out
 
 
-def measures(d: DataFrame) -> DataFrame:
+def measures(d: DataFrame) -> list[Column]:
+    """Lengths, and what changed between the sides: font, font size, colour, place, extent, and by how much.
+
+    d has base_ and compare_ text, x, y, width, height, font, font_size, color. A font or colour changes only between
+    two; numbers of a missing side are 0.
+    """
     nb, nc = F.coalesce(F.length("base_text"), F.lit(0)), F.coalesce(F.length("compare_text"), F.lit(0))
-    gap = F.abs(nb - nc)
-    moved = lambda *ns: F.coalesce(~F.struct(*(f"base_{n}" for n in ns)).eqNullSafe(F.struct(*(f"compare_{n}" for n in ns))), F.lit(False))
-    return d.select(
-        "diff_id", nb.alias("base_length"), nc.alias("compare_length"), F.greatest(nb, nc).alias("max_length"), F.least(nb, nc).alias("min_length"), gap.alias("length_gap"),
-        F.coalesce(F.try_divide(gap.cast("double"), F.greatest(nb, nc)), F.lit(0.0)).alias("gap_ratio"), moved("x", "y").alias("position_changed"), moved("width", "height").alias("extent_changed"),
-    )
+    gap, number = F.abs(nb - nc), lambda s, n: F.coalesce(F.col(f"{s}_{n}"), F.lit(0.0))
+    change = lambda n: number("compare", n) - number("base", n)
+    other = lambda n: F.coalesce(F.col(f"base_{n}") != F.col(f"compare_{n}"), F.lit(False))
+    return [
+        nb.alias("base_length"), nc.alias("compare_length"), F.greatest(nb, nc).alias("max_length"), F.least(nb, nc).alias("min_length"), gap.alias("length_gap"),
+        F.round(F.coalesce(F.try_divide(gap.cast("double"), F.greatest(nb, nc)), F.lit(0.0)), 6).alias("gap_ratio"),
+        other("font").alias("font_changed"), (change("font_size") != 0).alias("font_size_changed"), other("color").alias("color_changed"),
+        ((change("x") != 0) | (change("y") != 0)).alias("position_changed"), ((change("width") != 0) | (change("height") != 0)).alias("extent_changed"),
+        change("font_size").alias("font_size_change"), F.round(font_size_change(number("base", "font_size"), number("compare", "font_size")), 6).alias("font_size_percent"),
+        *(change(n).alias(f"{n}_change") for n in ("x", "y", "width", "height")),
+    ]
 
 
 def font_size_change(base: Column, compare: Column) -> Column:
@@ -133,7 +143,18 @@ def forced_pair(page_pairs: DataFrame, differences: DataFrame) -> DataFrame:
     return silent.groupBy("pair_id").agg(F.min("base_page").alias("base_page"), F.min_by("compare_page", "base_page").alias("compare_page")).withColumn("synthetic", F.lit(True))
 
 
-def suppress_cosmetic(d: DataFrame, ignore_moves: bool = True, near: float = 20.0) -> DataFrame:
-    """Without modified lines that only moved a little."""
-    small = (F.abs(F.col("base_x") - F.col("compare_x")) <= near) & (F.abs(F.col("base_y") - F.col("compare_y")) <= near) & (F.col("severity") == "cosmetic")
-    return d.where(~F.coalesce(small, F.lit(False))) if ignore_moves else d
+def line_changes(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """Line pairs that differ in text, font, colour or place, with a flag for each. lines: line pairs with their attributes, as in measures."""
+    b, c = F.col("base_text"), F.col("compare_text")
+    worded = b.isNull() | c.isNull() | F.coalesce(similarity(b, c) < threshold, F.lit(False))
+    other = lambda *ns: F.coalesce(~F.struct(*(f"base_{n}" for n in ns)).eqNullSafe(F.struct(*(f"compare_{n}" for n in ns))), F.lit(False))
+    flags = {"text_changed": worded, "font_changed": other("font", "font_size"), "color_changed": other("color"), "moved": other("x", "y")}
+    return lines.withColumns(flags).where(" or ".join(flags))
+
+
+def suppress_cosmetic(d: DataFrame, ignore_colors: bool = False, ignore_moves: bool = False, near: float = 20.0) -> DataFrame:
+    """Without changes that are only of what the switches ignore: colour, or a place at most `near` away."""
+    hop = F.greatest(F.abs(F.col("base_x") - F.col("compare_x")), F.abs(F.col("base_y") - F.col("compare_y"))) <= near
+    colour = F.col("color_changed") & F.lit(not ignore_colors)
+    place = F.col("moved") & ~(F.coalesce(hop, F.lit(False)) & F.lit(ignore_moves))
+    return d.where(F.col("text_changed") | F.col("font_changed") | colour | place)

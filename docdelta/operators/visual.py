@@ -118,7 +118,7 @@ def exact_images(base: DataFrame, compare: DataFrame) -> DataFrame:
     return n(base, "base").join(n(compare, "compare"), ["pair_id", "signature", "n"]).select("pair_id", "base_page", "compare_page", F.lit(1.0).alias("score"))
 
 
-def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: float = 0.95) -> DataFrame:
+def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: float = 0.95, stride: int = 1) -> DataFrame:
     """Added, deleted and modified images of each pair: equal ones first, then the best of what is left over `threshold`."""
     from docdelta.operators import matching
 
@@ -127,7 +127,7 @@ def image_differences(base_px: DataFrame, compare_px: DataFrame, threshold: floa
     rest = lambda px, s: px.join(same.select("pair_id", F.col(f"{s}_page").alias("page_no")), key, "left_anti")
     b, c = rest(base_px, "base"), rest(compare_px, "compare")
     pages = lambda px: px.select("pair_id", "page_no").distinct()
-    scored = page_scorer(b, c)(matching.full(pages(b), pages(c))).where(F.col("score") > threshold)
+    scored = page_scorer(b, c, stride)(matching.full(pages(b), pages(c))).where(F.col("score") > threshold)
     near = stored(matching.assign(scored, 0.0), "matches")
     alone = matching.left_over(pages(b), pages(c), near)
     change = F.when(F.col("base_page").isNull(), "added").when(F.col("compare_page").isNull(), "deleted").otherwise("modified")

@@ -12,6 +12,16 @@ def _bytes(text: str) -> str:
     return rf"regexp_replace(translate({text}, '{ACCENTS}', {CONTROLS}), '[^\x00-\x7F]', '?', 'g')"
 
 
+FONT = ("font_name", "family", "style", "size", "encoding", "embedded", "usage")
+
+
+def _keyed(rows: str) -> str:
+    """Keyed values of both sides of every pair, where they differ, as {rows}_diff."""
+    side = lambda s: f"(select pair_id, key, value from pairs join {rows} on doc_id = {s}_id)"
+    change = "case when b.value is null then 'added' when c.value is null then 'deleted' else 'modified' end"
+    return f"{rows}_diff as (select pair_id, key, b.value as base_value, c.value as compare_value, {change} as change from {side('base')} b full join {side('compare')} c using (pair_id, key) where b.value is distinct from c.value)"
+
+
 VIEWS = r"""
 with doc_lines as (select doc_id, i as para_no, a[i] as para from (select doc_id, a, unnest(generate_series(1, len(a))) as i from (
     select doc_id, regexp_split_to_array(text, '\r\n|\n|\r') as a from documents)) where a[i] <> ''),
@@ -59,8 +69,6 @@ diffs as (select *, sha256(concat_ws('|', pair_id, base_page, compare_page, 'tex
     case when base_text is not null then 72.0::double end as base_x, case when base_text is not null then (792 - 14 * line_no)::double end as base_y, (6 * length(base_text))::double as base_width, case when base_text is not null then 12.0::double end as base_height,
     case when compare_text is not null then 72.0::double end as compare_x, case when compare_text is not null then (792 - 14 * line_no)::double end as compare_y, (6 * length(compare_text))::double as compare_width, case when compare_text is not null then 12.0::double end as compare_height
     from judged where change is not null),
-typed as (select * replace (case when line_no % 5 = 0 then 'image' when line_no % 7 = 0 then 'font' when line_no % 11 = 0 then 'other' else 'text' end as type) from diffs),
-boxed as (select *, coalesce((base_x + compare_x) / 2, base_x, compare_x) as x, coalesce((base_y + compare_y) / 2, base_y, compare_y) as y, greatest(base_width, compare_width) as width, greatest(base_height, compare_height) as height from typed),
 totals as (select p.pair_id, count(d.diff_id) as total from pairs p left join diffs d using (pair_id) group by all),
 similarity as (select pair_id, round(coalesce(count(*) filter (matched) / greatest(count(base_page), count(compare_page)) * coalesce(avg(score) filter (matched), 0), 0), 6) as similarity from page_pairs group by all),
 page_counts as (select pair_id, count(*) as pages, count(*) filter (matched) as matched, count(*) filter (not matched) as unmatched, coalesce(max(different), 0) as different
@@ -81,12 +89,38 @@ near as (select pair_id, b.page_no as base_page, c.page_no as compare_page from
 edges0 as (select pair_id, base_page, compare_page, score from scores where score >= 0.7),
 smart0 as (select * from edges0 where base_page = compare_page union select e.* from edges0 e join near using (pair_id, base_page, compare_page)),
 fonts as (select doc_id, page_no, font_name, count(*) as usage, max(font_size) as size, regexp_extract(font_name, '^([^-]*)', 1) as family, case when contains(font_name, '-') then regexp_extract(font_name, '-(.*)$', 1) else 'Regular' end as style from elements group by all),
-fb as (select pair_id, page_no, font_name, usage, size, family, style from pairs join fonts on doc_id = base_id), fc as (select pair_id, page_no, font_name, usage, size, family, style from pairs join fonts on doc_id = compare_id),
-font_diff as (select coalesce(b.pair_id, c.pair_id) as pair_id, coalesce(b.page_no, c.page_no) as page_no, coalesce(b.font_name, c.font_name) as font_name, b.usage as base_usage, b.size as base_size, b.family as base_family, b.style as base_style,
-    c.usage as compare_usage, c.size as compare_size, c.family as compare_family, c.style as compare_style, case when b.pair_id is null then 'added' when c.pair_id is null then 'deleted' else 'modified' end as change
-    from fb b full join fc c on b.pair_id = c.pair_id and b.page_no = c.page_no and b.font_name = c.font_name
-    where b.pair_id is null or c.pair_id is null or (b.usage, b.size, b.family, b.style) is distinct from (c.usage, c.size, c.family, c.style)),
-meta as (select doc_id, k as key, v as value from (select doc_id, unnest(['title', 'lang', 'charset', 'n_chars']) as k, unnest([title, lang, charset, cast(n_chars as varchar)]) as v, title from doc_meta) where v is not null)
+named as (select doc_id, page_no, font_name as font, case when font_name = 'Times' and doc_id % 5 = 0 then 'Georgia' when font_name = 'Helvetica-Bold' and doc_id % 3 = 0 then 'Helvetica-Oblique' else font_name end as font_name, usage, size from fonts),
+faces as (select doc_id, page_no, font, font_name, regexp_extract(font_name, '^([^-]*)', 1) as family, case when contains(font_name, '-') then regexp_extract(font_name, '-(.*)$', 1) else 'Regular' end as style, size, case when doc_id % 7 = 0 then 'MacRoman' else 'WinAnsi' end as encoding, doc_id % 6 > 0 as embedded, usage from named),
+fb as (select p.pair_id, base_page, compare_page, f.* exclude (doc_id, page_no) from page_pairs p join pairs using (pair_id) join faces f on f.doc_id = base_id and f.page_no = base_page where matched),
+fc as (select p.pair_id, base_page, compare_page, f.* exclude (doc_id, page_no) from page_pairs p join pairs using (pair_id) join faces f on f.doc_id = compare_id and f.page_no = compare_page where matched),
+font_diff as (select pair_id, base_page, compare_page, font, """ + ", ".join(f"{s}.{c} as {n}_{c}" for s, n in (("b", "base"), ("c", "compare")) for c in FONT) + r""", case when b.font_name is null then 'added' when c.font_name is null then 'deleted' else 'modified' end as change
+    from fb b full join fc c using (pair_id, base_page, compare_page, font) where (""" + ", ".join(f"b.{c}" for c in FONT) + ") is distinct from (" + ", ".join(f"c.{c}" for c in FONT) + r""")),
+font_graded as (select *, case when change <> 'modified' then 'major' when base_family <> compare_family then 'major' when base_style <> compare_style then 'minor' else 'cosmetic' end as severity,
+    case change when 'added' then 'Font added: ' || compare_font_name when 'deleted' then 'Font deleted: ' || base_font_name else 'Font modified: ' || base_font_name || ' to ' || compare_font_name end as description from font_diff),
+titles as (select doc_id, arg_min(para, para_no)[1:40] as title from doc_lines group by all),
+info as (select d.doc_id, title, source as author, lang as subject, case when d.doc_id % 4 = 0 then lang || ', ' || source end as keywords, case when d.doc_id % 3 > 0 then 'editor ' || d.doc_id % 3 end as creator, case when d.doc_id % 2 = 0 then 'docdelta' end as producer,
+    '2024-01-' || lpad(cast(d.doc_id % 28 + 1 as varchar), 2, '0') as created, case when d.doc_id % 5 > 0 then '2024-02-' || lpad(cast(d.doc_id % 28 + 1 as varchar), 2, '0') end as changed, coalesce(page_count, 0) as page_count, coalesce(strlen(text), 0) as size, d.doc_id % 11 = 0 as encrypted
+    from documents d left join titles using (doc_id) left join doc_pages using (doc_id)),
+meta as (select doc_id, k as key, v as value from (select doc_id, unnest(['Title', 'Author', 'Subject', 'Keywords', 'Creator', 'Producer', 'Creation Date', 'Modification Date', 'Page Count', 'File Size', 'Encrypted']) as k,
+    unnest([title, author, subject, keywords, creator, producer, created, changed, cast(page_count as varchar), case when size < 1024 then size || ' B' when size < 1048576 then printf('%.2f', size / 1024.0) || ' KB' else printf('%.2f', size / 1048576.0) || ' MB' end, cast(encrypted as varchar)]) as v from info) where v is not null),
+sheets as (select doc_id, 'color' as key, 'c' || doc_id % 3 as value from documents union all select doc_id, case when doc_id % 4 = 0 then 'size' else 'font' end, cast(doc_id % 5 as varchar) from documents),
+""" + _keyed("meta") + ",\n" + _keyed("sheets") + r""",
+img as (select img_id as i, o, x, y, case when o = 1 and (x + y) % 23 = 0 then least(255, lum + 40) else lum end as lum from grid_px, (values (0), (1)) as t(o) where img_id < 5),
+ipx as (select a.i as ai, a.o as ao, b.i as bi, b.o as bo, x, y, a.lum as l1, b.lum as l2 from img a join img b using (x, y)),
+iquick as (select ai, ao, bi, bo, round(avg(case when 3 * abs(l1 - l2) < 50 then 1.0::double else 0 end), 6) as quick, bool_and(l1 = l2 or x % 3 > 0 or y % 3 > 0) as exact from ipx group by all),
+iwin as (select ai, ao, bi, bo, wx, wy, avg(l1) as m1, avg(l2) as m2, var_pop(l1) as v1, var_pop(l2) as v2, covar_pop(l1, l2) as cv, max(abs(l1 - l2)) as far from ipx, unnest(generate_series(0, 8)) as a(wx), unnest(generate_series(0, 8)) as b(wy) where x between wx and wx + 7 and y between wy and wy + 7 group by all),
+issim as (select ai, ao, bi, bo, round(avg(case when far < 1e-6 then 1.0 else greatest(0, least(1, ((2 * m1 * m2 + 6.5025) * (2 * cv + 58.5225)) / ((m1 * m1 + m2 * m2 + 6.5025) * (v1 + v2 + 58.5225)))) end), 6) as ssim from iwin group by all),
+seen as (select p.pair_id, base_page, compare_page, p.score as content, exact, case when quick between 0.1 and 0.95 then ssim else quick end as visual from page_pairs p join pairs using (pair_id)
+    join iquick q on q.ai = (base_id // 2 + base_page) % 5 and q.ao = base_id % 2 and q.bi = (compare_id // 2 + compare_page) % 5 and q.bo = compare_id % 2 join issim s on s.ai = q.ai and s.ao = q.ao and s.bi = q.bi and s.bo = q.bo where matched),
+image_found as (select pair_id, base_page, compare_page, 'modified' as change, case when visual < 0.7 then 'major' when visual < 0.9 then 'minor' else 'cosmetic' end as severity from seen where not exact and visual > 0.95 and visual < 1
+    union all select pair_id, base_page, compare_page, unnest(['deleted', 'added']), 'major' from seen where not exact and visual <= 0.95),
+five as (select pair_id, diff_id, type, change, severity, base_page, compare_page, line_no, null::varchar as name, base_text, compare_text, null::varchar as description, base_x, base_y, base_width, base_height, compare_x, compare_y, compare_width, compare_height,
+    coalesce((base_x + compare_x) / 2, base_x, compare_x) as x, coalesce((base_y + compare_y) / 2, base_y, compare_y) as y, greatest(base_width, compare_width) as width, greatest(base_height, compare_height) as height from diffs
+    union all by name select pair_id, sha256(concat_ws('|', pair_id, base_page, compare_page, 'image', change || ' 1')) as diff_id, 'image' as type, change, severity, base_page, compare_page, 'image 1' as name, 72.0::double as x, 600.0::double as y, 96.0::double as width, 96.0::double as height from image_found
+    union all by name select pair_id, sha256(concat_ws('|', pair_id, base_page, compare_page, 'font', font)) as diff_id, 'font' as type, change, severity, base_page, compare_page, coalesce(compare_font_name, base_font_name) as name, description from font_graded
+    union all by name select pair_id, sha256(concat_ws('|', pair_id, 'metadata', key)) as diff_id, 'metadata' as type, change, 'minor' as severity, key as name from meta_diff
+    union all by name select pair_id, sha256(concat_ws('|', pair_id, 'style', key)) as diff_id, 'style' as type, change, 'cosmetic' as severity, key as name from sheets_diff),
+boxed as (select * from five where type = 'text')
 """
 
 
@@ -165,6 +199,32 @@ def _image_box(rule: str, none: tuple[str, str, str, str], least: tuple[str, str
     return f"select diff_id, '{rule}' as rule, {', '.join(out)} from sized"
 
 
+
+
+def _side(s: str) -> str:
+    """Font, size, colour and place of a side's line, as text: they follow from document and line."""
+    values = {"font": f"case when line_no = 1 then 'Helvetica-Bold' when {s}_id % 5 = 0 then 'Georgia' else 'Times' end", "font_size": f"(case when line_no = 1 then 14 when {s}_id % 3 = 0 then 11 else 10 end)::double",
+        "color": f"case when {s}_id % 4 = 0 then 'navy' else 'black' end", "x": f"(72 + 15 * ({s}_id % 3))::double", "y": "(792 - 14 * line_no)::double", "width": f"(6 * length({s}_text))::double", "height": "12.0::double"}
+    return ", ".join(f"case when {s}_text is not null then {v} end as {s}_{n}" for n, v in values.items())
+
+
+def _attributed(rows: str) -> str:
+    own = ", diff_id" if rows == "diffs" else ""
+    return f", attributed as (select pair_id, base_page, compare_page, line_no, base_text, compare_text, change{own}, {_side('base')}, {_side('compare')} from {rows} join pairs using (pair_id))"
+
+
+_short = lambda c, n: f"case when length({c}) > {n} then {c}[1:{n}] || '...' else {c} end"
+_MADE = f"""case type when 'text' then case when base_text is not null and compare_text is not null then 'Text changed from "' || {_short('base_text', 15)} || '" to "' || {_short('compare_text', 15)} || '"' when compare_text is not null then 'Text added: "' || {_short('compare_text', 30)} || '"' else 'Text deleted: "' || {_short('base_text', 30)} || '"' end
+    when 'image' then case change when 'modified' then 'Image changed' when 'added' then 'Image added' when 'deleted' then 'Image deleted' else 'Image: ' || name end when 'font' then 'Font changed to "' || name || '"' when 'style' then 'Style element ' || coalesce(change, 'changed') || ': "' || name || '"' else 'Difference detected' end"""
+DESCRIBE = f"select diff_id, 'own' as form, coalesce(description, {_MADE}) as description from five union all select diff_id, 'bare' as form, {_MADE} from (select * replace (case when pair_id % 3 > 0 then change end as change) from five)"
+_counted = lambda name, rows, synthetic="0": f"select '{name}' as options, pair_id, type, count(*) as n, {synthetic}::bigint as synthetic from {rows} group by pair_id, type"
+COMPARE_OPTIONS = (
+    ", forced_pages as (select pair_id from page_pairs where matched and score < 0.98), forced as (select pair_id, 'text' as type from forced_pages union all select distinct pair_id, 'text' from page_pairs where matched and pair_id not in (select pair_id from forced_pages)) "
+    + " union all ".join([
+        _counted("all", "five"), _counted("strict text", "(select pair_id, 'text' as type from line_pairs where base_text is distinct from compare_text)"),
+        _counted("relaxed text, fonts", "(select pair_id, type from five where type = 'font' or type = 'text' and severity = 'major')"), _counted("no text", "(select * from five where type <> 'text')"), _counted("forced", "forced", "count(*)"),
+    ])
+)
 _cut_width = lambda t, k: f"case when line_no % 4 not in ({k}, 2) then {t}_width end as {t}_width"
 IMAGE_BOXES = f", sized as (select * replace ({_cut_width('base', 0)}, {_cut_width('compare', 1)}) from diffs) " + _image_box("service", ("50", "50", "400", "300"), ("0", "0", "400", "300"), ("0", "0", "400", "300")) + " union all " + _image_box("model", ("100",) * 4, ("100",) * 4, ("100",) * 4)
 
@@ -195,10 +255,10 @@ _QUERIES = {
     "text_box_defaults": ", d as (select * replace (case when line_no % 3 <> 0 then base_x end as base_x) from diffs), v as (select *, case when change = 'added' and compare_x > 0 then 'c' when change = 'deleted' and base_x > 0 then 'b' when change = 'modified' and base_x > 0 and compare_x > 0 then 'm' when change = 'modified' and base_x > 0 then 'b' when change = 'modified' and compare_x > 0 then 'c' end as s from d) select diff_id, coalesce(case s when 'c' then compare_x when 'b' then base_x when 'm' then (base_x + compare_x) / 2 end, 100) as x, coalesce(case s when 'c' then compare_y when 'b' then base_y when 'm' then (base_y + compare_y) / 2 end, 100) as y, case when coalesce(case s when 'c' then compare_width when 'b' then base_width when 'm' then greatest(base_width, compare_width) end, 0) > 0 then case s when 'c' then compare_width when 'b' then base_width else greatest(base_width, compare_width) end else 100 end as width, coalesce(case s when 'c' then compare_height when 'b' then base_height when 'm' then greatest(base_height, compare_height) end, 14) as height from v",
     "text_box_estimated": f"select diff_id, (100 + ({ESTIMATED} * 31) % 300)::double as x, (100 + (({ESTIMATED} * 31) // 10) % 500 + (base_page - 1) * 50)::double as y, least(500, greatest(50, 20 + 7 * {ESTIMATED}))::double as width, 14.0::double as height from (select * replace (greatest(length(base_text), length(compare_text)) as longer) from diffs)",
     "text_methods": METHODS,
-    "text_measures": ", m as (select *, coalesce(length(base_text), 0) as nb, coalesce(length(compare_text), 0) as nc from diffs) select diff_id, nb as base_length, nc as compare_length, greatest(nb, nc) as max_length, least(nb, nc) as min_length, abs(nb - nc) as length_gap, round(coalesce(abs(nb - nc) / nullif(greatest(nb, nc), 0), 0), 6) as gap_ratio, base_x is distinct from compare_x or base_y is distinct from compare_y as position_changed, base_width is distinct from compare_width or base_height is distinct from compare_height as extent_changed from m",
+    "text_measures": _attributed("diffs") + ", m as (select *, coalesce(length(base_text), 0) as nb, coalesce(length(compare_text), 0) as nc, " + ", ".join(f"coalesce(compare_{n}, 0) - coalesce(base_{n}, 0) as d_{n}" for n in ("font_size", "x", "y", "width", "height")) + " from attributed) select diff_id, nb as base_length, nc as compare_length, greatest(nb, nc) as max_length, least(nb, nc) as min_length, abs(nb - nc) as length_gap, round(coalesce(abs(nb - nc) / nullif(greatest(nb, nc), 0), 0), 6) as gap_ratio, coalesce(base_font <> compare_font, false) as font_changed, d_font_size <> 0 as font_size_changed, coalesce(base_color <> compare_color, false) as color_changed, d_x <> 0 or d_y <> 0 as position_changed, d_width <> 0 or d_height <> 0 as extent_changed, d_font_size as font_size_change, round(coalesce(d_font_size * 100 / nullif(coalesce(base_font_size, 0), 0), 0), 6) as font_size_percent, d_x as x_change, d_y as y_change, d_width as width_change, d_height as height_change from m",
     "text_forced": ", t as (select doc_id, page_no, string_agg(text, chr(10) order by line_no) as text from page_lines group by all) select p.pair_id, base_page, compare_page, b.text as base_text, c.text as compare_text, 'modified' as change, 'major' as severity, true as synthetic from page_pairs p join pairs using (pair_id) join t b on b.doc_id = base_id and b.page_no = base_page join t c on c.doc_id = compare_id and c.page_no = compare_page where matched and score < 0.98 and (p.pair_id, base_page) not in (select (pair_id, base_page) from diffs)",
     "pair_forced": "select pair_id, min(base_page) as base_page, min(compare_page) as compare_page, true as synthetic from page_pairs where matched and pair_id not in (select pair_id from diffs) group by pair_id",
-    "suppress_cosmetic": f"select {SEVEN} from diffs where not (change = 'modified' and severity = 'cosmetic')",
+    "suppress_cosmetic": _attributed("judged") + ", c as (select *, change is not null as text_changed, (base_font, base_font_size) is distinct from (compare_font, compare_font_size) as font_changed, base_color is distinct from compare_color as color_changed, (base_x, base_y) is distinct from (compare_x, compare_y) as moved, coalesce(greatest(abs(base_x - compare_x), abs(base_y - compare_y)) <= 20, false) as near from attributed) select ignored, pair_id, base_page, compare_page, line_no, text_changed, font_changed, color_changed, moved from c, (values ('none', false, false), ('colors', true, false), ('positions', false, true), ('both', true, true)) as o(ignored, colors, positions) where text_changed or font_changed or color_changed and not colors or moved and not (near and positions)",
     "match_same_page": "select pair_id, base_page, compare_page, score from same",
     "match_unmatched": "select *, 'base' as side from ub union all select *, 'compare' from uc",
     "match_nearby": "select * from near",
@@ -208,11 +268,11 @@ _QUERIES = {
     "match_assign": _rounds("edges0") + " select * from k",
     "match_unmatched_pages": _rounds("edges0") + " " + LEFT,
     "match_confidence": "select pair_id, round(count(*) filter (matched) / count(*) * avg(score) filter (matched), 6) as confidence from page_pairs group by pair_id",
-    "match_weighted": "select pair_id, base_page, compare_page, round(0.7 * (1.0 / base_page) + 0.3 * score, 6)::double as score from page_pairs where matched",
+    "match_weighted": "select pair_id, base_page, compare_page, round(0.7 * visual + 0.3 * content, 6) as score from seen",
     "sample_key_pages": "select distinct doc_id, unnest(case when page_count > 10 then [1, 2, 3, page_count // 4, page_count * 2 // 4, page_count * 3 // 4, page_count] else generate_series(1, least(3, page_count)) end) as page_no from doc_pages",
     "match_mode": ", k as (select pair_id, base_page, compare_page, score from same where score >= 0.7) select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "match_pipeline": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
-    "pluggable_match": "select pair_id, base_page, compare_page, round(1.0::double / (1 + base_page), 6) as score from same",
+    "pluggable_match": ", e as (select unnest(['content', 'visual', 'weighted', 'front']) as strategy, pair_id, base_page, compare_page, unnest([content, visual, round(0.7 * visual + 0.3 * content, 6), round(1.0::double / base_page, 6)]) as score from seen), kept as (select * from e where score >= 0.7), sides as (select strategy, pair_id, base_page, compare_page from page_pairs, (select unnest(['content', 'visual', 'weighted', 'front']) as strategy)), found as (select strategy, pair_id, base_page, compare_page, score, true as matched from kept union all select strategy, pair_id, base_page, null, 0, false from sides where base_page is not null and (strategy, pair_id, base_page) not in (select (strategy, pair_id, base_page) from kept) union all select strategy, pair_id, null, compare_page, 0, false from sides where compare_page is not null and (strategy, pair_id, compare_page) not in (select (strategy, pair_id, compare_page) from kept)) select found.*, round(coalesce(count(*) filter (matched) over w / count(*) over w * avg(score) filter (matched) over w, 0), 6) as confidence from found window w as (partition by strategy, pair_id)",
     "quick_similarity": ", p as (" + SAME_PIX + ") select pair_id, page_no, round(avg(case when abs(l1 - l2) + abs(l1 * 3 % 256 - l2 * 3 % 256) + abs(l2 - l1) < 50 then 1.0::double else 0 end), 6) as quick from p where x % 2 = 0 and y % 2 = 0 group by all",
     "luminance": "select img_id, x, y, (76 * lum + 150 * (lum * 3 % 256) + 29 * (255 - lum)) >> 8 as luminance from grid_px",
     "ssim": _ssim(SAME_PIX, 8, 8),
@@ -231,45 +291,45 @@ _QUERIES = {
     "image_measures": ", i as (select doc_id, n_chars % 640 as w, doc_id * 37 % 480 as h, doc_id % 50 as x, doc_id % 70 as y from documents), s as (select pair_id, b.w as bw, b.h as bh, b.x as bx, b.y as y1, c.w as cw, c.h as ch, c.x as cx, c.y as y2, round(b.w / greatest(b.h, 1), 6) as ba, round(c.w / greatest(c.h, 1), 6) as ca from pairs join i b on b.doc_id = base_id join i c on c.doc_id = compare_id) select pair_id, bw * bh as base_area, cw * ch as compare_area, cw * ch - bw * bh as area_change, coalesce(round((cw * ch - bw * bh) * 100 / nullif(bw * bh, 0), 6), 0) as area_percent, ba as base_aspect, ca as compare_aspect, round(ca - ba, 6) as aspect_change, cx - bx as x_change, y2 - y1 as y_change, cw - bw as width_change, ch - bh as height_change, coalesce(round((cw - bw) * 100 / nullif(bw, 0), 6), 0) as width_percent, coalesce(round((ch - bh) * 100 / nullif(bh, 0), 6), 0) as height_percent from s",
     "font_usage": "select * from fonts",
     "font_diff": "select * from font_diff",
-    "font_severity": "select pair_id, page_no, font_name, case when change <> 'modified' then 'major' when base_family is distinct from compare_family then 'major' when base_style is distinct from compare_style then 'minor' else 'cosmetic' end as severity, 'Font ' || case change when 'modified' then 'changed' else change end || ': ' || font_name as description from font_diff",
-    "font_measures": "select pair_id, page_no, font_name, coalesce(compare_usage, 0) - coalesce(base_usage, 0) as usage_change, round(coalesce((compare_size - base_size) * 100 / nullif(base_size, 0), 0), 6) as size_percent from font_diff",
-    "metadata_diff": ", m as (select * from meta where doc_id in (select doc_id from doc_meta where title <> '' or doc_id % 2 = 0)), n as (select doc_id - 1 as doc_id, key, value from m where doc_id >= 1) select coalesce(m.doc_id, n.doc_id) as doc_id, coalesce(m.key, n.key) as key, m.value as base_value, n.value as compare_value, case when m.doc_id is null then 'added' when n.doc_id is null then 'deleted' else 'modified' end as change from m full join n on m.doc_id = n.doc_id and m.key = n.key where m.value is distinct from n.value",
-    "style_diff": ", m as (select doc_id, 'color' as key, 'c' || doc_id % 3 as value from doc_meta union all select doc_id, case when doc_id % 4 = 0 then 'size' else 'font' end, cast(doc_id % 5 as varchar) from doc_meta), n as (select doc_id, 'color' as key, 'c' || doc_id % 4 as value from doc_meta union all select doc_id, case when doc_id % 4 = 1 then 'size' else 'font' end, cast(doc_id % 5 as varchar) from doc_meta) select coalesce(m.doc_id, n.doc_id) as doc_id, coalesce(m.key, n.key) as key, m.value as base_value, n.value as compare_value, case when m.doc_id is null then 'added' when n.doc_id is null then 'deleted' else 'modified' end as change from m full join n on m.doc_id = n.doc_id and m.key = n.key where m.value is distinct from n.value",
+    "font_severity": "select pair_id, base_page, compare_page, font, severity, description from font_graded",
+    "font_measures": ", m as (select *, coalesce(compare_size, 0) - coalesce(base_size, 0) as ds, coalesce(compare_usage, 0) - coalesce(base_usage, 0) as du from font_diff) select pair_id, base_page, compare_page, font, coalesce(base_family <> compare_family, false) as family_changed, coalesce(base_style <> compare_style, false) as style_changed, coalesce(base_encoding <> compare_encoding, false) as encoding_changed, ds <> 0 as size_changed, coalesce(base_embedded, false) <> coalesce(compare_embedded, false) as embedding_changed, ds as size_change, coalesce(round(ds * 100 / nullif(coalesce(base_size, 0), 0), 6), 0) as size_percent, du as usage_change, coalesce(round(du * 100 / nullif(coalesce(base_usage, 0), 0), 6), 0) as usage_percent from m",
+    "metadata_diff": "select * from meta_diff",
+    "style_diff": "select * from sheets_diff",
     "infer_type": "select diff_id, case when line_no % 5 = 0 then 'image' when line_no % 7 = 0 then 'font' else 'text' end as type from diffs",
     "infer_change": "select diff_id, change from diffs",
     "min_bounds": "select diff_id, case when base_width is null or base_width - 6 < 2 then 10 else base_width - 6 end as width, coalesce(compare_height, 10) as height from diffs",
-    "page_difference": "select pair_id, diff_id, base_page as page_no, type, x, y, width, height from boxed where width > 0 and height > 0",
+    "page_difference": "select pair_id, diff_id, base_page as page_no, type, x, y, width, height from five where width > 0 and height > 0",
     "dedupe_differences": "select diff_id, severity, (case when base_text is null then 1 else 0 end)::bigint as side from diffs",
     "sort_differences": "select pair_id, diff_id, row_number() over (partition by pair_id order by base_page, y, diff_id) as rank from boxed",
-    "filter_differences": "select diff_id from typed where type in ('text', 'font') and severity <> 'cosmetic' and (contains(lower(coalesce(base_text, '')), 'the') or contains(lower(coalesce(compare_text, '')), 'the'))",
-    "group_by_type": "select pair_id, case when type = 'other' then 'structure' else type end as bucket, count(*) as n from typed group by all",
-    "describe": "select diff_id, case type when 'text' then case when base_text is not null and compare_text is not null then 'Text changed from \"' || case when length(base_text) > 15 then base_text[1:15] || '...' else base_text end || '\" to \"' || case when length(compare_text) > 15 then compare_text[1:15] || '...' else compare_text end || '\"' when compare_text is not null then 'Text added: \"' || case when length(compare_text) > 30 then compare_text[1:30] || '...' else compare_text end || '\"' else 'Text deleted: \"' || case when length(base_text) > 30 then base_text[1:30] || '...' else base_text end || '\"' end when 'image' then case when change = 'modified' then 'Image changed' else 'Image ' || change end when 'font' then 'Font difference' else 'Difference detected' end as description from typed",
+    "filter_differences": "select diff_id from five where type in ('text', 'font') and severity <> 'cosmetic' and (contains(lower(coalesce(base_text, '')), 'the') or contains(lower(coalesce(compare_text, '')), 'the') or contains(lower(coalesce(description, '')), 'the'))",
+    "group_by_type": ", b as (select pair_id, unnest(['text', 'image', 'font', 'style', 'structure']) as bucket from pairs) select b.pair_id, b.bucket, count(five.diff_id) as n from b left join five on five.pair_id = b.pair_id and case when type in ('text', 'image', 'font', 'style') then type else 'structure' end = b.bucket group by all",
+    "describe": DESCRIBE,
     "hit_test": ", pts as (select pair_id as point_id, pair_id, 1 as page_no, 100.0 as px, 700.0 + base_id % 80 as py from pairs join doc_pages on doc_id = base_id) select point_id, min(diff_id) as diff_id from pts p join boxed b on b.pair_id = p.pair_id and b.base_page = p.page_no where px between x and x + width and py between y and y + height group by point_id",
     "to_pixels": ", v as (select diff_id, coalesce(base_x, compare_x, 0) as x, coalesce(base_y, compare_y, 0) as y, coalesce(base_width, compare_width, 50) as w, coalesce(base_height, compare_height, 20) as h from diffs), f as (select 150.0::double / 72 as f) select diff_id, round(x * f, 6) as px_x, round(1650 - y * f - h * f, 6) as px_y, round(greatest(w * f, 5), 6) as px_width, round(greatest(h * f, 5), 6) as px_height from v, f",
-    "difference_flags": "select diff_id, change = 'added' as is_added, change = 'deleted' as is_deleted, change = 'modified' as is_modified, severity = 'major' as is_major, severity = 'minor' as is_minor, severity = 'cosmetic' as is_cosmetic from diffs",
+    "difference_flags": "select diff_id, " + ", ".join(f"{k} = '{v}' as is_{v}" for k, vs in (("change", ("added", "deleted", "modified")), ("severity", ("major", "minor", "cosmetic")), ("type", ("text", "image", "font", "style", "metadata"))) for v in vs) + ", coalesce(width, 0) > 0 and coalesce(height, 0) > 0 as box_valid from five",
     "total_differences": "select * from totals",
-    "count_by_dimension": " union all ".join(f"select pair_id, '{k}' as dimension, cast({k} as varchar) as value, count(*) as n from typed group by all" for k in ("type", "severity", "change", "base_page")),
+    "count_by_dimension": " union all ".join(f"select pair_id, '{k}' as dimension, cast({k} as varchar) as value, count(*) as n from five group by all" for k in ("type", "severity", "change", "base_page")),
     "page_counts": "select * from page_counts",
-    "pages_by_dimension": "select pair_id, type, count(distinct base_page) as pages from typed group by all",
-    "count_maps": "select p.pair_id, " + ", ".join(f"count(*) filter (type = '{t}') as n_{t}" for t in ("text", "image", "font", "style", "metadata")) + ", " + ", ".join(f"count(*) filter (severity = '{s}') as n_{s}" for s in ("major", "minor", "cosmetic")) + " from pairs p left join typed using (pair_id) group by all",
+    "pages_by_dimension": " union all ".join(f"select pair_id, '{k}' as dimension, {k} as value, count(distinct base_page) as pages from five group by all" for k in ("type", "severity")),
+    "count_maps": "select p.pair_id, " + ", ".join(f"count(*) filter (type = '{t}') as n_{t}" for t in ("text", "image", "font", "style", "metadata")) + ", " + ", ".join(f"count(*) filter (severity = '{s}') as n_{s}" for s in ("major", "minor", "cosmetic")) + " from pairs p left join five using (pair_id) group by all",
     "overall_similarity": "select * from similarity",
     "identical_similar": "select pair_id, total = 0 as identical, similarity >= 0.5 as similar from totals join similarity using (pair_id)",
-    "ui_summary": ", c as (select p.pair_id, count(*) filter (type = 'text') as content, count(*) filter (type = 'image') as images, count(*) filter (type = 'font') as fonts, 0::bigint as style from pairs p left join typed using (pair_id) group by all), s as (select c.*, total, different, case when content + images + fonts = 0 then total else total - content - images - fonts end as structure from c join totals using (pair_id) join page_counts using (pair_id)) select pair_id, different as different_pages, content, images, fonts, style, structure, " + ", ".join(f"{_bar(c)} as bar_{c}" for c in ("content", "images", "fonts", "style", "structure")) + " from s",
+    "ui_summary": ", c as (select p.pair_id, count(*) filter (type = 'text') as content, count(*) filter (type = 'image') as images, count(*) filter (type = 'font') as fonts, count(*) filter (type = 'style') as style, count(type) as total, count(distinct base_page) as different from pairs p left join five using (pair_id) group by all), s as (select c.*, case when content + images + fonts + style = 0 then total else total - content - images - fonts - style end as structure from c) select pair_id, different as different_pages, content, images, fonts, style, structure, " + ", ".join(f"{_bar(c)} as bar_{c}" for c in ("content", "images", "fonts", "style", "structure")) + " from s",
     "match_label": f"select pair_id, base_page, compare_page, {LABEL.format('score')} as label from page_pairs",
-    "document_pairs": f"select pair_id, base_id, compare_id, '1-' || b.page_count as base_range, '1-' || c.page_count as compare_range, total, similarity, {LABEL.format('similarity')} as label from pairs join doc_pages b on b.doc_id = base_id join doc_pages c on c.doc_id = compare_id join totals using (pair_id) join similarity using (pair_id)",
-    "page_details": ASKED + ", hb as (select pair_id, base_page as page_no, count(*) as n, count(*) filter (severity = 'major') as m, string_agg(cast(line_no as varchar), ',' order by line_no) as l from diffs where base_text is not null group by all), hc as (select pair_id, compare_page as page_no, count(*) as n, count(*) filter (severity = 'major') as m, string_agg(cast(line_no as varchar), ',' order by line_no) as l from diffs where compare_text is not null group by all) select pair_id, page_no, page_no <= b.page_count as in_base, page_no <= c.page_count as in_compare, coalesce(hb.n, 0) as base_differences, coalesce(hb.m, 0) as base_major, coalesce(hc.n, 0) as compare_differences, coalesce(hc.m, 0) as compare_major, hb.l as base_lines, hc.l as compare_lines from asked join pairs using (pair_id) join doc_pages b on b.doc_id = base_id join doc_pages c on c.doc_id = compare_id left join hb using (pair_id, page_no) left join hc using (pair_id, page_no)",
+    "document_pairs": f"select pair_id, base_id, compare_id, b.page_count is not null as has_base, c.page_count is not null as has_compare, coalesce(b.page_count, 0) as base_pages, coalesce(c.page_count, 0) as compare_pages, '1-' || b.page_count as base_range, '1-' || c.page_count as compare_range, total, similarity, {LABEL.format('similarity')} as label from pairs left join doc_pages b on b.doc_id = base_id left join doc_pages c on c.doc_id = compare_id join totals using (pair_id) join similarity using (pair_id)",
+    "page_details": ASKED + ", t as (select doc_id, page_no, string_agg(text, chr(10) order by line_no) as text from page_lines group by all), l as (select pair_id, base_page, compare_page, " + ", ".join(f"count(*) filter (type = '{t}') as n_{t}" for t in ("text", "image", "font", "style")) + ", string_agg(diff_id, ',' order by diff_id) as ids from five group by all) select a.pair_id, a.page_no, b.text is not null as in_base, c.text is not null as in_compare, b.text as base_text, c.text as compare_text, " + ", ".join(f"coalesce(n_{t}, 0) as n_{t}" for t in ("text", "image", "font", "style")) + ", ids as base_differences, ids as compare_differences from asked a join pairs using (pair_id) left join t b on b.doc_id = base_id and b.page_no = a.page_no left join t c on c.doc_id = compare_id and c.page_no = a.page_no left join l on l.pair_id = a.pair_id and l.base_page = a.page_no and l.compare_page = a.page_no",
     "pairs_with_differences": "select * from page_pairs where matched and (pair_id, base_page) in (select (pair_id, base_page) from diffs where severity = 'major')",
     "page_lookup": ASKED + ", n as (select *, row_number() over (partition by pair_id order by coalesce(base_page, compare_page), compare_page) as n from page_pairs) select a.pair_id, a.page_no, coalesce(o.n, m.n, 1) as pair_no from asked a left join n o on o.pair_id = a.pair_id and o.base_page = a.page_no left join n m on m.pair_id = a.pair_id and m.n = a.page_no",
     "matched_pairs": "select count(*) filter (similarity > 0) as n from similarity",
     "summary": SUMMARY,
-    "compare_options": SUMMARY,
+    "compare_options": COMPARE_OPTIONS,
     "report_json": "select pair_id, total, total as listed from totals",
     "report_latest": "select base_id as pair_id, max('report-' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '-' || job_id) as path from jobs group by base_id",
     "result_write": ", d as materialized (select pair_id, diff_id, change, severity from diffs), again as (select distinct pair_id from d where pair_id % 2 = 0 and change <> 'modified') select d.* from d left join again on again.pair_id = d.pair_id where d.pair_id % 2 <> 0 or d.change <> 'modified' or again.pair_id is null",
     "result_read": "select pair_id, diff_id, change from diffs",
     "create_comparisons": ", q as (select job_id, base_id, compare_id * 8 as compare_id, case when base_id not in (select doc_id from documents) then 'base document not found' when compare_id * 8 not in (select doc_id from documents) then 'compare document not found' end as reject_reason from jobs) select *, case when reject_reason is null then 'PROCESSING' end as status from q",
     "resolve_status": "select w.job_id, case when j.has_result then 'COMPLETED' else coalesce(j.status, 'NOT_FOUND') end as status from (select job_id * 2 as job_id from jobs) w left join jobs j using (job_id)",
-    "progress": ", q as (select job_id, status, (case status when 'PENDING' then 0 when 'PROCESSING' then 50 else 100 end)::bigint as percent from jobs) select *, percent * (job_id % 50) // 100 as completed_operations from q",
+    "progress": ", q as (select job_id, status, case when status in ('PROCESSING', 'FAILED', 'CANCELLED') then ['Loading documents', 'Base document loaded', 'Documents loaded', 'Comparing documents', 'Comparison done', 'Saving results', 'Results saved'][job_id % 7 + 1] end as phase, (case status when 'PENDING' then 0 when 'COMPLETED' then 100 else [5, 10, 15, 20, 85, 90, 95][job_id % 7 + 1] end)::bigint as percent from jobs) select *, percent * (job_id % 50) // 100 as completed_operations from q",
     "in_progress": "select job_id from jobs where not has_result and status in ('PROCESSING', 'PENDING')",
     "elapsed": f", q as (select job_id, cast(floor(epoch_us({NOW}) / 1e6) - floor(epoch_us(created_at) / 1e6) as bigint) as seconds from jobs) select *, floor(seconds / 60) > 5 as maybe_stuck from q",
     "repair_stuck": f", q as (select *, status in ('PROCESSING', 'PENDING') as running, epoch_us({NOW}) - epoch_us(updated_at) > 900000000 as stale from jobs) select job_id, case when running and has_result then 'COMPLETED' when running and stale then 'FAILED' else status end as status, case when running and not has_result and stale then 'No progress for more than 15 minutes' end as message from q",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docdelta.functions import lineage
-from docdelta.operators import catalog, differences, jobs, keyed, layout, matching, summaries, text, visual
+from docdelta.operators import catalog, differences, jobs, keyed, layout, matching, strategies, summaries, text, visual
 from docdelta.plans import compare as plans
 from docdelta.sources import store
 from docdelta.sources.fixtures import NOW, Entities
@@ -56,7 +56,7 @@ add("retention", lambda e: jobs.expired(e.jobs, now()).select("job_id", "status"
 add("content_hash", lambda e: _docs(e).select("doc_id", "content_hash"))
 add("dedupe_documents", lambda e: catalog.canonical(_docs(e)))
 add("lookup_by_hash", lambda e: catalog.lookup(_docs(e), _docs(e)).select("doc_id", "content_hash"))
-add("metadata_rows", lambda e: keyed.metadata_rows(e.doc_meta, ["title", "lang", "charset", "n_chars"]))
+add("metadata_rows", lambda e: keyed.metadata_rows(e.doc_info))
 _names = lambda e: e.table("pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PDF").otherwise(".html")).alias("name"), F.length("html").alias("size"))
 add("file_labels", lambda e: _names(e).select("page_id", catalog.extension(F.col("name")).alias("extension"), catalog.readable_size(F.col("size")).alias("label")))
 add("format_dates", lambda e: e.jobs.select("job_id", catalog.date_label(F.col("created_at")).alias("created")))
@@ -98,10 +98,34 @@ def text_methods(e: Entities) -> DataFrame:
     return out
 
 
-add("text_measures", lambda e: text.measures(e.differences).withColumn("gap_ratio", F.round("gap_ratio", 6)))
+
+
+def _attributed(e: Entities, d: DataFrame) -> DataFrame:
+    """d with font, size, colour and place of its lines, which follow from document and line."""
+    d = d.drop(*(f"{s}_{n}" for s in ("base", "compare") for n in ("x", "y", "width", "height"))).join(e.pairs, "pair_id")
+    for s in ("base", "compare"):
+        i, line, t = F.col(f"{s}_id"), F.col("line_no"), F.col(f"{s}_text")
+        font = F.when(line == 1, "Helvetica-Bold").when(i % 5 == 0, "Georgia").otherwise("Times")
+        size = F.when(line == 1, 14.0).when(i % 3 == 0, 11.0).otherwise(10.0)
+        values = {"font": font, "font_size": size, "color": F.when(i % 4 == 0, "navy").otherwise("black"), "x": 72.0 + 15 * (i % 3), "y": 792.0 - 14 * line, "width": 6.0 * F.length(t), "height": F.lit(12.0)}
+        d = d.withColumns({f"{s}_{n}": F.when(t.isNotNull(), v) for n, v in values.items()})
+    return d
+
+
+add("text_measures", lambda e: _attributed(e, e.differences).select("diff_id", *text.measures(None)))
 add("text_forced", lambda e: text.forced_text(e.page_pairs, e.differences, layout.page_text(e.page_lines, _all_pages(e)), e.pairs))
 add("pair_forced", lambda e: text.forced_pair(e.page_pairs, e.differences))
-add("suppress_cosmetic", lambda e: text.suppress_cosmetic(e.differences).select(_seven))
+_switches = {"none": (False, False), "colors": (True, False), "positions": (False, True), "both": (True, True)}
+
+
+@query("suppress_cosmetic")
+def suppress_cosmetic(e: Entities) -> DataFrame:
+    changes, out = text.line_changes(_attributed(e, e.line_pairs)), None
+    for name, (colors, moves) in _switches.items():
+        d = text.suppress_cosmetic(changes, colors, moves).select(F.lit(name).alias("ignored"), *PAGE, "line_no", "text_changed", "font_changed", "color_changed", "moved")
+        out = d if out is None else out.unionByName(d)
+    return out
+
 
 # ---- matching, over page images
 
@@ -134,11 +158,29 @@ _full = lambda e: _scorer(e)(matching.full(*_sides(e)))
 add("match_assign", lambda e: matching.assign(_full(e)))
 add("match_unmatched_pages", lambda e: matching.left_over(*_sides(e), matching.assign(_full(e))))
 add("match_confidence", lambda e: matching.confidence(e.page_pairs))
-add("match_weighted", lambda e: e.page_pairs.where("matched").select(*PAGE, F.round(matching.weighted(F.lit(1.0) / F.col("base_page"), F.col("score"), 0.7, 0.3), 6).alias("score")))
+
+
+def _strategies(e: Entities) -> tuple[strategies.Strategy, ...]:
+    content, seen = strategies.Lines(e.pairs, e.page_lines), strategies.Pixels(e.side_px("base"), e.side_px("compare"))
+    return content, seen, strategies.Weighted(seen, content)
+
+
+add("match_weighted", lambda e: _strategies(e)[2].score(e.page_pairs.where("matched").select(PAGE)))
 add("sample_key_pages", lambda e: matching.key_pages(e.doc_pages))
 add("match_mode", lambda e: matching.match(*_sides(e), _scorer(e), mode="standard"))
 add("match_pipeline", lambda e: matching.match(*_sides(e), _scorer(e)))
-add("pluggable_match", lambda e: plans.with_strategy(matching.same_page(*_sides(e)), lambda d: d.withColumn("score", F.lit(1.0) / (1 + F.col("base_page")))))
+
+
+@query("pluggable_match")
+def pluggable_match(e: Entities) -> DataFrame:
+    """Pages of document pairs by each strategy, one of them the caller's own."""
+    own = strategies.Own(lambda d: d.withColumn("score", F.lit(1.0) / F.greatest("base_page", "compare_page")), "front")
+    out = None
+    for strategy in (*_strategies(e), own):
+        d = strategies.match_documents(e.side_pages("base"), e.side_pages("compare"), strategy, "standard").select("strategy", *PAGE, "score", "matched", "confidence")
+        out = d if out is None else out.unionByName(d)
+    return out
+
 
 # ---- pixels and images
 
@@ -177,32 +219,14 @@ add("image_measures", lambda e: _image_sides(e).select("pair_id", *visual.image_
 # ---- fonts, metadata, styles
 
 
-def _fonts(e: Entities) -> tuple[DataFrame, DataFrame]:
-    u = keyed.font_usage(e.elements)
-    side = lambda s: e.pairs.join(u.withColumnRenamed("doc_id", f"{s}_id"), f"{s}_id").select("pair_id", "page_no", "font_name", "usage", "size", "family", "style")
-    return side("base"), side("compare")
-
-
-_font_diff = lambda e: keyed.keyed_diff(*_fonts(e), [*PAGES, "font_name"], ["usage", "size", "family", "style"])
+_font_diff = lambda e: keyed.font_diff(e.page_pairs, e.pairs, e.doc_fonts)
+_font = [*PAGE, "font"]
 add("font_usage", lambda e: keyed.font_usage(e.elements))
 add("font_diff", _font_diff)
-add("font_severity", lambda e: keyed.font_severity(_font_diff(e)).select(*PAGES, "font_name", "severity", "description"))
-add("font_measures", lambda e: _font_diff(e).select(*PAGES, "font_name", (F.coalesce("compare_usage", F.lit(0)) - F.coalesce("base_usage", F.lit(0))).alias("usage_change"), F.round(text.font_size_change(F.col("base_size"), F.col("compare_size")), 6).alias("size_percent")))
-
-
-def _meta_rows(e: Entities, moved: int) -> DataFrame:
-    return keyed.metadata_rows(e.doc_meta.where("title <> '' or doc_id % 2 = 0"), ["title", "lang", "charset", "n_chars"]).withColumn("doc_id", F.col("doc_id") - moved).where("doc_id >= 0")
-
-
-add("metadata_diff", lambda e: keyed.keyed_diff(_meta_rows(e, 0), _meta_rows(e, 1), ["doc_id", "key"], ["value"]))
-
-
-def _styles(e: Entities, k: int) -> DataFrame:
-    json = F.concat(F.lit('{"color":"c'), (F.col("doc_id") % (3 + k)).cast("string"), F.lit('","'), F.when(F.col("doc_id") % 4 == k, "size").otherwise("font"), F.lit('":"'), (F.col("doc_id") % 5).cast("string"), F.lit('"}'))
-    return keyed.style_rows(e.doc_meta, json)
-
-
-add("style_diff", lambda e: keyed.keyed_diff(_styles(e, 0), _styles(e, 1), ["doc_id", "key"], ["value"]))
+add("font_severity", lambda e: keyed.font_severity(_font_diff(e)).select(*_font, "severity", "description"))
+add("font_measures", lambda e: _font_diff(e).select(*_font, *keyed.font_measures(None)))
+add("metadata_diff", lambda e: keyed.keyed_diff(*keyed.by_pair(e.pairs, keyed.metadata_rows(e.doc_info)), ["pair_id", "key"], ["value"]))
+add("style_diff", lambda e: keyed.keyed_diff(*keyed.by_pair(e.pairs, e.doc_styles), ["pair_id", "key"], ["value"]))
 
 # ---- the table of differences
 
@@ -212,42 +236,65 @@ def _untyped(e: Entities) -> DataFrame:
     return e.differences.withColumns({"type": none, "change": none, "image_name": F.when(F.col("line_no") % 5 == 0, "i"), "font_name": F.when(F.col("line_no") % 7 == 0, "f"), "style_name": F.lit("")})
 
 
-_typed = lambda e: e.differences.withColumn("type", F.when(F.col("line_no") % 5 == 0, "image").when(F.col("line_no") % 7 == 0, "font").when(F.col("line_no") % 11 == 0, "other").otherwise("text"))
 add("infer_type", lambda e: _untyped(e).select("diff_id", differences.infer_type(None).alias("type")))
 add("infer_change", lambda e: _untyped(e).select("diff_id", differences.infer_change(None).alias("change")))
 add("min_bounds", lambda e: e.differences.select("diff_id", differences.min_bound(F.col("base_width") - 6).alias("width"), differences.min_bound(F.col("compare_height")).alias("height")))
-add("page_difference", lambda e: text.display_box(_typed(e)).where("width > 0 and height > 0").select("pair_id", "diff_id", differences.page_of(None).alias("page_no"), "type", "x", "y", "width", "height"))
+add("page_difference", lambda e: differences.page_differences(e.all_differences))
 add("dedupe_differences", lambda e: differences.first_of_each(e.differences.where("base_text is not null").select("diff_id", "severity"), e.differences.where("compare_text is not null").select("diff_id", "severity")))
 add("sort_differences", lambda e: differences.ranked(text.display_box(e.differences)).select("pair_id", "diff_id", "rank"))
-add("filter_differences", lambda e: differences.filtered(_typed(e), ["text", "font"], "minor", "The").select("diff_id"))
-add("group_by_type", lambda e: _typed(e).groupBy("pair_id", differences.bucket(F.col("type")).alias("bucket")).agg(F.count("*").alias("n")))
-add("describe", lambda e: _typed(e).select("diff_id", differences.describe(None).alias("description")))
+add("filter_differences", lambda e: differences.filtered(e.all_differences, ["text", "font"], "minor", "The").select("diff_id"))
+add("group_by_type", lambda e: differences.group_by_type(e.pairs, e.all_differences))
+
+
+@query("describe")
+def describe(e: Entities) -> DataFrame:
+    """Each difference as it is, and as it would be described without a description of its own or, for some pairs, without a change."""
+    d = e.all_differences
+    bare = d.drop("description").withColumn("change", F.when(F.col("pair_id") % 3 > 0, F.col("change")))
+    return d.select("diff_id", F.lit("own").alias("form"), differences.describe(d).alias("description")).unionByName(bare.select("diff_id", F.lit("bare").alias("form"), differences.describe(bare).alias("description")))
+
+
 _points = lambda e: e.doc_pages.join(e.pairs, F.col("doc_id") == F.col("base_id")).select(F.col("pair_id").alias("point_id"), "pair_id", F.lit(1).alias("page_no"), F.lit(100.0).alias("px"), (700.0 + F.col("doc_id") % 80).alias("py"))
 add("hit_test", lambda e: differences.hit_test(_points(e), text.display_box(e.differences)))
 add("to_pixels", lambda e: differences.to_pixels(e.differences, "base"))
-add("difference_flags", lambda e: e.differences.select("diff_id", *((F.col("change") == c).alias(f"is_{c}") for c in ("added", "deleted", "modified")), *((F.col("severity") == s).alias(f"is_{s}") for s in ("major", "minor", "cosmetic"))))
+add("difference_flags", lambda e: differences.flags(e.all_differences))
 
 # ---- aggregates
 
 _totals = lambda e: summaries.total_differences(e.pairs, e.differences)
 add("total_differences", _totals)
-add("count_by_dimension", lambda e: summaries.count_by_dimension(_typed(e)))
+add("count_by_dimension", lambda e: summaries.count_by_dimension(e.all_differences))
 add("page_counts", lambda e: summaries.page_counts(e.page_pairs, e.differences))
-add("pages_by_dimension", lambda e: summaries.pages_by(_typed(e), "type"))
-add("count_maps", lambda e: summaries.count_maps(e.pairs, _typed(e)))
+add("pages_by_dimension", lambda e: summaries.pages_by(e.all_differences))
+add("count_maps", lambda e: summaries.count_maps(e.pairs, e.all_differences))
 add("overall_similarity", lambda e: summaries.overall_similarity(e.page_pairs))
 add("identical_similar", lambda e: summaries.identical_similar(_totals(e), summaries.overall_similarity(e.page_pairs)))
-add("ui_summary", lambda e: summaries.ui_summary(summaries.count_maps(e.pairs, _typed(e)), _totals(e), summaries.page_counts(e.page_pairs, e.differences)))
+add("ui_summary", lambda e: summaries.ui_summary(summaries.count_maps(e.pairs, e.all_differences), summaries.total_differences(e.pairs, e.all_differences), summaries.page_counts(e.page_pairs, e.all_differences)))
 add("match_label", lambda e: e.page_pairs.select(*PAGE, summaries.match_label(F.col("score")).alias("label")))
 add("document_pairs", lambda e: summaries.document_pairs(e.pairs, e.doc_pages, _totals(e), summaries.overall_similarity(e.page_pairs)))
 _asked = lambda e: e.pairs.select("pair_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(9))).alias("page_no"))
-add("page_details", lambda e: summaries.page_details(_asked(e), e.pairs, e.doc_pages, e.differences))
+add("page_details", lambda e: summaries.page_details(_asked(e), e.page_pairs, layout.page_text(e.page_lines, e.page_lines.select("doc_id", "page_no").distinct()), e.pairs, e.all_differences))
 add("pairs_with_differences", lambda e: summaries.pairs_with(e.page_pairs, e.differences, severity="major"))
 add("page_lookup", lambda e: summaries.page_lookup(_asked(e), e.page_pairs))
 add("matched_pairs", lambda e: summaries.overall_similarity(e.page_pairs).agg(F.count_if(F.col("similarity") > 0).alias("n")))
 _summary = lambda e: summaries.summary(e.pairs, e.page_pairs, e.differences)
 add("summary", _summary)
-add("compare_options", lambda e: plans.compare(e.pairs, e.page_lines, e.page_pairs, plans.Options(fonts=False))[1])
+_nothing = dict.fromkeys(plans.KINDS, False)
+_options = {
+    "all": plans.Options(), "strict text": plans.Options(**_nothing | {"text": True}, threshold="strict"), "relaxed text, fonts": plans.Options(**_nothing | {"text": True, "fonts": True}, threshold="relaxed"),
+    "no text": plans.Options(text=False), "nothing": plans.Options(**_nothing), "forced": plans.Options(**_nothing, force=True),
+}
+
+
+@query("compare_options")
+def compare_options(e: Entities) -> DataFrame:
+    """How many differences of each kind a comparison finds under several options."""
+    out = None
+    for name, options in _options.items():
+        d = plans.differences(e, options).groupBy("pair_id", "type").agg(F.count("*").alias("n"), F.count_if("synthetic").alias("synthetic")).withColumn("options", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out
+
 
 # ---- reports and results
 
@@ -282,7 +329,8 @@ def result_read(e: Entities) -> DataFrame:
 _requests = lambda e: e.jobs.select("job_id", "base_id", (F.col("compare_id") * 8).alias("compare_id"))
 add("create_comparisons", lambda e: jobs.create(_requests(e), e.table("documents")))
 add("resolve_status", lambda e: jobs.resolve_status(e.jobs.select((F.col("job_id") * 2).alias("job_id")), e.jobs))
-add("progress", lambda e: jobs.progress(e.jobs, F.col("job_id") % 50))
+_phase = lambda e: e.jobs.withColumn("phase", F.when(F.col("status").isin("PROCESSING", "FAILED", "CANCELLED"), F.element_at(F.array(*map(F.lit, jobs.PHASES)), (F.col("job_id") % len(jobs.PHASES) + 1).cast("int"))))
+add("progress", lambda e: jobs.progress(_phase(e), F.col("job_id") % 50))
 add("in_progress", lambda e: jobs.in_progress(e.jobs).select("job_id"))
 add("elapsed", lambda e: jobs.elapsed(e.jobs, now()))
 add("repair_stuck", lambda e: jobs.repair(e.jobs, now()))

@@ -127,6 +127,54 @@ class Entities:
         get = lambda p: F.regexp_extract("html", p, 1)
         return self.table("pages").select(F.col("page_id").alias("doc_id"), get("<title>([^<]*)</title>").alias("title"), get('<html lang="([a-z]*)"').alias("lang"), get('<meta charset="([^"]*)"').alias("charset"), get("<style>([^<]*)</style>").alias("style"), F.length("html").alias("n_chars"))
 
+    @cached_property
+    def doc_info(self) -> DataFrame:
+        """What a document's file would say of it; most of it may be missing."""
+        title = self.doc_lines.groupBy("doc_id").agg(F.substring(F.min_by("para", "para_no"), 1, 40).alias("title"))
+        day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+        d = self.table("documents").join(title, "doc_id", "left").join(self.doc_pages, "doc_id", "left")
+        return d.select(
+            "doc_id", "title", F.col("source").alias("author"), F.col("lang").alias("subject"), F.when(F.col("doc_id") % 4 == 0, F.concat("lang", F.lit(", "), "source")).alias("keywords"),
+            F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("editor "), (F.col("doc_id") % 3).cast("string"))).alias("creator"), F.when(F.col("doc_id") % 2 == 0, "docdelta").alias("producer"),
+            F.concat(F.lit("2024-01-"), day).alias("created"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("2024-02-"), day)).alias("changed"),
+            "page_count", F.octet_length("text").alias("size"), (F.col("doc_id") % 11 == 0).alias("encrypted"),
+        )
+
+    @cached_property
+    def doc_fonts(self) -> DataFrame:
+        """The fonts that a page names, and what each document has under that name."""
+        from docdelta.operators import keyed
+
+        key, i = F.col("font"), F.col("doc_id")
+        name = F.when((key == "Times") & (i % 5 == 0), "Georgia").when((key == "Helvetica-Bold") & (i % 3 == 0), "Helvetica-Oblique").otherwise(key)
+        u = keyed.font_usage(self.elements).select("doc_id", "page_no", F.col("font_name").alias("font"), "usage", "size").withColumn("font_name", name)
+        return u.withColumns({**keyed.font_parts("font_name"), "encoding": F.when(i % 7 == 0, "MacRoman").otherwise("WinAnsi"), "embedded": i % 6 > 0})
+
+    @cached_property
+    def doc_styles(self) -> DataFrame:
+        """(doc_id, key, value) of a style sheet in JSON."""
+        from docdelta.operators import keyed
+
+        i = F.col("doc_id")
+        json = F.concat(F.lit('{"color":"c'), (i % 3).cast("string"), F.lit('","'), F.when(i % 4 == 0, "size").otherwise("font"), F.lit('":"'), (i % 5).cast("string"), F.lit('"}'))
+        return keyed.style_rows(self.table("documents"), json)
+
+    @cached_property
+    def page_px(self) -> DataFrame:
+        """A picture on each page of a document: one of five, with a few brighter pixels in odd documents."""
+        i = F.col("doc_id")
+        pages = self.page_lines.select("doc_id", "page_no").distinct().withColumn("img_id", (F.floor(i / 2) + F.col("page_no")) % 5)
+        brighter = F.when((i % 2 == 1) & ((F.col("x") + F.col("y")) % 23 == 0), F.least(F.lit(255), F.col("lum") + 40)).otherwise(F.col("lum"))
+        return pages.join(self.grid_px, "img_id").select("doc_id", "page_no", "x", "y", brighter.alias("lum"))
+
+    def side_px(self, side: str) -> DataFrame:
+        """(pair_id, page_no, x, y, lum) of the pages of one side of every pair."""
+        return self.pairs.select("pair_id", F.col(f"{side}_id").alias("doc_id")).join(self.page_px, "doc_id").drop("doc_id")
+
+    def side_pages(self, side: str) -> DataFrame:
+        every = self.page_lines.select("doc_id", "page_no").distinct()
+        return self.pairs.select("pair_id", F.col(f"{side}_id").alias("doc_id")).join(every, "doc_id").select("pair_id", "page_no")
+
     @cached_property
     def page_pairs(self) -> DataFrame:
         """Equal page numbers of each document pair: (pair_id, base_page, compare_page, matched, score)."""
@@ -145,3 +193,10 @@ class Entities:
         from docdelta.operators import text
 
         return text.text_differences(self.line_pairs)
+
+    @cached_property
+    def all_differences(self) -> DataFrame:
+        """Differences of all five kinds, under the default options."""
+        from docdelta.plans import compare
+
+        return stored(compare.differences(self, compare.Options()), "differences")
