@@ -153,7 +153,6 @@ IMAGES = (
 )
 SEVEN = "pair_id, base_page, line_no, change, severity"
 BOX = "diff_id, x, y, width, height"
-ESCAPED = "replace(replace(replace(replace(coalesce({}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 ASKED = ", asked as (select pair_id, unnest([1, 2, 9])::bigint as page_no from pairs)"
 SUMMARY = """select p.pair_id, pages, matched, round(coalesce(matched / longest, 0) * coalesce(mean, 0), 6) as similarity, round(matched / pages * coalesce(mean, 0), 6) as confidence, coalesce(total, 0) as total, coalesce(different, 0) as different,
     coalesce(n_major, 0) as n_major, coalesce(n_minor, 0) as n_minor, coalesce(n_cosmetic, 0) as n_cosmetic
@@ -225,6 +224,20 @@ COMPARE_OPTIONS = (
         _counted("relaxed text, fonts", "(select pair_id, type from five where type = 'font' or type = 'text' and severity = 'major')"), _counted("no text", "(select * from five where type <> 'text')"), _counted("forced", "forced", "count(*)"),
     ])
 )
+ESCAPED = "replace(replace(replace(replace(coalesce(cast({} as varchar), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_LAST = 2**31 - 1
+_HEAD = ", head as (select p.pair_id, base_id, compare_id, count(diff_id) as total from pairs p left join five using (pair_id) group by all)"
+_json = lambda *cs: "to_json({" + ", ".join(f"'{c}': {c}" for c in cs) + "})"
+REPORT_JSON = _HEAD + f""", items as (select pair_id, coalesce(base_page, compare_page, 0) as page, concat_ws('|', lpad(cast(line_no as varchar), 10, '0'), diff_id) as place, {_json('diff_id', 'type', 'change', 'severity', 'base_page', 'compare_page', 'line_no', 'name')} as item from five)
+    select pair_id, -10 as page, 0 as section, '' as place, '{{"pair_id":' || pair_id || ',"base_id":' || base_id || ',"compare_id":' || compare_id || ',"total":' || total || ',"differences":[' as line from head
+    union all select pair_id, page, 3, place, case when row_number() over (partition by pair_id order by page, place) = 1 then '' else ',' end || item from items
+    union all select pair_id, {_LAST}, 9, '', ']}}' from head"""
+REPORT_HTML = _HEAD + f""", fm as (select * from five where type <> 'metadata' and type <> 'style')
+    select pair_id, -10 as page, 0 as section, '' as place, '<!DOCTYPE html><html><body><h1>Comparison Summary</h1><p>pair_id: ' || pair_id || '</p><p>base_id: ' || base_id || '</p><p>compare_id: ' || compare_id || '</p><p>total: ' || total || '</p><h2>Detailed Differences</h2>' as line from head
+    union all select pair_id, -9, 1, key, '<p>Key: ' || {ESCAPED.format('key')} || ' Base Value: ' || {ESCAPED.format('base_value')} || ' Comparison Value: ' || {ESCAPED.format('compare_value')} || '</p>' from meta_diff
+    union all select pair_id, coalesce(base_page, compare_page), 2, '', '<h3>Page ' || coalesce(base_page, compare_page) || '</h3>' || case when compare_page is null then 'Page exists only in base document' when base_page is null then 'Page exists only in comparison document' else '' end from page_pairs
+    union all select pair_id, base_page, 3, concat_ws('|', type, lpad(cast(line_no as varchar), 10, '0'), diff_id), '<tr><td>' || type || '</td><td>' || change || '</td><td>' || severity || '</td><td>' || {ESCAPED.format('name')} || '</td><td>' || {ESCAPED.format('base_text')} || '</td><td>' || {ESCAPED.format('compare_text')} || '</td></tr>' from fm
+    union all select pair_id, {_LAST}, 9, '', '</body></html>' from head"""
 _cut_width = lambda t, k: f"case when line_no % 4 not in ({k}, 2) then {t}_width end as {t}_width"
 IMAGE_BOXES = f", sized as (select * replace ({_cut_width('base', 0)}, {_cut_width('compare', 1)}) from diffs) " + _image_box("service", ("50", "50", "400", "300"), ("0", "0", "400", "300"), ("0", "0", "400", "300")) + " union all " + _image_box("model", ("100",) * 4, ("100",) * 4, ("100",) * 4)
 
@@ -323,7 +336,9 @@ _QUERIES = {
     "matched_pairs": "select count(*) filter (similarity > 0) as n from similarity",
     "summary": SUMMARY,
     "compare_options": COMPARE_OPTIONS,
-    "report_json": "select pair_id, total, total as listed from totals",
+    "report_json": REPORT_JSON,
+    "report_html": REPORT_HTML,
+    "result_purge": "select pair_id, diff_id, change from diffs where pair_id not in (select job_id from jobs where status in ('COMPLETED', 'FAILED') and updated_at < " + NOW + " - interval 24 hour)",
     "report_latest": "select base_id as pair_id, max('report-' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '-' || job_id) as path from jobs group by base_id",
     "result_write": ", d as materialized (select pair_id, diff_id, change, severity from diffs), again as (select distinct pair_id from d where pair_id % 2 = 0 and change <> 'modified') select d.* from d left join again on again.pair_id = d.pair_id where d.pair_id % 2 <> 0 or d.change <> 'modified' or again.pair_id is null",
     "result_read": "select pair_id, diff_id, change from diffs",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from docdelta.functions import lineage
 from docdelta.operators import catalog, differences, jobs, keyed, layout, matching, strategies, summaries, text, visual
 from docdelta.plans import compare as plans
-from docdelta.sources import store
+from docdelta.sources import reports, store
 from docdelta.sources.fixtures import NOW, Entities
 from docdelta.streaming import streams
 
@@ -298,9 +298,10 @@ def compare_options(e: Entities) -> DataFrame:
 
 # ---- reports and results
 
-_report_rows = lambda e: store.json_report(_summary(e), e.differences, ["base_page", "line_no", "change", "severity"])
-add("report_json", lambda e: _report_rows(e).select("pair_id", F.get_json_object("report", "$.total").cast("long").alias("total"), F.size(F.from_json(F.get_json_object("report", "$.differences"), "array<struct<change: string>>")).alias("listed")))
-add("report_html", lambda e: store.html_report(_summary(e), e.differences))
+_fields = ["diff_id", "type", "change", "severity", "base_page", "compare_page", "line_no", "name"]
+_head = lambda e: summaries.total_differences(e.pairs, e.all_differences).join(e.pairs, "pair_id").select("pair_id", "base_id", "compare_id", "total")
+add("report_json", lambda e: reports.json_lines(_head(e), e.all_differences, _fields))
+add("report_html", lambda e: reports.html_lines(_head(e), e.page_pairs, e.all_differences))
 add("report_latest", lambda e: store.latest_report(e.jobs.select(F.col("base_id").alias("pair_id"), F.concat(F.lit("report-"), catalog.date_label(F.col("created_at")), F.lit("-"), F.col("job_id").cast("string")).alias("path"))))
 
 
@@ -310,11 +311,11 @@ def _shared(e: Entities, label: str) -> str:
 
 @query("result_write")
 def result_write(e: Entities) -> DataFrame:
-    path = _shared(e, "results")
+    kept = store.ResultStore(e.spark, _shared(e, "results"))
     d = e.differences.select("pair_id", "diff_id", "change", "severity")
-    store.write_results(d, path)
-    store.write_results(d.where("pair_id % 2 = 0 and change <> 'modified'"), path)
-    return e.spark.read.parquet(path).drop("bucket")
+    kept.write(d)
+    kept.write(d.where("pair_id % 2 = 0 and change <> 'modified'"))
+    return kept.read()
 
 
 @query("result_read")
@@ -324,6 +325,15 @@ def result_read(e: Entities) -> DataFrame:
     return store.read_results(e.spark, path, e.pairs)
 
 
+@query("result_purge")
+def result_purge(e: Entities) -> DataFrame:
+    """What is left of all results once the expired comparisons are purged."""
+    kept = store.ResultStore(e.spark, _shared(e, "results"))
+    kept.write(e.differences.select("pair_id", "diff_id", "change"))
+    kept.purge(jobs.expired(e.jobs, now()).select(F.col("job_id").alias("pair_id")))
+    return kept.read()
+
+
 # ---- jobs
 
 _requests = lambda e: e.jobs.select("job_id", "base_id", (F.col("compare_id") * 8).alias("compare_id"))

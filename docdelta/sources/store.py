@@ -1,10 +1,15 @@
-"""Reading uploads; writing, reading and expiring results; reports."""
+"""Reading uploads; a store of results in versions: writing, reading, compacting and purging them."""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docdelta.functions.lineage import stored
+
 
 def ingest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, size, content_hash, modified) of files."""
@@ -12,60 +17,128 @@ def ingest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("content_hash"), F.col("modificationTime").alias("modified"))
 
 
-def write_results(df: DataFrame, path: str, key: str = "pair_id", files: int = 64) -> None:
-    """Results in partitions of a hash of the key; a comparison replaces only its own partition's rows.
+#: Rows of a version in one bucket, about.
+ROWS = 1_000_000
 
-    The key itself would make a folder for each comparison.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(files))
-    new = df.withColumn("bucket", bucket)
-    try:
-        old = df.sparkSession.read.parquet(path).join(df.select(key).distinct(), key, "left_anti").join(new.select("bucket").distinct(), "bucket", "left_semi")
-        new = new.unionByName(old, allowMissingColumns=True)
-    except Exception as error:  # noqa: BLE001  nothing was written yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    from docdelta.functions.lineage import cut
 
-    cut(new).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+class ResultStore:
+    """Results of comparisons under one folder, replaced comparison by comparison.
 
+    A write appends a version: its rows in `data/version=/buckets=/bucket=`, then a row for each of its comparisons in
+    `keys/version=`, which is the commit. The newest version that names a comparison has its rows, so replacing one
+    writes its own rows and nothing else. Buckets are hashes of the comparison, as many as the version's
+    rows ask for; a comparison's rows of a version are in one file. Versions order by their names: of two writers
+    of the same comparison the later stays, whole. Readers never see a version before its commit.
+    """
 
-def read_results(spark: SparkSession, path: str, ids: DataFrame, key: str = "pair_id", files: int = 64) -> DataFrame:
-    """Results of some comparisons; the bucket of the ids prunes partitions."""
-    wanted = ids.select(key, F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("bucket")).distinct()
-    return spark.read.parquet(path).join(wanted, ["bucket", key], "left_semi").drop("bucket")
+    def __init__(self, spark: SparkSession, path: str, key: str = "pair_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    # ---- folders
+
+    def _folder(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, part: str) -> bool:
+        fs, p = self._folder(f"{self.path}/{part}")
+        return fs.exists(p)
+
+    def _remove(self, part: str) -> None:
+        fs, p = self._folder(f"{self.path}/{part}")
+        fs.delete(p, True)
+
+    def _names(self, part: str) -> list[str]:
+        """Values of a folder's partition folders."""
+        fs, p = self._folder(f"{self.path}/{part}")
+        return sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(p) if "=" in s.getPath().getName()) if fs.exists(p) else []
+
+    # ---- what is there
+
+    def versions(self) -> list[str]:
+        """Committed versions, oldest first."""
+        return [v for v in self._names("keys") if self._exists(f"keys/version={v}/_SUCCESS")]
+
+    def latest(self) -> DataFrame | None:
+        """(key, version) of every comparison that is there; None before the first commit."""
+        committed = self.versions()
+        if not committed:
+            return None
+        every = self.spark.read.option("basePath", f"{self.path}/keys").parquet(*(f"{self.path}/keys/version={v}" for v in committed))
+        newest = every.groupBy(self.key).agg(F.max_by("gone", F.col("version").cast("string")).alias("gone"), F.max(F.col("version").cast("string")).alias("version"))
+        return newest.where("not gone").select(self.key, "version")
+
+    def _bucket(self, buckets) -> F.Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
+
+    def read(self, ids: DataFrame | None = None) -> DataFrame:
+        """Newest rows of all comparisons or of some; the folders of other buckets and versions are pruned."""
+        latest = self.latest()
+        if latest is None:
+            raise FileNotFoundError(f"no results in {self.path}")
+        rows = self.spark.read.parquet(f"{self.path}/data").withColumn("version", F.col("version").cast("string"))
+        if ids is not None:
+            latest = latest.join(ids.select(self.key).distinct(), self.key, "left_semi")
+        sizes = rows.select("version", "buckets").distinct()  # from folder names
+        wanted = latest.join(sizes, "version").withColumn("bucket", self._bucket(F.col("buckets")))
+        return rows.join(wanted, ["version", "buckets", "bucket", self.key], "left_semi").drop("version", "buckets", "bucket")
+
+    # ---- changes
+
+    def write(self, df: DataFrame, version: str | None = None) -> str:
+        """Put the rows of some comparisons in the place of what they had. A version given by the caller is replaced, so a batch may be repeated."""
+        version = version or f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        rows = stored(df, "results")
+        buckets = 1 << max(0, (rows.count() - 1) // ROWS).bit_length()
+        at = f"{self.path}/data/version={version}/buckets={buckets}"
+        self._remove(f"keys/version={version}")
+        self._remove(f"data/version={version}")
+        rows.withColumn("bucket", self._bucket(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(at)
+        self._commit(rows.select(self.key).distinct(), version, False)
+        return version
+
+    def _commit(self, keys: DataFrame, version: str, gone: bool) -> None:
+        keys.select(self.key, F.lit(gone).alias("gone")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/keys/version={version}")
+
+    def compact(self) -> str | None:
+        """Newest rows as one version; the older ones go. A reader of that moment may have to read again."""
+        old = self.versions()
+        if len(old) < 2:
+            return None
+        new = self.write(self.read())
+        for v in old:
+            self._remove(f"keys/version={v}")
+            self._remove(f"data/version={v}")
+        return new
+
+    def purge(self, expired: DataFrame) -> DataFrame:
+        """Remove some comparisons' rows, old versions' too, by rewriting the files that hold any: (version, bucket, kept) of each."""
+        ids = stored(expired.select(self.key).distinct(), "expired")
+        rows = self.spark.read.parquet(f"{self.path}/data").withColumn("version", F.col("version").cast("string"))
+        place = ["version", "buckets", "bucket"]
+        marked = ids.join(rows.select(*place, self.key).distinct(), self.key).select(*place).distinct()
+        survivors = stored(rows.join(marked, place, "left_semi").join(ids, self.key, "left_anti"), "survivors")
+        counts = survivors.groupBy(*place).agg(F.count("*").alias("kept"))
+        touched = stored(marked.join(counts, place, "left").select(*place, F.coalesce("kept", F.lit(0)).alias("kept")), "touched")
+        self._commit(ids, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}", True)  # readers see them gone before files change
+        kept = survivors.repartition(*place).sortWithinPartitions(*place, self.key)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(f"{self.path}/data")
+        for r in touched.where("kept = 0").toLocalIterator():  # folders alone, one at a time
+            self._remove(f"data/version={r.version}/buckets={r.buckets}/bucket={r.bucket}")
+        return touched.select("version", "bucket", "kept")
+
+
+def write_results(df: DataFrame, path: str, key: str = "pair_id", version: str | None = None) -> None:
+    ResultStore(df.sparkSession, path, key).write(df, version)
+
+
+def read_results(spark: SparkSession, path: str, ids: DataFrame | None = None, key: str = "pair_id") -> DataFrame:
+    return ResultStore(spark, path, key).read(ids)
 
 
 def results_exist(ids: DataFrame, results: DataFrame, key: str = "pair_id") -> DataFrame:
     return ids.select(key).distinct().join(results.select(key).distinct().withColumn("r", F.lit(True)), key, "left").select(key, F.col("r").isNotNull().alias("exists"))
 
 
-def purge(results: DataFrame, expired: DataFrame, key: str = "pair_id") -> DataFrame:
-    return results.join(expired.select(key).distinct(), key, "left_anti")
-
-
-def json_report(summaries: DataFrame, differences: DataFrame, fields: list[str]) -> DataFrame:
-    items = F.sort_array(F.collect_list(F.struct(*fields)))
-    listed = differences.groupBy("pair_id").agg(items.alias("differences"))
-    whole = summaries.join(listed, "pair_id", "left")
-    return whole.select("pair_id", F.to_json(F.struct(*summaries.columns, F.coalesce("differences", F.array().cast(listed.schema["differences"].dataType)).alias("differences"))).alias("report"))
-
-
-def _escaped(c):
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
-def html_report(summaries: DataFrame, differences: DataFrame) -> DataFrame:
-    """One page of HTML for each pair: summary, then every difference with escaped texts."""
-    text = lambda n: _escaped(F.coalesce(n, F.lit("")))
-    row = F.concat(F.lit("<tr><td>"), F.col("change"), F.lit("</td><td>"), F.col("severity"), F.lit("</td><td>"), text("base_text"), F.lit("</td><td>"), text("compare_text"), F.lit("</td></tr>"))
-    rows = differences.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("base_page", "line_no", row.alias("row")))), lambda s: s["row"]), "\n").alias("rows"))
-    head = F.concat(*(F.concat(F.lit(f"<dt>{c}</dt><dd>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</dd>")) for c in summaries.columns))
-    page = F.concat(F.lit("<!DOCTYPE html><html><body><h1>Comparison</h1><dl>"), head, F.lit("</dl><table>"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"))
-    return summaries.join(rows, "pair_id", "left").select("pair_id", page.alias("report"))
-
-
 def latest_report(reports: DataFrame) -> DataFrame:
     return reports.groupBy("pair_id").agg(F.max("path").alias("path"))
