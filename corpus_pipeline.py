@@ -19,7 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """docs and a number `row` for each row, written so that every reader sees the same; ids may repeat or be null."""
-    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "keyed-rows", "zstd")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,11 +34,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts lineage and survives lost executors. zstd suits texts."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
