@@ -358,7 +358,16 @@ _QUERIES = {
 _QUERIES |= {
     "stream_dedupe": "select distinct md5(text) as content_hash from documents",
     "stream_stuck": "select job_id, 'FAILED' as status from jobs where status in ('PROCESSING', 'PENDING') and not has_result and updated_at + interval 15 minute < (select max(updated_at) from jobs)",
-    "stream_retention": _QUERIES["retention"],
+    "stream_retention": f"select job_id, status from jobs where not (status in ('COMPLETED', 'FAILED') and updated_at < {NOW} - interval 24 hour)",
+    "stream_compare": "select pair_id, diff_id, change, severity from diffs",
+    "stream_progress": "select job_id, arg_max(status, (ts, status)) as status, max(ts) as ts from (select job_id % 500 as job_id, status, created_at as ts from jobs) group by job_id",
 }
 
+#: Pairs as arriving documents find them: the last holder of each key before them.
+_A, _B = VIEWS.index("pairs as (select base_id"), VIEWS.index("words as (")
+ARRIVALS = """sharing as (select doc_id, 'p' || md5(para) as k from line_keys union all select doc_id, 't' || k from texts),
+before as (select doc_id as compare_id, lag(doc_id) over (partition by k order by doc_id) as base_id, k from sharing),
+pairs as (select compare_id as pair_id, arg_max(base_id, (copy, shared, base_id)) as base_id, compare_id from (select base_id, compare_id, count(*) as shared, max(k[1:1] = 't') as copy from before where base_id is not null group by all) group by compare_id),
+"""
 SQL = {name: f"{VIEWS}\n{sql}" for name, sql in _QUERIES.items()}
+SQL["stream_compare"] = f"{VIEWS[:_A]}{ARRIVALS}{VIEWS[_B:]}\n{_QUERIES['stream_compare']}"

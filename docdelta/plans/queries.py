@@ -13,7 +13,7 @@ from docdelta.operators import catalog, differences, jobs, keyed, layout, matchi
 from docdelta.plans import compare as plans
 from docdelta.sources import reports, store
 from docdelta.sources.fixtures import NOW, Entities
-from docdelta.streaming import streams
+from docdelta.streaming import arrivals, streams
 
 PAGE, PAGES = ["pair_id", "base_page", "compare_page"], ["pair_id", "page_no"]
 now = lambda: F.expr(NOW)
@@ -378,18 +378,23 @@ def stream_stuck(e: Entities) -> DataFrame:
 
 @query("stream_compare")
 def stream_compare(e: Entities) -> DataFrame:
+    """Documents arrive in three parts, in order of ids; the stream is started anew for each."""
     path = _shared(e, "stream")
-    e.page_pairs.write.parquet(f"{path}/in")
-    source = e.spark.readStream.schema(e.page_pairs.schema).parquet(f"{path}/in")
-    found = lambda batch: text.text_differences(text.pair_lines(batch, e.pairs, e.page_lines)).select("pair_id", "diff_id", "change", "severity")
-    streams.for_each_batch(source, found, lambda d: store.write_results(d, f"{path}/out"), f"{path}/checkpoint").awaitTermination()
-    return e.spark.read.parquet(f"{path}/out").drop("bucket")
+    docs, corpus = e.table("documents").select("doc_id", "text"), arrivals.Corpus(e.spark, f"{path}/corpus")
+    third = F.least(F.lit(2), F.floor(F.col("doc_id") * 3 / (docs.agg(F.max("doc_id")).first()[0] + 1)))
+    for k in range(3):
+        docs.where(third == k).write.mode("append").parquet(f"{path}/in")
+        corpus.follow(e.spark.readStream.schema(docs.schema).parquet(f"{path}/in"), f"{path}/checkpoint").awaitTermination()
+    return corpus.results.read()
 
 
 @query("stream_retention")
 def stream_retention(e: Entities) -> DataFrame:
+    """What is left of all results once a stream of jobs has purged those of the expired."""
     path = _shared(e, "stream")
     e.jobs.write.parquet(f"{path}/in")
+    kept = store.ResultStore(e.spark, f"{path}/results", "job_id")
+    kept.write(e.jobs.select("job_id", "status"))
     source = e.spark.readStream.schema(e.jobs.schema).parquet(f"{path}/in")
-    streams.for_each_batch(source, lambda d: jobs.expired(d, now()).select("job_id", "status"), lambda d: store.write_results(d, f"{path}/out", "job_id"), f"{path}/checkpoint").awaitTermination()
-    return e.spark.read.parquet(f"{path}/out").drop("bucket")
+    streams.retention(source, kept, now(), f"{path}/checkpoint", None).awaitTermination()
+    return kept.read()

@@ -16,8 +16,8 @@ WIDTH, LINES_A_PAGE = 80, 20
 MANY, BLOCK = 20, 4096
 
 
-def _neighbours(d: DataFrame) -> DataFrame:
-    """(base_id, compare_id): each document of a key and the next one in order of ids. d: (doc_id, key), distinct.
+def neighbours(d: DataFrame) -> DataFrame:
+    """(key, base_id, compare_id): each document of a key and the next one in order of ids. d: (doc_id, key), distinct.
 
     A key is dealt out by blocks of ids; the last document of a block goes with the first of the next.
     """
@@ -26,7 +26,40 @@ def _neighbours(d: DataFrame) -> DataFrame:
     after = firsts.select("key", "block", F.lead("first").over(Window.partitionBy("key").orderBy("block")).alias("after"))
     inside = F.lead("doc_id").over(Window.partitionBy("key", "block").orderBy("doc_id"))
     d = d.withColumn("inside", inside).join(after, ["key", "block"])
-    return d.select(F.col("doc_id").alias("base_id"), F.coalesce("inside", "after").alias("compare_id")).where("compare_id is not null")
+    return d.select("key", F.col("doc_id").alias("base_id"), F.coalesce("inside", "after").alias("compare_id")).where("compare_id is not null")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, para_no, para): the lines of texts that aren't empty."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", BREAKS)).alias("para_no", "para"))
+    return lines.where("para <> ''").select("doc_id", (F.col("para_no") + 1).alias("para_no"), "para")
+
+
+def lines_on_pages(paras: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, text): paragraphs cut to lines and dealt to pages."""
+    last = F.floor((F.length("para") - 1) / WIDTH).cast("int")
+    cut = paras.select("doc_id", "para_no", "para", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_no", "k")) - 1
+    cut = cut.select("doc_id", n.alias("n"), F.substring("para", F.col("k") * WIDTH + 1, F.lit(WIDTH)).alias("text"))
+    return cut.select("doc_id", (F.floor(F.col("n") / LINES_A_PAGE) + 1).cast("int").alias("page_no"), (F.col("n") % LINES_A_PAGE + 1).cast("int").alias("line_no"), "text")
+
+
+def sharing_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, key): digests by which documents may be partners: `p` of each longer paragraph, `t` of the whole text."""
+    paras = paragraphs(docs).where(F.length("para") > 20).select("doc_id", F.concat(F.lit("p"), F.md5("para")).alias("key")).distinct()
+    texts = docs.where(F.size(F.array_remove(F.split("text", BREAKS), "")) > 0).select("doc_id", F.concat(F.lit("t"), F.md5("text")).alias("key")).distinct()
+    return paras.unionByName(texts)
+
+
+def best_before(links: DataFrame) -> DataFrame:
+    """(pair_id, base_id, compare_id): each document's best partner among those before it.
+
+    links: (base_id, compare_id, key) of the holders of a key that follow each other. The last copy of the text goes first, then
+    the one with most keys in common, then the latest. The pair has the later document's id.
+    """
+    scored = links.groupBy("base_id", "compare_id").agg(F.count("*").alias("shared"), F.max(F.startswith("key", F.lit("t"))).alias("copy"))
+    best = scored.groupBy("compare_id").agg(F.max(F.struct("copy", "shared", "base_id")).alias("best"))
+    return best.select(F.col("compare_id").alias("pair_id"), F.col("best.base_id").alias("base_id"), "compare_id")
 
 
 class Entities:
@@ -40,16 +73,16 @@ class Entities:
 
     @cached_property
     def doc_lines(self) -> DataFrame:
-        lines = self.table("documents").select("doc_id", F.posexplode(F.split("text", BREAKS)).alias("para_no", "para"))
-        return lines.where("para <> ''").select("doc_id", (F.col("para_no") + 1).alias("para_no"), "para")
+        return paragraphs(self.table("documents"))
 
     @cached_property
     def page_lines(self) -> DataFrame:
-        last = F.floor((F.length("para") - 1) / WIDTH).cast("int")
-        cut = self.doc_lines.select("doc_id", "para_no", "para", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-        n = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_no", "k")) - 1
-        cut = cut.select("doc_id", n.alias("n"), F.substring("para", F.col("k") * WIDTH + 1, F.lit(WIDTH)).alias("text"))
-        return stored(cut.select("doc_id", (F.floor(F.col("n") / LINES_A_PAGE) + 1).cast("int").alias("page_no"), (F.col("n") % LINES_A_PAGE + 1).cast("int").alias("line_no"), "text"), "page-lines")
+        return stored(lines_on_pages(self.doc_lines), "page-lines")
+
+    @cached_property
+    def arrival_pairs(self) -> DataFrame:
+        """Pairs as documents find them that arrive in the order of their ids."""
+        return best_before(neighbours(sharing_keys(self.table("documents"))))
 
     @cached_property
     def doc_pages(self) -> DataFrame:
@@ -66,10 +99,10 @@ class Entities:
         held = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
         few = held.where(F.col("n") <= MANY)
         both = few.select("key", F.col("doc_id").alias("base_id")).join(few.select("key", F.col("doc_id").alias("compare_id")), "key").where("base_id < compare_id")
-        hot = _neighbours(held.where(F.col("n") > MANY).select("doc_id", "key"))
+        hot = neighbours(held.where(F.col("n") > MANY).select("doc_id", "key")).drop("key")
         shared = both.select("base_id", "compare_id").unionByName(hot).withColumn("copy", F.lit(False))
         texts = self.table("documents").where(F.size(F.array_remove(F.split("text", BREAKS), "")) > 0).select("doc_id", F.md5("text").alias("key")).distinct()
-        copies = _neighbours(texts).withColumn("copy", F.lit(True))
+        copies = neighbours(texts).drop("key").withColumn("copy", F.lit(True))
         scored = shared.unionByName(copies).groupBy("base_id", "compare_id").agg(F.count("*").alias("shared"), F.max("copy").alias("copy"))
         best = scored.groupBy("base_id").agg(F.min(F.struct((~F.col("copy")).alias("other"), (-F.col("shared")).alias("less"), "compare_id")).alias("best"))
         return stored(best.select(F.col("base_id").alias("pair_id"), "base_id", F.col("best.compare_id").alias("compare_id")), "pairs")

@@ -1,4 +1,4 @@
-"""The same questions asked of streams. Each result equals its batch twin on the same rows."""
+"""The same questions asked of streams. Each result equals its batch twin on the same rows, windows and sessions as far as the watermark has closed them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docdelta.operators import jobs as batch_jobs
+from docdelta.sources.store import ResultStore
 
 
 def drop_seen(uploads: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -34,7 +35,10 @@ def sessions(events: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -
 
 
 class _Stuck(StatefulProcessor):
-    """Fails a running job that is silent for 15 minutes of event time, unless a result arrived."""
+    """Fails a running job that is silent for 15 minutes of event time, unless a result arrived; forgets any other job after `keep`."""
+
+    def __init__(self, keep: timedelta):
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,27 +55,42 @@ class _Stuck(StatefulProcessor):
         self.last.update((status, ts.to_pydatetime(), done))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        if status in batch_jobs.RUNNING and not done:
-            self.handle.registerTimer(int((ts + timedelta(minutes=15)).timestamp() * 1000))
+        wait = timedelta(minutes=15) if self._running(status, done) else self.keep
+        self.handle.registerTimer(int((ts + wait).timestamp() * 1000))
         yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="str")})
 
+    @staticmethod
+    def _running(status: str, done: bool) -> bool:
+        return status in batch_jobs.RUNNING and not done
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, _, done = self.last.get()
         self.last.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "status": ["FAILED"]})
+        failed = [key[0]] if self._running(status, done) else []
+        yield pd.DataFrame({"job_id": pd.Series(failed, dtype="int64"), "status": pd.Series(["FAILED"] * len(failed), dtype="str")})
 
     def close(self) -> None:
         pass
 
 
-def stuck(events: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """(job_id, FAILED) for each job found stuck. events: job_id, status, has_result, ts."""
-    return events.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(_Stuck(), "job_id bigint, status string", "Append", "EventTime")
+def stuck(events: DataFrame, late: str = "0 seconds", keep: timedelta = timedelta(days=1)) -> DataFrame:
+    """(job_id, FAILED) for each job found stuck. events: job_id, status, has_result, ts. State of other jobs lives `keep` past their last event."""
+    return events.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(_Stuck(keep), "job_id bigint, status string", "Append", "EventTime")
+
+
+def for_each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Run `act` on every micro-batch and its number: once over all that is there, or with `every` (as "1 hour") on and on. Batches may repeat, so it must be idempotent."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(act)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def retention(stream: DataFrame, results: ResultStore, now: Column, checkpoint: str, every: str | None = "1 hour"):
+    """Purge the results of each batch's expired jobs (job_id, status, updated_at), by default hourly."""
 
+    def act(batch: DataFrame, number: int) -> None:
+        results.purge(batch_jobs.expired(batch, now).select(F.col("job_id").alias(results.key)))
 
-def for_each_batch(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
-    """Run a batch transformation on every micro-batch; `write` must be idempotent, as batches may repeat."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: write(transform(df)))
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()
+    return for_each_batch(stream, act, checkpoint, every)
 
 
 def newest(updates: DataFrame, keys: list[str]) -> DataFrame:

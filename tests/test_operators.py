@@ -98,28 +98,11 @@ def test_results_replace_only_their_own(spark, tmp_path):
     path = str(tmp_path / "results")
     store.write_results(spark.createDataFrame([(i, "old") for i in range(200)], "pair_id long, v string"), path)
     store.write_results(spark.createDataFrame([(7, "new")], "pair_id long, v string"), path)
-    got = {r.pair_id: r.v for r in spark.read.parquet(path).collect()}
+    got = {r.pair_id: r.v for r in store.read_results(spark, path).collect()}
     assert got == {**{i: "old" for i in range(200)}, 7: "new"}
     assert store.read_results(spark, path, spark.createDataFrame([(7,), (900,)], "pair_id long")).collect()[0].v == "new"
 
 
-def test_report_escapes(spark):
-    s = spark.createDataFrame([(1, 2)], "pair_id long, total long")
-    d = spark.createDataFrame([(1, 1, 1, "added", "major", None, "<b>&")], "pair_id long, base_page int, line_no int, change string, severity string, base_text string, compare_text string")
-    assert "<td>&lt;b&gt;&amp;</td>" in store.html_report(s, d).first().report
-
-
-def test_streams_equal_their_batches(spark, e, tmp_path):
-    metrics = e.metrics.coalesce(1)
-    metrics.write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(metrics.schema).parquet(str(tmp_path / "in"))
-    streams.drain(streams.tumbling(source), str(tmp_path / "out"), str(tmp_path / "c"))
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    batch = {tuple(r) for r in streams.tumbling(metrics).collect()}
-    last = max(r[1] for r in batch)
-    assert got <= batch and {r for r in batch - got} <= {r for r in batch if (last - r[1]).days < 2}
-
-
 def _drained(spark, df, run, tmp_path, mode="append"):
     # Two files, one a batch: state passes from batch to batch.
     for i, part in enumerate(df.randomSplit([0.5, 0.5], 5)):
@@ -147,10 +130,10 @@ def test_stuck_stream_equals_repair(spark, e, tmp_path):
     assert got and got == wanted
 
 
-def test_closed_sliding_windows_and_sessions_equal_their_batches(spark, e, tmp_path):
+def test_closed_windows_and_sessions_equal_their_batches(spark, e, tmp_path):
     sliding = lambda d: streams.tumbling(d, size="2 days", slide="1 day")
     events = e.jobs.select((F.col("job_id") % 50).alias("job_id"), F.col("created_at").alias("ts"))
-    for name, df, run, end in (("w", e.metrics, sliding, 86400), ("s", events, streams.sessions, 3600)):
+    for name, df, run, end in (("t", e.metrics, streams.tumbling, 86400), ("w", e.metrics, sliding, 86400), ("s", events, streams.sessions, 3600)):
         df.coalesce(1).write.parquet(str(tmp_path / name / "in"))
         source = spark.readStream.schema(df.schema).parquet(str(tmp_path / name / "in"))
         streams.drain(run(source), str(tmp_path / name / "out"), str(tmp_path / name / "c"))
@@ -164,17 +147,3 @@ def test_closed_sliding_windows_and_sessions_equal_their_batches(spark, e, tmp_p
 def test_documents_without_content_stay(spark):
     d = catalog.with_hash(spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "doc_id long, text string"))
     assert {tuple(r) for r in catalog.canonical(d).collect()} == {(1, 1, False), (3, 1, True), (2, 2, False), (4, 2, True)}
-
-
-def test_compare_stream_equals_the_batch(spark, e):
-    from docdelta.plans.queries import QUERIES
-
-    got = sorted(map(tuple, QUERIES["stream_compare"](spark, SF).select("pair_id", "diff_id", "change", "severity").collect()))
-    assert got and got == sorted(map(tuple, e.differences.select("pair_id", "diff_id", "change", "severity").collect()))
-
-
-def test_retention_stream_equals_the_batch(spark, e):
-    from docdelta.plans.queries import QUERIES
-
-    got = sorted(map(tuple, QUERIES["stream_retention"](spark, SF).select("job_id", "status").collect()))
-    assert got and got == sorted(map(tuple, QUERIES["retention"](spark, SF).select("job_id", "status").collect()))
