@@ -86,6 +86,36 @@ def page_scorer(base_px: DataFrame, compare_px: DataFrame, stride: int = 1):
     return lambda candidates: page_score(pixel_pairs(candidates, base_px, compare_px), ["pair_id", "base_page", "compare_page"], stride=stride).drop("score_kind")
 
 
+def coarse_scorer(base_px: DataFrame, compare_px: DataFrame, threshold: float = 0.7, margin: float = 0.25, by: int = 2, levels: int = 1, stride: int = 1):
+    """A scorer that looks at small images first: candidates under threshold - margin there keep that score, the others get the full one.
+
+    Level by level from the smallest, images `by` times smaller each, as long as they hold a whole window. Averaging hides noise, so unlike pages are about as unlike
+    when small and like ones are more alike; yet it is a guess, which the margin makes safer, so it is for the caller to choose.
+    """
+    page = ["pair_id", "page_no"]
+
+    def smaller(px: DataFrame) -> DataFrame:
+        small = stored(downscale(px, page, by), "small")
+        whole = small.groupBy(*page).agg(F.max("x").alias("w"), F.max("y").alias("h")).where(f"w >= {WINDOW - 1} and h >= {WINDOW - 1}")
+        return small.join(whole, page, "left_semi")
+
+    pages = [(base_px, compare_px)]
+    for _ in range(levels):
+        pages.append(tuple(smaller(px) for px in pages[-1]))
+    key = ["pair_id", "base_page", "compare_page"]
+
+    def score(candidates: DataFrame) -> DataFrame:
+        left, ruled_out = candidates.select(key), None
+        for small in reversed(pages[1:]):
+            far = stored(page_scorer(*small)(left).where(F.col("score") < threshold - margin), "ruled-out")
+            left = left.join(far, key, "left_anti")
+            ruled_out = far if ruled_out is None else ruled_out.unionByName(far)
+        full = page_scorer(base_px, compare_px, stride)(left)
+        return full if ruled_out is None else full.unionByName(ruled_out)
+
+    return score
+
+
 def align(px: DataFrame, key: list[str], width: int, height: int) -> DataFrame:
     """An image at another size, by the nearest cell."""
     size = px.groupBy(*key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))

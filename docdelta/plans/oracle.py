@@ -285,6 +285,7 @@ _QUERIES = {
     "sample_key_pages": "select distinct doc_id, unnest(case when page_count > 10 then [1, 2, 3, page_count // 4, page_count * 2 // 4, page_count * 3 // 4, page_count] else generate_series(1, least(3, page_count)) end) as page_no from doc_pages",
     "match_mode": ", k as (select pair_id, base_page, compare_page, score from same where score >= 0.7) select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "match_pipeline": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
+    "match_coarse": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "pluggable_match": ", e as (select unnest(['content', 'visual', 'weighted', 'front']) as strategy, pair_id, base_page, compare_page, unnest([content, visual, round(0.7 * visual + 0.3 * content, 6), round(1.0::double / base_page, 6)]) as score from seen), kept as (select * from e where score >= 0.7), sides as (select strategy, pair_id, base_page, compare_page from page_pairs, (select unnest(['content', 'visual', 'weighted', 'front']) as strategy)), found as (select strategy, pair_id, base_page, compare_page, score, true as matched from kept union all select strategy, pair_id, base_page, null, 0, false from sides where base_page is not null and (strategy, pair_id, base_page) not in (select (strategy, pair_id, base_page) from kept) union all select strategy, pair_id, null, compare_page, 0, false from sides where compare_page is not null and (strategy, pair_id, compare_page) not in (select (strategy, pair_id, compare_page) from kept)) select found.*, round(coalesce(count(*) filter (matched) over w / count(*) over w * avg(score) filter (matched) over w, 0), 6) as confidence from found window w as (partition by strategy, pair_id)",
     "quick_similarity": ", p as (" + SAME_PIX + ") select pair_id, page_no, round(avg(case when abs(l1 - l2) + abs(l1 * 3 % 256 - l2 * 3 % 256) + abs(l2 - l1) < 50 then 1.0::double else 0 end), 6) as quick from p where x % 2 = 0 and y % 2 = 0 group by all",
     "luminance": "select img_id, x, y, (76 * lum + 150 * (lum * 3 % 256) + 29 * (255 - lum)) >> 8 as luminance from grid_px",

@@ -169,6 +169,7 @@ add("match_weighted", lambda e: _strategies(e)[2].score(e.page_pairs.where("matc
 add("sample_key_pages", lambda e: matching.key_pages(e.doc_pages))
 add("match_mode", lambda e: matching.match(*_sides(e), _scorer(e), mode="standard"))
 add("match_pipeline", lambda e: matching.match(*_sides(e), _scorer(e)))
+add("match_coarse", lambda e: matching.match(*_sides(e), visual.coarse_scorer(e.base_px, e.compare_px)))
 
 
 @query("pluggable_match")

@@ -124,3 +124,18 @@ def test_empty(spark):
     none = spark.createDataFrame([], "pair_id long, base_page int, compare_page int, score double")
     assert matching.assign(none).collect() == []
     assert visual.ssim(spark.createDataFrame([], "page int, x int, y int, l1 int, l2 int"), ["page"]).collect() == []
+
+
+def test_small_images_rule_out_candidates(spark):
+    """The same pages stay over the threshold, and the full score is asked for fewer of them."""
+    from docdelta.sources.fixtures import Entities
+
+    e = Entities(spark, "/root/testdata/sf0.001")
+    pages = [px.select("pair_id", "page_no").distinct() for px in (e.base_px, e.compare_px)]
+    every = matching.full(*pages)
+    full = {tuple(r[:3]): r.score for r in visual.page_scorer(e.base_px, e.compare_px)(every).collect()}
+    for levels in (1, 2):
+        got = {tuple(r[:3]): r.score for r in visual.coarse_scorer(e.base_px, e.compare_px, levels=levels)(every).collect()}
+        over = lambda d: {k: v for k, v in d.items() if v >= 0.7}
+        assert set(got) == set(full) and over(got) == over(full)
+        assert sum(got[k] == full[k] for k in full) < len(full) / 2
