@@ -16,6 +16,7 @@ equal ids are separate rows. A table without words has targets of 0. An empty ta
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,20 +75,24 @@ def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
     if rest <= 0:
         return taken
     mask, sums, steps = (1 << rest + 1) - 1, 1, []
+    by = np.zeros(rest + 1, np.int32)  # the step that first reached a sum
     for k in sorted(counts):
         n, part = min(counts[k] - taken[k], rest // k), 1
         while n > 0 and not sums >> rest & 1:
             part = min(part, n)
-            steps.append((k, part, sums))
-            sums |= sums << k * part & mask
+            if new := sums << k * part & mask & ~sums:
+                bits = np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8)
+                by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: rest + 1])] = len(steps)
+                steps.append((k, part))
+                sums |= new
             n, part = n - part, part * 2
         if sums >> rest & 1:
             break
     at = sums.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += part
-            at -= k * part
+    while at:
+        k, part = steps[by[at]]
+        taken[k] += part
+        at -= k * part
     return taken
 
 
