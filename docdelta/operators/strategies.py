@@ -69,7 +69,8 @@ class Weighted:
 
     def score(self, candidates: DataFrame) -> DataFrame:
         v, c = (s.score(candidates).withColumnRenamed("score", n) for s, n in ((self.visual, "v"), (self.content, "c")))
-        return v.join(c, KEY).select(*KEY, F.round(matching.weighted(F.col("v"), F.col("c"), self.wv, self.wc), 6).alias("score"))
+        mean = matching.weighted(F.col("v"), F.col("c"), self.wv, self.wc)
+        return v.join(c, KEY).select(*KEY, F.round(mean + 1e-9, 6).alias("score"))  # halves go up, whatever the last bit of the sum
 
 
 @dataclass(frozen=True)

@@ -102,7 +102,7 @@ info as (select d.doc_id, title, source as author, lang as subject, case when d.
     '2024-01-' || lpad(cast(d.doc_id % 28 + 1 as varchar), 2, '0') as created, case when d.doc_id % 5 > 0 then '2024-02-' || lpad(cast(d.doc_id % 28 + 1 as varchar), 2, '0') end as changed, coalesce(page_count, 0) as page_count, coalesce(strlen(text), 0) as size, d.doc_id % 11 = 0 as encrypted
     from documents d left join titles using (doc_id) left join doc_pages using (doc_id)),
 meta as (select doc_id, k as key, v as value from (select doc_id, unnest(['Title', 'Author', 'Subject', 'Keywords', 'Creator', 'Producer', 'Creation Date', 'Modification Date', 'Page Count', 'File Size', 'Encrypted']) as k,
-    unnest([title, author, subject, keywords, creator, producer, created, changed, cast(page_count as varchar), case when size < 1024 then size || ' B' when size < 1048576 then printf('%.2f', size / 1024.0) || ' KB' else printf('%.2f', size / 1048576.0) || ' MB' end, cast(encrypted as varchar)]) as v from info) where v is not null),
+    unnest([title, author, subject, keywords, creator, producer, created, changed, cast(page_count as varchar), case when size < 1024 then size || ' B' when size < 1048576 then printf('%.2f', round(size / 1024.0, 2)) || ' KB' else printf('%.2f', round(size / 1048576.0, 2)) || ' MB' end, cast(encrypted as varchar)]) as v from info) where v is not null),
 sheets as (select doc_id, 'color' as key, 'c' || doc_id % 3 as value from documents union all select doc_id, case when doc_id % 4 = 0 then 'size' else 'font' end, cast(doc_id % 5 as varchar) from documents),
 """ + _keyed("meta") + ",\n" + _keyed("sheets") + r""",
 img as (select img_id as i, o, x, y, case when o = 1 and (x + y) % 23 = 0 then least(255, lum + 40) else lum end as lum from grid_px, (values (0), (1)) as t(o) where img_id < 5),
@@ -249,7 +249,7 @@ _QUERIES = {
     "dedupe_documents": "select doc_id, min(doc_id) over (partition by md5(text)) as canonical_id, doc_id <> min(doc_id) over (partition by md5(text)) as reused from documents",
     "lookup_by_hash": "select doc_id, md5(text) as content_hash from documents ",
     "metadata_rows": "select * from meta",
-    "file_labels": NAMES + " select page_id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as extension, case when size < 1024 then size || ' B' else printf('%.2f', size / 1024.0) || ' KB' end as label from names",
+    "file_labels": NAMES + " select page_id, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as extension, case when size < 1024 then size || ' B' else printf('%.2f', round(size / 1024.0, 2)) || ' KB' end as label from names",
     "format_dates": "select job_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created from jobs",
     "reused_flag": f"select job_id, created_at < {NOW} - interval 1 minute as reused from jobs",
     "validate_documents": NAMES + " select page_id, case when size = 0 then 'empty file' when page_id % 3 <> 0 then 'not a PDF' when page_id % 7 < 1 or page_id % 7 > 5 then 'no such page' end as reject_reason from names",
@@ -281,12 +281,12 @@ _QUERIES = {
     "match_assign": _rounds("edges0") + " select * from k",
     "match_unmatched_pages": _rounds("edges0") + " " + LEFT,
     "match_confidence": "select pair_id, round(count(*) filter (matched) / count(*) * avg(score) filter (matched), 6) as confidence from page_pairs group by pair_id",
-    "match_weighted": "select pair_id, base_page, compare_page, round(0.7 * visual + 0.3 * content, 6) as score from seen",
+    "match_weighted": "select pair_id, base_page, compare_page, round(0.7 * visual + 0.3 * content + 1e-9, 6) as score from seen",
     "sample_key_pages": "select distinct doc_id, unnest(case when page_count > 10 then [1, 2, 3, page_count // 4, page_count * 2 // 4, page_count * 3 // 4, page_count] else generate_series(1, least(3, page_count)) end) as page_no from doc_pages",
     "match_mode": ", k as (select pair_id, base_page, compare_page, score from same where score >= 0.7) select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "match_pipeline": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
     "match_coarse": SMART + " select *, true as matched from k union all select pair_id, base_page, compare_page, 0.0, false from (" + LEFT + ")",
-    "pluggable_match": ", e as (select unnest(['content', 'visual', 'weighted', 'front']) as strategy, pair_id, base_page, compare_page, unnest([content, visual, round(0.7 * visual + 0.3 * content, 6), round(1.0::double / base_page, 6)]) as score from seen), kept as (select * from e where score >= 0.7), sides as (select strategy, pair_id, base_page, compare_page from page_pairs, (select unnest(['content', 'visual', 'weighted', 'front']) as strategy)), found as (select strategy, pair_id, base_page, compare_page, score, true as matched from kept union all select strategy, pair_id, base_page, null, 0, false from sides where base_page is not null and (strategy, pair_id, base_page) not in (select (strategy, pair_id, base_page) from kept) union all select strategy, pair_id, null, compare_page, 0, false from sides where compare_page is not null and (strategy, pair_id, compare_page) not in (select (strategy, pair_id, compare_page) from kept)) select found.*, round(coalesce(count(*) filter (matched) over w / count(*) over w * avg(score) filter (matched) over w, 0), 6) as confidence from found window w as (partition by strategy, pair_id)",
+    "pluggable_match": ", e as (select unnest(['content', 'visual', 'weighted', 'front']) as strategy, pair_id, base_page, compare_page, unnest([content, visual, round(0.7 * visual + 0.3 * content + 1e-9, 6), round(1.0::double / base_page, 6)]) as score from seen), kept as (select * from e where score >= 0.7), sides as (select strategy, pair_id, base_page, compare_page from page_pairs, (select unnest(['content', 'visual', 'weighted', 'front']) as strategy)), found as (select strategy, pair_id, base_page, compare_page, score, true as matched from kept union all select strategy, pair_id, base_page, null, 0, false from sides where base_page is not null and (strategy, pair_id, base_page) not in (select (strategy, pair_id, base_page) from kept) union all select strategy, pair_id, null, compare_page, 0, false from sides where compare_page is not null and (strategy, pair_id, compare_page) not in (select (strategy, pair_id, compare_page) from kept)) select found.*, round(coalesce(count(*) filter (matched) over w / count(*) over w * avg(score) filter (matched) over w, 0), 6) as confidence from found window w as (partition by strategy, pair_id)",
     "quick_similarity": ", p as (" + SAME_PIX + ") select pair_id, page_no, round(avg(case when abs(l1 - l2) + abs(l1 * 3 % 256 - l2 * 3 % 256) + abs(l2 - l1) < 50 then 1.0::double else 0 end), 6) as quick from p where x % 2 = 0 and y % 2 = 0 group by all",
     "luminance": "select img_id, x, y, (76 * lum + 150 * (lum * 3 % 256) + 29 * (255 - lum)) >> 8 as luminance from grid_px",
     "ssim": _ssim(SAME_PIX, 8, 8),
