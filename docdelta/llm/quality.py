@@ -25,10 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import bounded_batches, by_batch, crc_mod, give_back, id_and_text, table
+from docdelta.llm.common import bounded_batches, by_batch, crc_mod, give_back, id_and_text, stored, table
 
 CORES, SHAPES, DIMS, AROUND, NONZERO = 8192, 512, 32, 2, 2
 TOKENS = CORES + SHAPES
@@ -36,7 +37,10 @@ FEATURES = 3 * DIMS + 4
 #: Labelled rows that the network is fitted on, at most.
 MOST_LABELS = 20_000
 ACCEPT = 0.3
-CACHED_WORDS = 200_000
+#: Bytes that a worker's known words may take, kept from task to task; a word takes its length and WORD_BYTES.
+CACHE_BYTES, WORD_BYTES = 24 << 20, 160
+#: Slices of the table of sums; tables of as many tasks are added up by one group.
+SLICES, FAN_IN = 16, 16
 _RNG = np.random.default_rng(20240607)
 _PLACES = _RNG.integers(0, DIMS, (TOKENS, NONZERO))
 _SIGNS = _RNG.choice([-1, 1], (TOKENS, NONZERO))
@@ -49,20 +53,33 @@ _RUNS = (re.compile(r"[^\W\d_a-z]*[A-ZÀ-ÖØ-Þ]+[^\W\d_a-z]*"), re.compile(r"[
 
 def shape(word: str) -> str:
     """Runs of capitals to X, of other letters to x, of digits to 9; other characters stay, 6 in all."""
+    if word.isascii() and word.islower() and word.isalpha():
+        return "x"
     return _RUNS[2].sub("9", _RUNS[1].sub("x", _RUNS[0].sub("X", word)))[:6]
 
 
 class _Tokens(dict):
-    """word -> core * SHAPES + shape."""
+    """word -> core * SHAPES + shape, for words of at most `most` bytes in all; the next one starts anew."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        self.most, self.held = most, 0
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode()
-        core = "".join(c for c in text if c.isalpha()).lower()
-        if len(self) > CACHED_WORDS:
+        core = (text if text.isalpha() else "".join(filter(str.isalpha, text))).lower()
+        self.held += len(word) + WORD_BYTES
+        if self.held > self.most:
             self.clear()
+            self.held = len(word) + WORD_BYTES
         out = self[word] = zlib.crc32(core.encode()) % CORES * SHAPES + zlib.crc32(shape(text).encode()) % SHAPES
         return out
 
+    def within(self, most: int) -> None:
+        self.most = most
+        if self.held > most:
+            self.clear()
+            self.held = 0
+
 
 _tokens = _Tokens()
 
@@ -97,11 +114,18 @@ def context_sums(texts: list[str | None]) -> np.ndarray:
     return out.reshape(TOKENS, DIMS)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of all tokens, from all documents. Each task sends one table of sums, in slices."""
-    parts = 16
+SUMS = "part int, source bigint, sums binary"
+
+
+def word_vectors(docs: DataFrame, cache_bytes: int = CACHE_BYTES) -> np.ndarray:
+    """Unit context vectors of all tokens, from all documents.
+
+    Each task makes one table of sums, in slices; they are added up FAN_IN at a time, so that no
+    group holds more of them, however many tasks there are.
+    """
 
     def run(batches):
+        _tokens.within(cache_bytes)
         sums = np.zeros((TOKENS, DIMS), np.int64)
         for batch in batches:
             texts, held, size = batch.column("text").to_pylist(), [], 0
@@ -112,15 +136,21 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     sums += context_sums(held)
                     held, size = [], 0
             sums += context_sums(held)
-        _tokens.clear()  # a worker lives on after its task
         give_back()
-        pieces = np.array_split(sums, parts)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "sums": pa.array([x.tobytes() for x in pieces], pa.binary())})
+        source = TaskContext.get().partitionId()
+        pieces = np.array_split(sums, SLICES)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "source": pa.array([source] * SLICES, pa.int64()), "sums": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [sum(np.frombuffer(x, np.int64) for x in pdf["sums"]).tobytes()]})
-
-    rows = docs.select("text").mapInArrow(run, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").collect()
+        total = sum(np.frombuffer(x, np.int64) for x in pdf["sums"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "source": pdf["source"].iloc[:1] // FAN_IN, "sums": [total.tobytes()]})
+
+    tables = stored(docs.select("text").mapInArrow(run, SUMS), "word-sums", "zstd")
+    last = tables.agg(F.max("source")).first()[0]
+    while last:  # until one table is left of each slice
+        tables = stored(tables.groupBy("part", F.floor(F.col("source") / FAN_IN).alias("next")).applyInPandas(add, SUMS), "word-sums", "zstd")
+        last //= FAN_IN
+    rows = tables.select("part", "sums").collect()  # SLICES rows, whatever the input
     sums = np.concatenate([np.frombuffer(r.sums, np.int64) for r in sorted(rows)] or [np.zeros(TOKENS * DIMS, np.int64)]).reshape(TOKENS, DIMS).astype(np.float64)
     # The common direction says nothing of a token; it goes before lengths are made equal.
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -219,24 +249,25 @@ def train(docs: DataFrame, labels: DataFrame, vectors, most_labels: int = MOST_L
     return fit(x, np.array([r.label for r in rows], float), np.array([r.fresh for r in rows], bool))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, folds: int = 5, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_text: bool = False) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, folds: int = 5, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_text: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Labels of held-out documents (fold 0 of `folds`) are never learned.
 
-    keep_text adds the row's struct of all input columns as `row`.
+    keep_text adds the row's struct of all input columns as `row`. Workers keep known words of at most
+    cache_bytes for their next task.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
-    vectors = spark.sparkContext.broadcast(word_vectors(rows))
+    vectors = spark.sparkContext.broadcast(word_vectors(rows, cache_bytes))
     learn = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where(crc_mod(F.col("doc_id"), folds) != 0)
     net = spark.sparkContext.broadcast(train(rows, learn, vectors, most_labels))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _tokens.within(cache_bytes)
         for text in texts:
             x = np.array([pooled(t, vectors.value) for t in text], np.float32).reshape(-1, FEATURES)
             yield pd.Series(net.value.scores(x))
-        _tokens.clear()
         give_back()
 
     every = docs.select(docs[id_col].cast("long").alias("doc_id"), score(docs[text_col].cast("string")).alias("score"), *([F.struct("*").alias("row")] if keep_text else []))

@@ -23,6 +23,31 @@ def test_shapes():
     assert [q.shape(w) for w in ("the", "The", "THE!!", "x***", "|", "a1-B", "été")] == ["x", "Xx", "X!!", "x***", "|", "x9-X", "x"]
 
 
+def test_known_words_stay_within_their_bytes():
+    words, plain = q._Tokens(1000), {}
+    for i in [*range(40), *range(40)]:
+        word = f"Wörd{i % 7}{'x' * (i % 5)}!".encode()
+        assert words[word] == plain.setdefault(word, words[word])
+        assert sum(len(w) + q.WORD_BYTES for w in words) == words.held <= 1000
+    words.within(10)
+    assert not words and words.held == 0
+
+
+def test_pooled_features_by_hand():
+    vectors = np.random.default_rng(3).normal(size=(q.TOKENS, q.DIMS)).astype(np.float32)
+    text = "One two TWO, 22 one!"
+    cores, shapes = q.tokens(text)
+    mean = [sum(t[i] for i in ids) / 5 for t, ids in ((vectors, cores), (vectors, shapes), (q._INDEX, shapes))]
+    want = np.concatenate([*mean, [np.log(6), len(set(cores)) / 5, len(text) / 50, max(list(cores).count(c) for c in cores) / 5]])
+    assert np.allclose(q.pooled(text, vectors), want, atol=1e-5)
+
+
+def test_sums_of_many_tasks_are_those_of_one(spark, monkeypatch):
+    monkeypatch.setattr(q, "FAN_IN", 2)
+    docs = spark.createDataFrame([(f"word{i % 5} and Other{i % 3} again",) for i in range(60)], "text string")
+    assert np.array_equal(q.word_vectors(docs.repartition(9)), q.word_vectors(docs.coalesce(1)))
+
+
 def test_network_separates_and_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, q.FEATURES)).astype(np.float32)
