@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from docdelta.llm import decontaminate, near_dedup, quality, source_mix, token_store
 from docdelta.llm.common import scratch_path, stored, table
 
+#: Bytes of known words that the classifier's workers keep while later stages run.
+CACHED = 4 << 20
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; its labels are those of the folds that it may learn."""
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_text=True)
+    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), keep_text=True, cache_bytes=CACHED)
     return scored.where("predicted = 1").select("row.*").select(DOCUMENT)
 
 
