@@ -38,7 +38,9 @@ FEATURES = 3 * DIMS + 4
 MOST_LABELS = 20_000
 ACCEPT = 0.3
 #: Bytes that a worker's known words may take, kept from task to task; a word takes its length and WORD_BYTES.
-CACHE_BYTES, WORD_BYTES = 24 << 20, 160
+CACHE_BYTES, WORD_BYTES = 96 << 20, 160
+#: Characters of text whose words' contexts are held at once, if no single text is longer.
+PIECE = 1_000_000
 #: Slices of the table of sums; tables of as many tasks are added up by one group.
 SLICES, FAN_IN = 16, 16
 _RNG = np.random.default_rng(20240607)
@@ -53,32 +55,57 @@ _RUNS = (re.compile(r"[^\W\d_a-z]*[A-ZÀ-ÖØ-Þ]+[^\W\d_a-z]*"), re.compile(r"[
 
 def shape(word: str) -> str:
     """Runs of capitals to X, of other letters to x, of digits to 9; other characters stay, 6 in all."""
-    if word.isascii() and word.islower() and word.isalpha():
-        return "x"
     return _RUNS[2].sub("9", _RUNS[1].sub("x", _RUNS[0].sub("X", word)))[:6]
 
 
+_MARKS = b".,;:!?"
+
+
+def token(word: bytes) -> int:
+    """core * SHAPES + shape of a word. Plain letters, with or without marks at the end, need no patterns."""
+    head = word.rstrip(_MARKS)
+    if head.isalpha():  # of bytes: letters A-Z alone
+        if head.islower():
+            plain = b"x"
+        elif head[1:].islower():
+            plain = b"Xx"
+        else:
+            plain = shape(head.decode()).encode()
+        return zlib.crc32(head.lower()) % CORES * SHAPES + zlib.crc32((plain + word[len(head) :])[:6]) % SHAPES
+    text = word.decode()
+    letters = text.isalpha()
+    core = (text if letters else "".join(filter(str.isalpha, text))).lower()
+    form = "x" if letters and text.islower() else shape(text)
+    return zlib.crc32(core.encode()) % CORES * SHAPES + zlib.crc32(form.encode()) % SHAPES
+
+
 class _Tokens(dict):
-    """word -> core * SHAPES + shape, for words of at most `most` bytes in all; the next one starts anew."""
+    """word -> token, for words of at most `most` bytes in all.
+
+    When half of them are new, the half before leaves; a word that is met again moves on to the new half.
+    """
 
     def __init__(self, most: int = CACHE_BYTES):
-        self.most, self.held = most, 0
+        self.most, self.held, self.old = most, 0, {}
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode()
-        core = (text if text.isalpha() else "".join(filter(str.isalpha, text))).lower()
-        self.held += len(word) + WORD_BYTES
-        if self.held > self.most:
+        size = len(word) + WORD_BYTES
+        if self.held + size > self.most // 2:
+            self.old = dict(self)
             self.clear()
-            self.held = len(word) + WORD_BYTES
-        out = self[word] = zlib.crc32(core.encode()) % CORES * SHAPES + zlib.crc32(shape(text).encode()) % SHAPES
+            self.held = 0
+        out = self.old.get(word)
+        if out is None:
+            out = token(word)
+        self.held += size
+        self[word] = out
         return out
 
     def within(self, most: int) -> None:
-        self.most = most
-        if self.held > most:
+        if most < self.most:
             self.clear()
-            self.held = 0
+            self.old, self.held = {}, 0
+        self.most = most
 
 
 _tokens = _Tokens()
@@ -96,22 +123,24 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def context_sums(texts: list[str | None]) -> np.ndarray:
     """For each token, the sum of the index vectors of the words within AROUND of its occurrences."""
+    out = np.zeros((TOKENS, DIMS), np.int64)
     found = [tokens(t) for t in texts]
     if not any(len(c) for c, _ in found):
-        return np.zeros((TOKENS, DIMS), np.int64)
-    # A gap between documents, so that no word is near one of another.
-    gap = np.full(AROUND, -1)
+        return out
+    # A gap between documents, so that no word is near one of another; its vector is the last one, of zeros.
+    gap = np.full(AROUND, TOKENS)
     cores, shapes = (np.concatenate([x for pair in found for x in (pair[i], gap)]) for i in (0, 1))
-    out = np.zeros(TOKENS * DIMS, np.int64)
+    index = np.vstack([_INDEX, np.zeros(DIMS)]).astype(np.int8)
+    both = index[cores] + index[shapes]
+    near = np.zeros_like(both)  # of small numbers: 2 * AROUND words of two tokens of NONZERO entries
     for step in range(1, AROUND + 1):
-        for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-            both = (cores[a] >= 0) & (cores[b] >= 0)
-            for mine in (cores[a][both], shapes[a][both]):
-                for other in (cores[b][both], shapes[b][both]):
-                    for k in range(NONZERO):
-                        at = mine * DIMS + _PLACES[other, k]
-                        out += np.bincount(at[_SIGNS[other, k] > 0], minlength=len(out)) - np.bincount(at[_SIGNS[other, k] < 0], minlength=len(out))
-    return out.reshape(TOKENS, DIMS)
+        near[:-step] += both[step:]
+        near[step:] += both[:-step]
+    for d in range(DIMS):
+        add = np.ascontiguousarray(near[:, d])
+        for mine in (cores, shapes):
+            out[:, d] += np.bincount(mine, add, TOKENS + 1)[:TOKENS].astype(np.int64)  # whole numbers far below 2^53
+    return out
 
 
 SUMS = "part int, source bigint, sums binary"
@@ -132,7 +161,7 @@ def word_vectors(docs: DataFrame, cache_bytes: int = CACHE_BYTES) -> np.ndarray:
             for t in texts:
                 held.append(t)
                 size += len(t or "")
-                if size > 3_000_000:
+                if size > PIECE:
                     sums += context_sums(held)
                     held, size = [], 0
             sums += context_sums(held)
@@ -165,7 +194,9 @@ def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(FEATURES, np.float32)
     uc, nc = np.unique(cores, return_counts=True)
-    us, ns = np.unique(shapes, return_counts=True)
+    ns = np.bincount(shapes - CORES, minlength=SHAPES)
+    us = np.flatnonzero(ns)
+    ns, us = ns[us], us + CORES
     return np.concatenate([nc @ vectors[uc] / n, ns @ vectors[us] / n, ns @ _INDEX[us] / n, [np.log1p(n), len(uc) / n, len(text) / n / 10, nc.max() / n]]).astype(np.float32)
 
 
@@ -244,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors, most_labels: int = MOST_L
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     # At most most_labels rows of two numbers.
     rows = docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = _features(rows, vectors).join(F.broadcast(some), "doc_id").withColumn("fresh", F.pmod(F.xxhash64(F.lit("fresh"), "doc_id"), F.lit(5)) == 0).orderBy("doc_id").collect()
+    rows = _features(rows, vectors).join(F.broadcast(some), "doc_id").withColumn("fresh", F.pmod(F.xxhash64(F.lit("fresh"), "doc_id"), F.lit(5)) == 0).collect()
+    rows.sort(key=lambda r: r.doc_id)  # here, since a sort in Spark would have features made twice
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, FEATURES)
     return fit(x, np.array([r.label for r in rows], float), np.array([r.fresh for r in rows], bool))
 

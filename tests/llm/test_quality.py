@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from helpers import AWKWARD, documents
 
@@ -24,13 +26,20 @@ def test_shapes():
 
 
 def test_known_words_stay_within_their_bytes():
-    words, plain = q._Tokens(1000), {}
-    for i in [*range(40), *range(40)]:
-        word = f"Wörd{i % 7}{'x' * (i % 5)}!".encode()
-        assert words[word] == plain.setdefault(word, words[word])
-        assert sum(len(w) + q.WORD_BYTES for w in words) == words.held <= 1000
+    words = q._Tokens(2000)
+    for i in [*range(60), *range(60)]:
+        word = f"Wörd{i % 17}{'x' * (i % 5)}!".encode()
+        assert words[word] == q.token(word)
+        assert sum(len(w) + q.WORD_BYTES for half in (words, words.old) for w in half) <= 2000
     words.within(10)
-    assert not words and words.held == 0
+    assert not words and not words.old
+
+
+def test_short_ways_give_the_tokens_of_the_patterns():
+    for w in "the The THE tHe X x fox. Fox!? FOX... a..... Ab!!!!!!! été Été ÉTÉ ß x1 Don't ... ,a µ² ǅx 中文 a中 !".split():
+        core, form = divmod(q.token(w.encode()), q.SHAPES)
+        letters = "".join(c for c in w if c.isalpha()).lower()
+        assert (core, form) == (zlib.crc32(letters.encode()) % q.CORES, zlib.crc32(q.shape(w).encode()) % q.SHAPES), w
 
 
 def test_pooled_features_by_hand():
