@@ -3,11 +3,15 @@
 A tree builder keeps the open elements: void elements close at once, end tags close what is open
 inside them, and start tags imply the ends that HTML leaves out (`<li>` ends `<li>`, any block ends
 `<p>`, `<td>` ends `<td>`, and so on). What isn't visible is skipped with all it holds: head,
-scripts, styles, templates, `hidden`, `display: none`, closed details but for their summary.
+scripts, styles, templates, `hidden`, `display: none`, closed details but for their summary. The
+text of `visibility: hidden` goes too, but its layout and what is made visible again inside stay.
 
 Blocks stand on lines of their own, with an empty line around those that browsers give a margin.
-White space collapses but in `<pre>`. List items get a dash or their number, indented by depth.
-Table cells are padded to their columns' widths, up to PAD characters, two spaces apart.
+White space collapses but in `<pre>`. List items get a dash or their number (`start`, `value`,
+`reversed`), indented by depth. Table cells stand in the columns that `colspan` and `rowspan` give
+them, padded to their columns' widths, two spaces apart. A column is padded to PAD characters at most:
+after a longer line the row goes on in the next line, still in its columns. A cell that spans rows has
+its text in the first; rows without text and columns that no cell begins in are left out.
 
 A null or empty page has an empty text. Text without any tag is one block. Rows with equal ids are
 separate rows; an empty table gives no rows. Elements may nest to any depth.
@@ -45,10 +49,48 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset()),
 }
 P = (frozenset(["p"]), frozenset(["td", "th", "table", "button", "caption", "object"]))
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: The most columns and rows that a cell can span, as HTML fixes them.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def styles(text: str | None) -> dict[str, str]:
+    """The declarations of a style attribute in lower case; of equal names the last counts."""
+    pairs = (d.partition(":") for d in (text or "").lower().split(";"))
+    return {name.strip(): value.replace("!important", "").strip() for name, _, value in pairs}
+
+
+def number(text: str | None, default: int | None, least: int = -(10**9), most: int = 10**9) -> int | None:
+    text = (text or "").strip()
+    return min(max(int(text), least), most) if re.fullmatch(r"[+-]?[0-9]{1,9}", text) else default
+
+
+class Marker:
+    """What stands before a list item; its number is known when its list ends."""
+
+    def __init__(self, indent: str):
+        self.indent, self.label = indent, "-"
+
+    def __str__(self) -> str:
+        return f"{self.indent}{self.label} "
+
+
+class List:
+    def __init__(self, tag: str, a: dict):
+        self.numbered, self.step = tag == "ol", -1 if "reversed" in a else 1
+        self.start = number(a.get("start"), None)
+        self.items: list[tuple[Marker, str | None]] = []
+
+    def end(self) -> None:
+        if not self.numbered:
+            return
+        at = self.start if self.start is not None else len(self.items) if self.step < 0 else 1
+        for marker, value in self.items:
+            at = number(value, at)
+            marker.label = f"{at}."
+            at += self.step
+
+
 class Flow:
     """Text laid out in lines: collapses white space and keeps the largest break asked for between blocks."""
 
@@ -56,7 +98,7 @@ class Flow:
         self.out: list[str] = []
         self.breaks = 0
         self.space = False
-        self.lead = ""
+        self.lead: Marker | None = None
 
     def text(self, text: str, plain: bool) -> None:
         if not plain:
@@ -75,7 +117,7 @@ class Flow:
         self.breaks, self.space = 0, False
         if self.lead:
             self.out.append(self.lead)
-            self.lead = ""
+            self.lead = None
         self.out.append(text)
         if not plain:
             self.space = ends
@@ -89,63 +131,112 @@ class Flow:
         self.space = False
 
     def result(self) -> str:
-        return "".join(self.out).strip("\n")
+        return "".join(map(str, self.out)).strip("\n")
 
 
 class Grid:
     def __init__(self):
-        self.rows: list[list[str]] = []
+        self.groups: list[list[list[tuple[str, int, int]]]] = [[]]  # row groups of rows of (text, columns, rows)
         self.caption = ""
 
+    def row(self) -> None:
+        self.groups[-1].append([])
+
+    def group(self) -> None:
+        if self.groups[-1]:
+            self.groups.append([])
+
+    def cell(self, text: str, columns: int, rows: int) -> None:
+        if not self.groups[-1]:
+            self.row()
+        self.groups[-1][-1].append((text, columns, rows))
+
+    def placed(self) -> list[list[tuple[int, str]]]:
+        """The (column, text) of each row's cells. Cells pass by what cells from above reach down into, within their group."""
+        out = []
+        for group in self.groups:
+            above: list[tuple[int, int, int]] = []  # first column, column after the last, row after the last
+            for i, row in enumerate(group):
+                above = sorted(x for x in above if x[2] > i)
+                cells, at, k, new = [], 0, 0, []
+                for text, columns, rows in row:
+                    while k < len(above) and above[k][0] <= at:
+                        at = max(at, above[k][1])
+                        k += 1
+                    cells.append((at, text))
+                    if rows != 1:
+                        new.append((at, at + columns, i + rows if rows else len(group)))
+                    at += columns
+                above += new
+                out.append(cells)
+        return out
+
     def result(self) -> str:
-        rows = [[c.split("\n") for c in r] for r in self.rows if any(c.strip() for c in r)]
+        rows = [[(c, t.split("\n")) for c, t in r] for r in self.placed() if any(t.strip() for _, t in r)]
         widths: dict[int, int] = {}
         for r in rows:
-            for i, lines in enumerate(r):
-                widths[i] = max(widths.get(i, 0), min(PAD, max(map(len, lines))))
+            for c, lines in r:
+                widths[c] = max(widths.get(c, 0), min(PAD, max(map(len, lines))))
+        left, at = {}, 0
+        for c in sorted(widths):
+            left[c] = at
+            at += widths[c] + 2
         out = [self.caption] if self.caption else []
         for r in rows:
-            for k in range(max(map(len, r))):
-                out.append("  ".join((lines[k] if k < len(lines) else "").ljust(widths[i]) for i, lines in enumerate(r)).rstrip())
+            for k in range(max(len(lines) for _, lines in r)):
+                pieces, end = [], 0
+                for c, lines in r:
+                    line = lines[k] if k < len(lines) else ""
+                    if not line.strip():
+                        continue
+                    if end > left[c] - 2 and pieces:  # a longer line than its column: go on below
+                        out.append("".join(pieces).rstrip())
+                        pieces, end = [], 0
+                    pieces += [" " * (left[c] - end), line]
+                    end = left[c] + len(line)
+                out.append("".join(pieces).rstrip())
         return "\n".join(out)
 
 
 class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # name, hides what it holds
+        self.open: list[tuple[str, bool, bool]] = []  # name, hides what it holds, text was visible before
+        self.at: dict[str, list[int]] = {}  # name -> its places in open, so that no search goes through all of them
+        self.visible, self.fresh_pre = True, False
         self.hidden = self.pre = 0
         self.flows = [Flow()]
         self.grids: list[Grid] = []
-        self.lists: list[list] = []  # kind, number of the last item
-        self.summaries = 0
+        self.lists: list[List] = []
+        self.outer: list[list[List]] = []  # lists around the cells and captions at hand
 
     # -- tree
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.fresh_pre = False
         if tag in ENDS_P:
             self._end_open(*P)
         if tag in IMPLIED:
             self._end_open(*IMPLIED[tag])
-        if tag in ("td", "th") and self.grids and not self._within("tr", "table"):
+        if tag in ("td", "th") and self.grids and self._last("tr") <= self._last("table"):
             self.handle_starttag("tr", [])
-        if tag in ("td", "th", "tr", "caption", "thead", "tbody", "tfoot") and not self._within("table", ""):
+        if tag in ("td", "th", "tr", "caption", "thead", "tbody", "tfoot") and self._last("table") < 0:
             tag = "div"
         if tag in VOID:
             self._void(tag)
             return
         a = dict(attrs)
-        hides = tag in UNSEEN or "hidden" in a or bool(_HIDING.search(a.get("style") or "")) or (tag == "dialog" and "open" not in a)
-        if tag == "details" and "open" not in a:
-            hides = True
-        shown = tag == "summary" and self.open and self.open[-1] == ("details", True) and self.hidden == 1
-        if shown:
+        style = styles(a.get("style"))
+        hides = tag in UNSEEN or "hidden" in a or style.get("display") == "none" or (tag in ("dialog", "details") and "open" not in a)
+        if tag == "summary" and self.open and self.open[-1][:2] == ("details", True) and self.hidden == 1:
             self.hidden -= 1
-            self.summaries += 1
-            self.open.append(("summary shown", False))
+            self._push("summary shown", False)
             self.flows[-1].line(1)
             return
-        self.open.append((tag, hides))
+        self._push(tag, hides)
+        seen = style.get("visibility")
+        if seen in ("hidden", "collapse", "visible"):
+            self.visible = seen == "visible"
         if hides:
             self.hidden += 1
         elif not self.hidden:
@@ -155,44 +246,40 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash closes nothing but void elements in HTML
 
     def handle_endtag(self, tag: str) -> None:
+        self.fresh_pre = False
         if tag in VOID:
             if tag == "br":
                 self._void(tag)
             return
-        if tag == "p" and not self._within("p", ""):
+        if tag == "p" and self._last("p") < 0:
             if not self.hidden:
                 self.flows[-1].line(2)
             return
         stops = ("td", "th", "table") if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else ("table",)
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag or (tag == "summary" and name == "summary shown"):
-                while len(self.open) > i:
-                    self._close()
-                return
-            if name in stops:
-                return
+        place = self._last(tag, "summary shown") if tag == "summary" else self._last(tag)
+        if place >= max(self._last(*stops), 0):
+            self._close_to(place)
 
-    def _within(self, name: str, stop: str) -> bool:
-        for open_name, _ in reversed(self.open):
-            if open_name == name:
-                return True
-            if open_name == stop:
-                return False
-        return False
+    def _last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, -1 without any."""
+        return max(places[-1] if (places := self.at.get(n)) else -1 for n in names)
 
     def _end_open(self, names: frozenset, stops: frozenset) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in names:
-                while len(self.open) > i:
-                    self._close()
-                return
-            if name in stops:
-                return
+        place = self._last(*names)
+        if place >= 0 and (not stops or place > self._last(*stops)):
+            self._close_to(place)
+
+    def _push(self, name: str, hides: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, hides, self.visible))
+
+    def _close_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self._close()
 
     def _close(self) -> None:
-        tag, hides = self.open.pop()
+        tag, hides, visible = self.open.pop()
+        self.at[tag].pop()
         if tag == "summary shown":
             self.hidden += 1
             self.flows[-1].line(1)
@@ -200,6 +287,7 @@ class Page(HTMLParser):
             self.hidden -= 1
         elif not self.hidden:
             self._finish(tag)
+        self.visible = visible
 
     # -- layout
 
@@ -212,22 +300,18 @@ class Page(HTMLParser):
 
     def _begin(self, tag: str, a: dict) -> None:
         flow = self.flows[-1]
-        if tag in ("td", "th"):
-            grid = self.grids[-1]
-            if not grid.rows:
-                grid.rows.append([])
-            span = a.get("colspan") or "1"
-            self.open[-1] = (tag, False)
+        if tag in ("td", "th", "caption"):
             cell = Flow()
-            cell.span = min(int(span), 100) if span.isascii() and span.isdigit() and int(span) else 1
+            cell.columns, cell.rows = number(a.get("colspan"), 1, 1, MOST_COLUMNS), number(a.get("rowspan"), 1, 0, MOST_ROWS)
             self.flows.append(cell)
-            return
-        if tag == "caption":
-            self.flows.append(Flow())
+            self.outer.append(self.lists)
+            self.lists = []
             return
         if tag == "tr":
-            self.grids[-1].rows.append([])
+            self.grids[-1].row()
             return
+        if tag in ("thead", "tbody", "tfoot"):
+            self.grids[-1].group()
         if tag in BLOCK:
             nested = tag in ("ul", "ol", "menu") and self.lists
             flow.line(2 if tag in MARGIN and not nested else 1)
@@ -235,22 +319,26 @@ class Page(HTMLParser):
             self.grids.append(Grid())
         elif tag == "pre":
             self.pre += 1
+            self.fresh_pre = True
         elif tag in ("ul", "ol", "menu"):
-            start = a.get("start") or ""
-            self.lists.append([tag, int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0])
+            self.lists.append(List(tag, a))
         elif tag == "li":
-            kind = self.lists[-1] if self.lists else ["ul", 0]
-            kind[1] += 1
-            flow.lead = "  " * (max(len(self.lists), 1) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
+            marker = Marker("  " * (max(len(self.lists), 1) - 1))
+            if self.lists:
+                self.lists[-1].items.append((marker, a.get("value")))
+            flow.lead = marker if self.visible else None
 
     def _finish(self, tag: str) -> None:
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "caption"):
             cell = self.flows.pop()
-            self.grids[-1].rows[-1] += [cell.result()] + [""] * (cell.span - 1)
-            return
-        if tag == "caption":
-            self.grids[-1].caption = self.flows.pop().result()
+            self.lists = self.outer.pop()
+            if tag == "caption":
+                self.grids[-1].caption = cell.result()
+            else:
+                self.grids[-1].cell(cell.result(), cell.columns, cell.rows)
             return
+        if tag in ("thead", "tbody", "tfoot"):
+            self.grids[-1].group()
         flow = self.flows[-1]
         if tag == "table":
             text = self.grids.pop().result()
@@ -259,16 +347,19 @@ class Page(HTMLParser):
         elif tag == "pre":
             self.pre -= 1
         elif tag in ("ul", "ol", "menu"):
-            self.lists.pop()
-            flow.lead = ""
+            self.lists.pop().end()
+            flow.lead = None
         elif tag == "li":
-            flow.lead = ""
+            flow.lead = None
         if tag in BLOCK and tag != "tr":
             nested = tag in ("ul", "ol", "menu") and self.lists
             flow.line(2 if tag in MARGIN and not nested else 1)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if self.fresh_pre:  # the line end right after <pre> is not part of it
+            data = data.removeprefix("\r").removeprefix("\n")
+            self.fresh_pre = False
+        if self.visible and not self.hidden:
             self.flows[-1].text(data, self.pre > 0)
 
     def result(self) -> str:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from docdelta.llm import html_text as ht
@@ -22,6 +25,16 @@ CASES = [
     ("<td>stray</td></p></div></table>end", "stray\n\nend"),
     ("<a href='/x'>one</a> <a>two</a><img alt=no><!-- no -->", "one two"),
     ("a" + "<div>" * 30_000 + "b", "a\nb"),
+    ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>", "A  b1\n   b2"),
+    ("<table><thead><tr><th rowspan=0>h<th>i<tr><th>j<tbody><tr><td>k<td>l</table>", "h  i\n   j\nk  l"),
+    ("<table><tr><td colspan=900>a<td>b</table>", "a  b"),
+    ("<table><tr><td>a<td>b<tr><td>" + "w" * 120 + "<td>c</table>", "a" + " " * 81 + "b\n" + "w" * 120 + "\n" + " " * 82 + "c"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div><p>end", "yes\n\nend"),
+    ("<p style='display:none;display:block'>shown", "shown"),
+    ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+    ("<ol reversed start=9><li>x<li value=4>y<li>z</ol>", "9. x\n4. y\n3. z"),
+    ("<ol><li value=7>x<ol><li>in</ol><li>y</ol>", "7. x\n  1. in\n8. y"),
+    ("<pre>\n a</pre>", " a"),
     ("<select><option>no</select>&lt;b&gt;", "<b>"),
 ]
 
@@ -37,3 +50,36 @@ def test_operator(spark):
     got = ht.extract_text(df).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([*((i, t) for i, (_, t) in enumerate(CASES)), (None, "x"), (0, "y")], key=repr)
     assert ht.extract_text(df.limit(0)).collect() == []
+
+
+def naive_columns(group):
+    """Columns of a group's cells from a table of taken places."""
+    taken, out = set(), []
+    for i, row in enumerate(group):
+        at, cells = 0, []
+        for text, columns, rows in row:
+            while (i, at) in taken:
+                at += 1
+            cells.append((at, text))
+            taken |= {(r, c) for r in range(i, min(i + rows if rows else len(group), len(group))) for c in range(at, at + columns)}
+            at += columns
+        out.append(cells)
+    return out
+
+
+def test_spans_against_a_table_of_taken_places():
+    rng = random.Random(5)
+    for _ in range(500):
+        grid = ht.Grid()
+        grid.groups = [[[(str(rng.random()), rng.choice([1, 1, 2, 3]), rng.choice([0, 1, 1, 2, 3])) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 6))] for _ in range(2)]
+        assert grid.placed() == [r for g in grid.groups for r in naive_columns(g)]
+
+
+def test_time_grows_with_the_depth_alone():
+    def seconds(n):
+        start = time.process_time()
+        ht.page_text("<b>x<div>" * n)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.02)
