@@ -98,3 +98,17 @@ def test_purge_on_a_stream_runs_hourly(spark, tmp_path):
     finally:
         q.stop()
     assert {r.job_id for r in kept.read().collect()} == {2, 3}
+
+
+def test_jobs_of_a_bucket_share_one_state(spark, tmp_path):
+    """All jobs in two buckets, over two batches: as many rows of state as buckets, and the same jobs fail as by their own times."""
+    rows = [[(i, "PROCESSING" if i % 2 else "COMPLETED", i % 3 == 0, 60 * (i % 30)) for i in range(200)], [(1, "PENDING", True, 1000), (5, None, None, 1000), (999, "COMPLETED", False, 2400)]]
+    for part in rows:
+        spark.createDataFrame(part, "job_id long, status string, has_result boolean, s long").select("job_id", "status", "has_result", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streams.stuck(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), buckets=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    first = {i for i, status, done, s in rows[0] if status == "PROCESSING" and not done and s + 900 < 29 * 60}
+    late = {i for i, status, done, s in rows[0] if status == "PROCESSING" and not done and s + 900 < 2400}
+    got = sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(first | late)
