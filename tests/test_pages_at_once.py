@@ -57,6 +57,18 @@ def test_text_differences_of_short_and_long_lines(spark):
     assert plan(text.text_differences(lines)).count("_column(") == 1
 
 
+def test_lengths_alone_may_tell_a_major_change(spark, monkeypatch):
+    texts = ["", "a", "ab", "x" * 39, "y" * 40, "x" * 41, "z" * 60, "x" * 61, "ab" * 40, "x" * 130, "y" * 300]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    lines = spark.createDataFrame(rows, "line_no int, base_text string, compare_text string").selectExpr("1L pair_id", "1 base_page", "1 compare_page", "*")
+    for threshold in (0.5, 0.8, 1.0):
+        got = {(r.line_no, r.change, r.severity) for r in text.text_differences(lines, threshold).collect()}
+        assert got == {(r.line_no, r.change, r.severity) for r in text.modified(lines, threshold).collect()}
+    monkeypatch.setattr(edits, "distance", lambda a, b: F.assert_true(a.isNull()).cast("int"))
+    far = lines.where("length(compare_text) > 1.5 * length(base_text) or 2 * length(compare_text) < length(base_text)")
+    assert {r.severity for r in text.text_differences(far).collect()} == {"major"}
+
+
 def test_pictures_face_each_other_once(spark, monkeypatch):
     e, rows, plain = Entities(spark, SF), [], visual.image_differences
     monkeypatch.setattr(visual, "image_differences", lambda b, c, **k: rows.append(b.pages.count()) or plain(b, c, **k))
