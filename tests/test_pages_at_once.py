@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docdelta.operators import edits, matching, text, visual
+from docdelta.operators import edits, keyed, matching, text, visual
 from docdelta.plans import compare
 from docdelta.sources import fixtures
 from docdelta.sources.fixtures import Entities
@@ -78,3 +78,54 @@ def test_pictures_face_each_other_once(spark, monkeypatch):
     side = lambda s: visual.Shown(pages.join(e.side_px(s).pages.withColumnRenamed("page_no", f"{s}_page"), ["pair_id", f"{s}_page"]).select(F.col("key").alias("pair_id"), F.lit(1).alias("page_no"), "image_id"), e.side_px(s).pictures)
     want = plain(side("base"), side("compare")).select("pair_id", "change", "severity")
     assert sorted(map(tuple, got.select(F.concat_ws("|", *compare.PAGE), "change", "severity").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fonts_of_whole_pages_are_those_of_their_words(spark):
+    texts = ["a  b c d e f g h", " " * 90, "x " * 200, "é 😀 " * 60 + "\nlast", "one", "", None, "\n".join(f"{i} b c d e f {'g' * (i % 3)} h" for i in range(45))]
+    pages = fixtures.pages_of_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    pages = pages.unionByName(Entities(spark, SF).pages.withColumn("doc_id", F.col("doc_id") + 100))
+    e = Entities(spark, SF)
+    e.__dict__["pages"] = pages
+    want = keyed.font_usage(e.elements).select("doc_id", "page_no", "font_name", "usage", "size")
+    got = fixtures.fonts_of_pages(pages)
+    assert got.schema == want.schema or got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Window" not in plan(Entities(spark, SF).doc_fonts) and "Aggregate" not in plan(got.select("usage"))
+
+
+def test_texts_are_not_shuffled_for_their_size(spark):
+    joins = [line for line in plan(Entities(spark, SF).doc_info).splitlines() if "Project" in line and "octet_length(text" in line]
+    assert len(joins) == 1 and plan(Entities(spark, SF).doc_info).index("Join") < plan(Entities(spark, SF).doc_info).index("octet_length(text")
+
+
+def test_pages_are_joined_once_for_scores_and_lines(spark):
+    e = Entities(spark, SF)
+    assert "Join" not in plan(e.line_pairs) and "Join" not in plan(compare.text_kind(e, compare.page_pairs(e, compare.Options()), compare.Options()))
+    assert not {"base_lines", "compare_lines"} & set(e.page_pairs.columns)
+
+
+def test_equal_lines_are_left_out_before_distances(spark):
+    rows = [(1, "same", "same"), (2, "", ""), (3, None, "x"), (4, "kitten", "sitting"), (5, "x" * 130, "x" * 130)]
+    lines = spark.createDataFrame(rows, "line_no int, base_text string, compare_text string").selectExpr("1L pair_id", "1 base_page", "1 compare_page", "*")
+    found = text.text_differences(lines, 1.0)
+    assert sorted(r.line_no for r in found.collect()) == [3, 4]
+    below = plan(found)[plan(found).index("ArrowEvalPython") :]
+    assert "NOT (base_text" in below
+
+
+def test_boxes_and_descriptions_read_the_differences_once(spark):
+    from docdelta.operators import differences
+    from docdelta.plans import queries
+
+    names = [f"{s}_{n}" for s in ("base", "compare") for n in ("x", "y", "width", "height")]
+    rows = [(k, 1, f"d{k}{t}", t, ch, "major", *([10.0, 20.0, 30.0, 40.0] if k % 2 else [None] * 4), *([12.0, 26.0, 0.0, 41.0] if k % 3 else [None] * 4)) for k in range(6) for t in ("text", "image", "font", "metadata") for ch in ("added", "deleted", "modified")]
+    d = spark.createDataFrame(rows, "pair_id long, base_page int, diff_id string, type string, change string, severity string, " + ", ".join(f"{n} double" for n in names))
+    got = differences.with_box(d)
+    none = {n: F.lit(0.0) for n in ("x", "y", "width", "height")}
+    want = text.display_box(d.where("type = 'text'")).unionByName(visual.image_box(d.where("type = 'image'"))).unionByName(d.where("type in ('font', 'metadata')").withColumns(none))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Union" not in plan(got)
+    e = Entities(spark, SF)
+    e.__dict__["all_differences"] = d.withColumns({"base_text": F.lit("a"), "compare_text": F.lit("b"), "name": F.lit("n"), "description": F.when(F.col("pair_id") == 1, "own")})
+    forms = queries.describe(e)
+    assert "Union" not in plan(forms) and forms.count() == 2 * len(rows)
