@@ -49,6 +49,7 @@ END = b""
 #: A predictor's logit, in LEVELS steps of STEP; ranges of its count.
 LEVELS, STEP, SEEN = 32, 0.45, (1, 3, 10)
 GATES = (len(SEEN) + 1) ** 2
+_TRUE = np.ones(1, bool)
 INPUTS = 4
 #: Levels of the mixed prediction in the refinement table, and how many bits of its own outweigh the mix.
 REFINED, TRUST = 48, 40.0
@@ -127,14 +128,23 @@ class Codes:
         second = np.where(first, 2, np.concatenate([[0], before[:-1]]))
         h1 = (before + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
         h2 = (h1 ^ (h1 >> np.uint32(15))) * np.uint32(0x85EBCA77) + (second + 1).astype(np.uint32) * np.uint32(0xC2B2AE3D)
-        length = self.length[code]
+        length = self.length.take(code)
         token = np.repeat(np.arange(len(code), dtype=np.int32), length)
-        at = np.arange(len(token), dtype=np.int32) + np.repeat((self.start[code] - (np.cumsum(length) - length)).astype(np.int32), length)
-        node, bit = self.nodes[at], self.bits[at]
+        at = np.repeat(self.start.take(code) - (np.cumsum(length) - length), length)
+        at += np.arange(len(token))
+        node, bit = self.nodes.take(at), self.bits.take(at)
         mixed = node * np.uint32(0x27D4EB2F)
-        s1, s2 = ((np.repeat(h, length) ^ mixed) * np.uint32(0x165667B1) for h in (h1, h2))
-        shift = np.uint32(32 - self.slot_bits)
-        return token, node, bit, (s1 ^ (s1 >> np.uint32(13))) * np.uint32(0x2C1B3C6D) >> shift, (s2 ^ (s2 >> np.uint32(13))) * np.uint32(0x297A2D39) >> shift
+
+        def slots(h: np.ndarray, last: int) -> np.ndarray:
+            s = h.take(token)
+            s ^= mixed
+            s *= np.uint32(0x165667B1)
+            s ^= s >> np.uint32(13)
+            s *= np.uint32(last)
+            s >>= np.uint32(32 - self.slot_bits)
+            return s
+
+        return token, node, bit, slots(h1, 0x2C1B3C6D), slots(h2, 0x297A2D39)
 
 
 # ---- predictors, mixing
@@ -151,35 +161,60 @@ def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return seen * np.uint8(LEVELS) + level(n0, n1)
 
 
-#: The logit and the range of the count that a state stands for.
-_STATES = np.arange((len(SEEN) + 1) * LEVELS)
-_LOGIT = ((_STATES % LEVELS + 0.5 - LEVELS / 2) * STEP).astype(np.float32)
-_GATE = (_STATES // LEVELS).astype(np.uint8)
+#: The logit that a state stands for; its range of the count is state // LEVELS.
+_LOGIT = ((np.arange((len(SEEN) + 1) * LEVELS) % LEVELS + 0.5 - LEVELS / 2) * STEP).astype(np.float32)
+#: States of all pairs of counts under 256, ones times 256 and zeros; the bits of a pair that are set if it is none of them.
+_SMALL = state(np.tile(np.arange(256, dtype=np.float32), 256), np.repeat(np.arange(256, dtype=np.float32), 256))
+_LARGE, _BOTH = np.uint64(0xFFFFFF00_FFFFFF00), np.uint64(0xFFFF)
+
+
+def state_of(pairs: np.ndarray) -> np.ndarray:
+    """state of pairs of counts in one number each, zeros low, ones high: looked up where they are small, as most are."""
+    out = _SMALL.take((pairs >> np.uint64(24) | pairs) & _BOTH, mode="clip")
+    far = np.flatnonzero(pairs & _LARGE)
+    some = pairs.take(far)
+    out[far] = state((some & LOW).astype(np.float32), (some >> np.uint64(32)).astype(np.float32))
+    return out
 
 
 def inputs(s0: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What the mixer reads, (INPUTS, bits), and the gate."""
     x = np.empty((INPUTS, len(s0)), np.float32)
     for i, s in enumerate((s0, s1, s2)):
-        x[i] = _LOGIT[s]
+        _LOGIT.take(s, out=x[i], mode="clip")
     x[3] = 0.3
-    return x, _GATE[s1] * np.uint8(len(SEEN) + 1) + _GATE[s2]
+    return x, (s1 // np.uint8(LEVELS) * np.uint8(len(SEEN) + 1) + s2 // np.uint8(LEVELS)).astype(np.intp)
 
 
 def dot(weights: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Each bit's row of weights (n, INPUTS) times its inputs, column by column."""
-    z = weights[:, 0].take(rows) * x[0]
+    by_input = np.ascontiguousarray(weights.T)
+    z = by_input[0].take(rows)
+    z *= x[0]
     for i in range(1, INPUTS):
-        z += weights[:, i].take(rows) * x[i]
+        w = by_input[i].take(rows)
+        w *= x[i]
+        z += w
     return z
 
 
+def slopes(rows: np.ndarray, error: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """The sums of error times input by row, (size, INPUTS)."""
+    return np.stack([np.bincount(rows, error * x[i], size) for i in range(INPUTS)], axis=1)
+
+
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-z, -12, 12)))
+    p = np.clip(z, -12, 12)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.divide(1, p, out=p)
 
 
 def refined_cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    return gate * np.int32(REFINED) + np.clip(z * 2 + REFINED / 2, 0, REFINED - 1).astype(np.int32)
+    cell = np.clip(z * 2 + REFINED / 2, 0, REFINED - 1).astype(np.intp)
+    cell += gate * REFINED
+    return cell
 
 
 def refine(p: np.ndarray, cell: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -204,14 +239,14 @@ class Learner:
         """Predict, correct, refine, then count, a batch of bits at a time."""
         _, node, bit, s1, s2 = events
         for a in range(0, len(bit), BATCH_BITS):
-            b, places = bit[a : a + BATCH_BITS], [s[a : a + BATCH_BITS] for s in (s1, s2)]
-            pairs = [t[q] for t, q in zip(self.pairs, places, strict=True)]
-            x, gate = inputs(self.s0[node[a : a + BATCH_BITS]], *(state((v & LOW).astype(np.float32), (v >> np.uint64(32)).astype(np.float32)) for v in pairs))
-            z = dot(self.weights, gate, x)
+            b, places = bit[a : a + BATCH_BITS], [s[a : a + BATCH_BITS].astype(np.intp) for s in (s1, s2)]
+            pairs = [t.take(q) for t, q in zip(self.pairs, places, strict=True)]
+            x, gate = inputs(self.s0.take(node[a : a + BATCH_BITS]), *map(state_of, pairs))
+            z = dot(self.weights.astype(np.float32), gate, x)
             p = squash(z)
             # A step along each weight by its own curvature, as every eighth bit shows it.
-            error, some = b - p, slice(None, None, 8)
-            slope = np.stack([np.bincount(gate, error * x[i], GATES) for i in range(INPUTS)], axis=1)
+            error, some = b.astype(np.float32) - p, slice(None, None, 8)
+            slope = slopes(gate, error, x, GATES)
             bend = 8 * np.stack([np.bincount(gate[some], (p * (1 - p))[some] * x[i, some] ** 2, GATES) for i in range(INPUTS)], axis=1)
             self.weights += RATE * slope / (bend + CAUTION)
             self.seen += np.bincount(refined_cell(z, gate) * 2 + b, minlength=2 * len(self.seen)).reshape(-1, 2)
@@ -239,24 +274,29 @@ class Model:
         n = np.bincount(doc)
         block = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) // BLOCK_BITS
         order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
-        node, bit, s1, s2, doc = (v[order] for v in (*events[1:], doc.astype(np.int32)))
+        _, node, bit, s1, s2 = events
+        s0, s1, s2 = (of.take(v).take(order) for of, v in ((self.s0, node), (self.s1, s1), (self.s2, s2)))
+        bit, doc = bit.take(order), doc.astype(np.int32).take(order)
         ends = np.cumsum(np.bincount(block)).tolist()
         weights = np.repeat(self.weights[None], len(n), axis=0)
-        out = np.empty(len(doc))
+        logs = np.empty(len(doc))
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
-            x, gate = inputs(*(of[v[a:b]] for of, v in ((self.s0, node), (self.s1, s1), (self.s2, s2))))
+            x, gate = inputs(*(s[a:b] for s in (s0, s1, s2)))
             # The documents that still go on, numbered anew.
-            new = np.diff(doc[a:b], prepend=-1) > 0
-            some = doc[a:b][new]
-            key = (np.cumsum(new) - 1) * GATES + gate
+            of = doc[a:b]
+            starts = np.flatnonzero(np.concatenate([_TRUE, of[1:] != of[:-1]]))
+            some = of[starts]
+            key = np.repeat(np.arange(0, len(some) * GATES, GATES), np.diff(starts, append=b - a)) + gate
             own = weights[some]
             z = dot(own.reshape(-1, INPUTS), key, x)
             p = squash(z)
             q = refine(p, refined_cell(z, gate), self.ones, self.weight)
-            out[order[a:b]] = np.log10(np.where(bit[a:b], q, np.float32(1) - q))
-            error, size = bit[a:b] - p, len(some) * GATES
-            step = np.stack([np.bincount(key, error * x[i], size) for i in range(INPUTS)], axis=1)
+            logs[a:b] = np.log(np.where(bit[a:b], q, np.float32(1) - q))
+            error, size = bit[a:b].astype(np.float32) - p, len(some) * GATES
+            step = slopes(key, error, x, size)
             weights[some] = own + (RATE_WITHIN / np.sqrt(BLOCK_BITS) * step).reshape(own.shape)
+        out = np.empty(len(doc))
+        out[order] = logs * (1 / np.log(10))
         return out
 
 

@@ -118,3 +118,22 @@ def test_empty_tables(spark):
     assert lm.lm_scores(documents(spark, [])).collect() == []
     only = lm.lm_scores(documents(spark, [(next(d for d in range(99) if zlib.crc32(str(d).encode()) % 7 == 2), "x y")])).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in only] == [(True, 3, 0, 0, 0.0)]
+
+
+def test_states_of_small_counts_are_looked_up():
+    rng = np.random.default_rng(5)
+    n = np.concatenate([rng.integers(0, 4, (500, 2)), rng.integers(0, 300, (500, 2)), rng.integers(0, 2**32, (500, 2)), [[255, 256], [256, 255], [255, 255], [0, 2**31]]]).astype(np.uint64)
+    want = lm.state(n[:, 0].astype(np.float32), n[:, 1].astype(np.float32))
+    assert (lm.state_of(n[:, 0] | n[:, 1] << np.uint64(32)) == want).all()
+
+
+def test_what_the_mixer_reads_and_its_steps():
+    s = np.random.default_rng(6).integers(0, 4 * lm.LEVELS, (3, 400)).astype(np.uint8)
+    x, gate = lm.inputs(*s)
+    assert np.allclose(x[:3], (s % lm.LEVELS + 0.5 - lm.LEVELS / 2) * lm.STEP) and (x[3] == np.float32(0.3)).all()
+    assert (gate == s[1] // lm.LEVELS * (len(lm.SEEN) + 1) + s[2] // lm.LEVELS).all()
+    w, error = np.random.default_rng(7).random((lm.GATES, lm.INPUTS)), np.linspace(-1, 1, 400)
+    assert np.allclose(lm.dot(w, gate, x), (w[gate] * x.T).sum(axis=1), rtol=1e-5, atol=1e-5)
+    want = np.zeros((lm.GATES, lm.INPUTS))
+    np.add.at(want, gate, (error * x).T)
+    assert np.allclose(lm.slopes(gate, error, x, lm.GATES), want)
