@@ -1,6 +1,7 @@
 """Each document with a shared paragraph has a partner, however many documents share it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from docdelta.sources import fixtures
 
@@ -30,3 +31,24 @@ def test_a_copy_goes_before_a_document_that_shares_as_much(spark, tmp_path):
 def test_few_holders_are_all_paired(spark, tmp_path):
     a, b = LINE.format(1), LINE.format(2)
     assert pairs(spark, tmp_path, [(1, f"{a}\n{b}"), (2, f"{a}\nx"), (3, f"{a}\n{b}\ny")]) == [(1, 3), (2, 3)]
+
+
+def test_texts_are_read_once_for_pages_and_pairs(spark, monkeypatch):
+    """Pairs and facing pages are made from one pass over the texts, and are those of the digests that Spark works out."""
+    read, plain = [], fixtures.Entities.table
+    monkeypatch.setattr(fixtures.Entities, "table", lambda e, name: read.append(name) or plain(e, name))
+    e = fixtures.Entities(spark, "/root/testdata/sf0.001")
+    assert e.facing_pages.count() > 0 and e.pairs.count() > 0
+    assert read == ["documents"]
+
+
+def test_digests_stand_for_the_same_texts_in_pages_as_in_keys(spark):
+    long = "a paragraph of over twenty characters"
+    texts = [long, f"\r\n{long}\r\rshort\n{long}", "é" * 20, "é" * 21, "\n\r\n", "", None, long + " " * 90, "x" * 4000]
+    docs = spark.createDataFrame([*enumerate(texts), (0, long)], "doc_id long, text string")
+    got = fixtures.pages_of_lines(docs, keys=True).where("page_no = 1")
+    found = [{(r.doc_id, d) for r in got.select("doc_id", F.explode("paragraphs").alias("d")).collect() for d in [bytes(r.d)]}, {(r.doc_id, bytes(r.copy)) for r in got.collect()}]
+    want = [{(r.doc_id, r.key) for r in fixtures.sharing_keys(docs).collect() if r.key[0] == kind} for kind in "pt"]
+    for here, there in zip(found, want, strict=True):
+        together = lambda s: sorted(sorted(i for i, k in s if k == key) for key in {k for _, k in s})
+        assert together(here) == together(there)
