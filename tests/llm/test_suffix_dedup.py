@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from helpers import AWKWARD, documents
@@ -74,3 +76,28 @@ def test_long_texts_in_pieces(monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_groups_of_two_need_no_trie(monkeypatch):
+    texts = [b"", b"a", b"ab" * 40, b"ab" * 40 + b"c", b"abab\xff", b"b" * 9, b"b" * 9]
+    pairs = [[a, b] for a in texts for b in texts]
+    want = [(sorted(range(2), key=p.__getitem__), [-1, len(os.path.commonprefix(p))]) for p in pairs]
+    monkeypatch.setattr(sd, "BlindTrie", None)
+    assert [sd.deep_shallow_sort(p) for p in pairs] == want
+
+
+@pytest.mark.parametrize("n", [50, 51, 700, (1 << 14) + 100])
+def test_anchors_are_the_least_leftmost_grams(n):
+    data = bytes(np.random.default_rng(n).integers(97, 100, n).astype(np.uint8)) if n != 700 else b"abc" * 233 + b"x"
+    c1, c2, c3, mask = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 2**64 - 1
+
+    def mixed(i):
+        h = (int.from_bytes(data[i : i + 8], "little") * c1 & mask) ^ (int.from_bytes(data[i + 8 : i + 16], "little") * c2 & mask)
+        h = (h ^ h >> 32) * c3 & mask
+        return h ^ h >> 29
+
+    hashes = [mixed(i) for i in range(n - 15)]
+    want = [min(range(s, s + 35), key=lambda i: (hashes[i] >> 24, i)) for s in range(n - 49)]
+    at, h, first, last = sd.anchors(data)
+    assert [a for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True) for _ in range(i, j)] == want
+    assert h.tolist() == [hashes[a] for a in at.tolist()]
