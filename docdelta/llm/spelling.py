@@ -14,8 +14,8 @@ Lists are keyed by class, gram and place. Words of L characters ask words of L (
 characters (deleted; the gram at its place, or one before); classes differ in the longest gram allowed,
 half a word, so that two windows apart exist. What a list gives is verified by edit distance.
 
-Lists are joined by Spark, and no list is ever collected. What is broadcast is bounded: at most
-FREQUENT grams of each length, and the counts of pairs of letters of a fixed alphabet.
+Lists are joined by Spark, by sorting on both sides, and no list is ever collected or broadcast. What is
+broadcast is bounded: at most FREQUENT grams of each length, and the counts of pairs of letters of a fixed alphabet.
 
 Null and empty texts have no runs. A null doc_id stands as empty text in the rule's key; rows of equal
 ids and texts are separate rows, each counted. A text of any length is read in pieces cut between runs.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docdelta.llm.common import bounded_batches, give_back, id_and_text, slices, stored, table
+from docdelta.llm.common import bounded_batches, give_back, id_and_text, slices, stored, table, unsized
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LEAST_LENGTH, LEAST_COUNT, DAMAGED, TIMES = 6, 5, 199, 5
@@ -199,7 +199,7 @@ def near_words(found: DataFrame) -> DataFrame:
     ask = found.mapInArrow(_entries(grams, True), schema).select("key", F.col("word").alias("a"), F.col("n").alias("na"))
     listed = found.mapInArrow(_entries(grams, False), schema).select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
     once = (F.length("a") > F.length("b")) | (F.col("a") < F.col("b"))
-    both = ask.join(listed, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    both = ask.join(unsized(listed), "key").where(once & (F.levenshtein("a", "b", 1) == 1))
     return both.select("a", "na", "b", "nb").distinct()
 
 
@@ -211,7 +211,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = stored(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         on = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = stored(links.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = stored(links.join(unsized(on), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if not new.where("moved").limit(1).count():
             return new.select("word", "root")
         links = new.select("word", "root")
@@ -225,10 +225,10 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     both = near.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("na").alias("m")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("best"))
     far = -F.col("best.less") >= TIMES * F.col("n")
-    out = found.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(far, F.col("best.other")).alias("form"), F.when(far, -F.col("best.less")).alias("form_n"))
+    out = found.join(unsized(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(far, F.col("best.other")).alias("form"), F.when(far, -F.col("best.less")).alias("form_n"))
     out = stored(out, "variants")
     ends = roots(out.where("form is not null").select("word", "form"))
-    return out.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(unsized(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
